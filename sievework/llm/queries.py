@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import bitpack, chat, mixing, packing, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op3_mixing": mixing.op3_mixing,
+        "op4_bit_packing": bitpack.op4_bit_packing,
+        "op5_packing": packing.op5_packing,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, embeddings, html, mixing, packing, quality
+from . import bitpack, chat, embeddings, html, jaccard, mixing, packing, quality
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
         "op8_html_extraction": html.op8_html_extraction,
+        "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, embeddings, html, jaccard, mixing, packing, quality
+from . import bitpack, chat, embeddings, html, jaccard, mixing, packing, passages, quality
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_bit_packing": bitpack.op4_bit_packing,
         "op5_packing": packing.op5_packing,
+        "op6_substring_dedup": passages.op6_substring_dedup,
         "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
         "op8_html_extraction": html.op8_html_extraction,
         "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, embeddings, html, jaccard, mixing, packing, passages, quality
+from . import bitpack, chat, embeddings, html, jaccard, licenses, mixing, packing, passages, quality
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
         "op8_html_extraction": html.op8_html_extraction,
         "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 

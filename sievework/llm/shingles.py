@@ -11,6 +11,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
+_PLAIN[65:91] += 32
 #: Bytes of text that are hashed at a time; a longer text is taken alone.
 CHUNK = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -50,8 +53,11 @@ def _hash_bytes(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, n
     return hashes, np.searchsorted(s, np.append(doc_starts, n))
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hash of each of its words) of a string column; null is empty."""
+def word_chunks(texts: pa.Array, signs_split: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, words before each row and after the last) of stretches of a string column; null is empty.
+
+    signs_split: ASCII signs part words as white space does, and ASCII letters are lower-cased.
+    """
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
@@ -59,12 +65,18 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     while row < len(texts):
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1)
         stop = min(stop, len(texts))
-        hashes, at = _hash_bytes(raw[offsets[row] : offsets[stop]], offsets[row:stop] - offsets[row])
-        for k in range(row, stop):
-            yield k, hashes[at[k - row] : at[k - row + 1]]
+        data = raw[offsets[row] : offsets[stop]]
+        yield row, *_hash_bytes(_PLAIN[data] if signs_split else data, offsets[row:stop] - offsets[row])
         row = stop
 
 
+def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hash of each of its words) of a string column; null is empty."""
+    for first, hashes, at in word_chunks(texts):
+        for k in range(len(at) - 1):
+            yield first + k, hashes[at[k] : at[k + 1]]
+
+
 def runs(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words; a shorter text is one run."""
     if not len(words):

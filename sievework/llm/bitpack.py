@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import tokens
-from .common import bounded_broadcast, materialize, scratch, table
+from .common import materialize, scratch, table
 
 MAGIC = b"SWBP"
 HEAD = struct.Struct("<4sBBI")
@@ -163,13 +163,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             writer = None
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k, doc_id in enumerate(ids):
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     sink = fs.open_output_stream(f"{root}/_attempt-{attempt}.tmp")
                     writer = ShardWriter(sink, bits)
-                writer.add(doc_id, np.frombuffer(enc.encode(texts[k].as_py()) + end, "<u4"))
+                writer.add(doc_id, np.frombuffer(encoded + end, "<u4"))
                 if writer.at >= shard_bytes:
                     finish()
         if writer is not None:

@@ -49,9 +49,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int =
         kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
         held = 0
         for batch in batches:
-            texts = batch.column(1)
-            for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = enc.encode(texts[k].as_py()) + end
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
+                ids = encoded + end
                 n, start = len(ids) // 4, 0
                 for length in cut(n, longest):
                     i = nth.get(length, 0)

@@ -10,17 +10,23 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 #: Entries of each of a cache's two generations.
 GENERATION = 250_000
+#: Characters of text that are tokenised together.
+GROUP_CHARS = 400_000
 #: Longer stretches are tokenised without being kept.
 CACHE_CHARS = 48
 
 _ODD = re.compile(r"[\x1c-\x1f\x85]|<\|")
 #: The byte-level split with any run of non-space in the place of its finer classes, which only split such runs further.
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Letters of one class, then ASCII signs: the two are tokenised apart, and letters here lower-case and compose one by one.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~]*)")
 _open: dict[str, "Encoder"] = {}
 
 
@@ -31,23 +37,6 @@ def encoder(path: str) -> "Encoder":
     return _open[path]
 
 
-class _Cache(dict):
-    """Ids by stretch; when it is full, what was not asked for since the last time goes."""
-
-    def __init__(self):
-        super().__init__()
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, part: str) -> bytes:
-        self[part] = ids = self.older[part]
-        return ids
-
-    def make_room(self) -> None:
-        if len(self) >= GENERATION:
-            self.older = dict(self)
-            self.clear()
-
-
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,7 +44,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache = _Cache()
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         ids = self.tokenizer.encode("a  b", add_special_tokens=False).ids
         self.drops_space = self.tokenizer.encode("a b", add_special_tokens=False).ids == ids
 
@@ -90,25 +80,65 @@ class Encoder:
             for p, a, b in zip(group, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 self.cache[p] = data[a:b]
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of text as little-endian unsigned 32-bit integers; null is the empty text."""
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._direct(text)
-        parts = text.replace("\n", " ").split(" ") if self.drops_space else _BYTE_LEVEL.findall(text)
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, parts))
-        except KeyError:
-            pass
-        cache.make_room()
-        older = cache.older
-        new = [p for p in set(parts) if p and p not in cache and p not in older and len(p) <= CACHE_CHARS]
+    def _know(self, parts: set[str]) -> list[str]:
+        """Makes the cache hold all parts; those too long to stay."""
+        if len(self.cache) >= GENERATION:  # what was not asked for since the last time goes
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        missing = parts.difference(cache)
+        if older:
+            back = [p for p in missing if p in older]
+            cache.update(zip(back, map(older.__getitem__, back), strict=True))
+            missing.difference_update(back)
+        long = [p for p in missing if len(p) > CACHE_CHARS]
+        for p in long:
+            cache[p] = self._direct(p)
+        missing.difference_update(long)
+        missing.discard("")
+        cache[""] = b""
+        joined, stems = [], set()
+        for p in missing:
+            if m := _PLAIN.fullmatch(p):
+                joined.append((p, m[1].lower() if self.drops_space else m[1], m[2]))
+                stems.add(joined[-1][1])
+                stems.add(m[2])
+            else:
+                stems.add(p)
+        stems.discard("")
+        new = [p for p in stems if p not in cache]
+        for p in new:
+            if p in older:
+                cache[p] = older[p]
+        new = [p for p in new if p not in cache]
         for i in range(0, len(new), 256):
             self._learn(new[i : i + 256])
-        cache[""] = b""
-        return b"".join([cache[p] if len(p) <= CACHE_CHARS else self._direct(p) for p in parts])
+        for p, stem, tail in joined:
+            cache[p] = cache[stem] + cache[tail]
+        return long
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null is the empty text."""
+        at = 0
+        while at < len(texts):  # a few hundred thousand characters at a time, so frequent words are looked up once for many texts
+            cut, size, split = at, 0, []
+            while cut < len(texts) and (size == 0 or size < GROUP_CHARS):
+                text = texts[cut] or ""
+                size += len(text) + 1
+                if _ODD.search(text):
+                    split.append(text)
+                else:
+                    split.append(text.replace("\n", " ").split(" ") if self.drops_space else _BYTE_LEVEL.findall(text))
+                cut += 1
+            long = self._know(set(chain.from_iterable(x for x in split if isinstance(x, list))))
+            get = self.cache.__getitem__
+            for x in split:
+                yield b"".join(map(get, x)) if isinstance(x, list) else self._direct(x)
+            for p in long:
+                self.cache.pop(p, None)
+            at = cut
+
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_many([text]))
 
 
 def public(name: str) -> str:

@@ -152,9 +152,9 @@ def rerank_gate(spark, d):
 
 
 @query(f"""WITH {_RERANKED}, kbq AS (SELECT doc_id AS query_id, source AS kb_id FROM documents WHERE doc_id % 20 = 0), j AS (SELECT rr.*, d.source AS own, kbq.kb_id FROM rr JOIN documents d ON d.doc_id = chunk_id JOIN kbq USING (query_id)),
-sc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS n FROM j WHERE own = kb_id), al AS (SELECT *, new_rank AS n FROM j WHERE new_rank <= 5),
-tp AS (SELECT query_id, max(rerank_score) AS top FROM sc WHERE n <= 5 GROUP BY 1), ch AS (SELECT kbq.query_id, coalesce(top, 0) >= 0.6 AS stay FROM kbq LEFT JOIN tp USING (query_id))
-SELECT query_id, chunk_id, rerank_score, 'kb' AS scope FROM sc JOIN ch USING (query_id) WHERE stay AND n <= 5 UNION ALL SELECT query_id, chunk_id, rerank_score, 'global' FROM al JOIN ch USING (query_id) WHERE NOT stay""")
+ks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS n FROM j WHERE own = kb_id), al AS (SELECT *, new_rank AS n FROM j WHERE new_rank <= 5),
+tp AS (SELECT query_id, max(rerank_score) AS top FROM ks WHERE n <= 5 GROUP BY 1), ch AS (SELECT kbq.query_id, coalesce(top, 0) >= 0.6 AS stay FROM kbq LEFT JOIN tp USING (query_id))
+SELECT query_id, chunk_id, rerank_score, 'kb' AS scope FROM ks JOIN ch USING (query_id) WHERE stay AND n <= 5 UNION ALL SELECT query_id, chunk_id, rerank_score, 'global' FROM al JOIN ch USING (query_id) WHERE NOT stay""")
 def two_stage_fallback(spark, d):
     docs = _t(spark, d, "documents")
     asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("source").alias("kb_id"))

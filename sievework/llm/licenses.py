@@ -158,6 +158,7 @@ class Model:
         right = p.max(axis=1)[p.argmax(axis=1) == yh]
         self.least = float(np.quantile(right, 0.01)) if len(right) else 0.5
         self.templates = {f: [_pairs(w) for w in _split(n)] for f, n in NOTICES.items()}
+        self.known = {p for ts in self.templates.values() for t in ts for p in t} | {p for w in _split(OTHERS) for p in _pairs(w)}
 
     def gate_scores(self, f: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Probability that each stretch of features states a licence."""
@@ -168,11 +169,13 @@ class Model:
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z / self.gate_t, -50, 50))), 0)
 
     def family(self, window: str) -> tuple[str, float, float]:
-        """(family, its probability, match with its templates) of a window that states a licence."""
+        """(family, its probability, match with its templates) of a window that may state a licence; "" if it shares fewer than two word pairs with all notices."""
         p = _softmax((_matrix([window]) @ self.kind[0] + self.kind[1]) / self.kind_t)[0]
         k = int(p.argmax())
         name, own = self.families[k], _pairs(_split([window])[0])
         match = max((len(own & t) / max(1, min(len(own), len(t))) for t in self.templates.get(name, [])), default=0.0)
+        if len(own & self.known) < 2:
+            return "", float(p[k]), match
         if k == 0 or p[k] < self.least or match < TEMPLATE_MATCH:
             name = UNKNOWN
         return name, float(p[k]), match
@@ -230,6 +233,8 @@ def scan(docs: DataFrame, gate: float = 0.5, sample_lines: int = SAMPLE_LINES) -
                     k = first + int(line[w])
                     text = flat[k].as_py()
                     name, q, match = model.family(" ".join(_split([text])[0][int(s[w] - at[line[w]]) : int(e[w] - at[line[w]])]))
+                    if not name:
+                        continue
                     row = (ids[parent[k]], int(k - starts[parent[k]]) + 1, name, float(p[w]), q, match, text)
                     if k not in rows or (name != UNKNOWN, p[w]) > (rows[k][2] != UNKNOWN, rows[k][3]):
                         rows[k] = row

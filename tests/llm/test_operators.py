@@ -1,0 +1,307 @@
+"""Each operator against brute force, and on nulls, empty and long texts, repeats, empty tables and clashing columns."""
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from oracle import connect, same
+from pyspark.sql import functions as F
+
+from sievework.llm import bitpack, chat, components, embeddings, html, jaccard, licenses, mixing, packing, passages, quality, queries, shingles, tokens
+from sievework.llm.common import table
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, __size string"
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents with what no operator may stumble over."""
+    long = prose(1, 6000)
+    texts = [None, "", "  \n\t ", "one", prose(2, 80), prose(2, 80), prose(2, 79) + " changed", long, long + " end", "a a a a a a a a a a a a", prose(3, 60), prose(3, 60)]
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}" if i % 5 else None, len(t or ""), "x", "y") for i, t in enumerate(texts)]
+    rows += [(None, prose(4, 70), None, None, 1, None, None), rows[4], (4, prose(5, 70), "en", "s0", 3, "x", "y")]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, data, name):
+    same(queries.queries()[name](spark, data), connect(data), queries.oracle_sql()[name])
+
+
+def test_quality_edges(spark, odd, empty):
+    got = quality.quality_rules(odd).collect()
+    assert len(got) == odd.count()
+    assert {r.doc_id: r.n_words for r in got if r.doc_id in (0, 1, 2, 3)} == {0: 0, 1: 0, 2: 0, 3: 1}
+    assert next(r for r in got if r.doc_id == 9).n_repeat_words == 12
+    assert quality.quality_rules(empty).count() == 0 and quality.keep_clean(empty).columns == empty.columns
+    assert quality.keep_clean(odd).count() == sum(r.kept for r in got)
+
+
+def test_sketches_merge(spark, data):
+    m = quality.with_metrics(table(spark, data, "documents").select("doc_id", "text", "lang", "source"))
+    a, b = quality.sketches(m.where("doc_id % 2 = 0")), quality.sketches(m.where("doc_id % 2 = 1"))
+    both = quality.merge(a.unionByName(b), "lang", "source")
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, quality.merge(quality.sketches(m), "lang", "source").collect()))
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|user x|>"), (1, 2, "bob", None), (1, 300, "ann", "late"), (None, 0, None, "lost"), (2, 0, "system", "alone"), (1, 1, "ann", "hi <|user x|>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.render(df).collect()
+    assert {(r.conv_id, r.speaker, r.part) for r in got} == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 2), (1, "bob", 2), (None, "unknown", 0)}
+    for r in got:
+        for s in r.spans:
+            assert r.text[s.start : s.end] in ("hi <\\|user x|>", "", "late", "lost")
+    assert next(r for r in got if r.speaker == "ann" and r.part == 0).mask == "0110"
+    assert chat.render(df.limit(0)).count() == 0
+
+
+def test_mixing(spark, data, odd, empty):
+    rows = mixing.mix(table(spark, data, "documents")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source_size, r.target].append(r)
+        assert 0 <= r.taken <= 3 * r.size
+    for (_, target), rs in by.items():
+        assert sum(r.taken for r in rs) == int(target)
+    assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns
+    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in mixing.mix(odd).collect())
+
+
+def test_mixing_targets(spark):
+    sizes = [("a", 100), ("b", 10), ("c", 50), ("d", 1), (None, 400)]
+    df = mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()
+    got = {r["__skey"]: r["target"] for r in df}
+    want, weights = {}, dict(zip(["sa", "sb", "sc", "sd", "n"], [1, 2, 3, 1, 2]))
+    caps = {("s" + s if s else "n"): 3 * n for s, n in sizes}
+    left, open_ = 561.0, dict(weights)
+    while True:  # share by weight, stop those above their cap, share the rest again
+        share = {k: left * w / sum(open_.values()) for k, w in open_.items()}
+        over = [k for k in open_ if share[k] > caps[k]]
+        if not over:
+            want |= share
+            break
+        for k in over:
+            want[k] = float(caps[k])
+            left -= caps[k]
+            del open_[k]
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_equal_the_tokenizer(spark, data, name):
+    enc = tokens.Encoder(tokens.public(name))
+    texts = [r.text for r in table(spark, data, "documents").select("text").limit(150).collect()]
+    texts += ["a\n\nb \n c  d\t e f don't I'LL  \n", "", "  ", " x", "x \n", "　a b", "<|endoftext|> hi", "a\x1cb", "é, ö.", "Hello, WORLD! ÀÉ. it's x' 's", "ß,ÿ! ſ İ.", "a_b c-d e/f (g) \"h\" i;j", " ,", "x" * 300 + " y", None]
+    for text, got in zip(texts, enc.encode_many(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == enc.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_bit_packing(spark, data, odd, empty):
+    rng = np.random.default_rng(3)
+    for bits in (1, 7, 13, 16, 17):
+        ids = rng.integers(0, 1 << bits, 1001).astype("<u4")
+        assert (bitpack.unpack(bitpack.pack(ids, bits), len(ids), bits) == ids).all()
+    tok = tokens.Encoder(tokens.public("word_bpe_49k.json"))
+    docs = table(spark, data, "documents")
+    rows = sorted(bitpack.op4_bit_packing(spark, data).collect(), key=lambda r: r.doc_id)
+    start = 0
+    for r, d in zip(rows, docs.orderBy("doc_id").collect(), strict=True):
+        ids = tok.encode(d.text) + np.array([1], "<u4").tobytes()
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, start, len(ids) // 4, zlib.crc32(ids))
+        start += r.n_tokens
+    from sievework.llm.common import scratch
+
+    for df in (odd, empty):
+        folder = scratch(spark, "test")
+        man = bitpack.write_shards(df, folder, tokens.public("word_bpe_49k.json"), shard_bytes=5_000)
+        got = bitpack.read_documents(man, folder).orderBy("start").collect()
+        assert len(got) == df.count() and [g.start for g in got] == [0, *np.cumsum([len(g.ids) // 4 for g in got]).tolist()][: len(got)]
+        assert [g.doc_id for g in got] == sorted((g.doc_id for g in got), key=lambda x: (x is not None, x))
+
+
+def test_random_access(tmp_path):
+    path = tmp_path / "a.swbp"
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 50_000, n).astype("<u4") for n in (3, 0, 5000, 1, 9000)]
+    with path.open("wb") as f:
+        w = bitpack.ShardWriter(f, 17, 64)
+        for i, d in enumerate(docs):
+            w.add(None if i == 1 else i, d)
+        w.close()
+    with path.open("rb") as f:
+        s = bitpack.Shard(f)
+        assert all((s.document(i) == d).all() and len(s.document(i)) == len(d) for i, d in enumerate(docs))
+
+
+def test_packing(spark, data, odd, empty):
+    tok = tokens.Encoder(tokens.public(packing.TOKENIZER))
+    rows = packing.op5_packing(spark, data).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+        assert r.length & (r.length - 1) == 0 and r.length <= 2048 and r.offset == 0
+    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+    for d in table(spark, data, "documents").collect():
+        ids = tok.encode(d.text) + np.array([1], "<u4").tobytes()
+        got = sorted(by[d.doc_id], key=lambda r: r.start)
+        assert sum(r.length for r in got) == len(ids) // 4 == got[0].doc_tokens
+        assert all(zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 for r in got)
+    assert packing.pack(empty, tokens.public(packing.TOKENIZER)).count() == 0
+    odd_rows = packing.pack(odd, tokens.public(packing.TOKENIZER)).collect()
+    assert sum(r.length for r in odd_rows) == sum(len(tok.encode(r.text)) // 4 + 1 for r in odd.collect())
+
+
+def jaccard_links(texts):
+    sets = []
+    for t in texts:
+        w = WORD.findall(t or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    links = defaultdict(set)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                links[i].add(j)
+                links[j].add(i)
+    return links
+
+
+def test_jaccard(spark, data, odd, empty):
+    for df in (table(spark, data, "documents"), odd):
+        texts = df.select("doc_id", "text").collect()
+        links = jaccard_links([r.text for r in texts])
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_links) for r in jaccard.jaccard_join(df).collect())
+        assert got == sorted((-1 if r.doc_id is None else r.doc_id, len(links[i])) for i, r in enumerate(texts))
+    kept = jaccard.keep_one(odd)
+    assert kept.columns == odd.columns
+    links = jaccard_links([r.text for r in kept.collect()])
+    assert not any(links.values()) and kept.where("text is null").count() == 1
+    assert jaccard.jaccard_join(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
+
+
+def test_jaccard_matrix_equals_pairs():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(200) > 0.06], rng.integers(0, 1 << 60, 5).astype(np.uint64)]) for _ in range(60)]
+    i, j = np.nonzero(np.tri(60, k=-1, dtype=bool))
+    whole = jaccard.verified(sets, i, j)
+    assert 0 < whole.sum() < len(i)
+    assert (whole == np.concatenate([jaccard.verified(sets, i[k : k + 1], j[k : k + 1]) for k in range(len(i))])).all()
+
+
+def test_passages(spark, odd, empty):
+    shared = prose(77, 60)
+    w = shared.split()
+    fuzzy = " ".join(w[:20] + ["new"] + w[21:40] + w[42:])
+    rows = [(i, f"{prose(100 + i, 90)} {shared} {prose(200 + i, 40)}") for i in range(12)] + [(50, f"{prose(300, 30)} {fuzzy} {prose(301, 70)}"), (60, prose(400, 300)), (61, prose(401, 49)), (62, prose(401, 49)), (63, prose(402, 55)), (64, prose(402, 55))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.repeated_passages(df).collect()
+    found = {r.doc_id for r in got} | {r.match_doc_id for r in got}
+    assert found == {*range(12), 50, 63, 64}
+    assert all(r.n_words >= 50 for r in got)
+    left = passages.remove_repeats(df).collect()
+    assert sum(shared in r.text for r in left) == 1 and len(left) == len(rows) - 1
+    assert {r.doc_id: r.text for r in left}[60] == prose(400, 300)
+    assert passages.remove_repeats(odd).columns == odd.columns and passages.repeated_passages(empty).count() == 0 and passages.remove_repeats(empty).count() == 0
+    assert passages.remove_repeats(odd).where("text is null").count() == 1
+
+
+def test_chains_take_the_best_order():
+    own, other = np.array([0, 10, 20, 30, 15]), np.array([100, 110, 120, 130, 5])
+    best = passages.chains(own, other)
+    assert sorted(map(list, best), key=len)[-1] == [0, 1, 2, 3]
+    assert passages.without("a  b c\nd", [(1, 3)]) == "a  \nd"
+
+
+def test_embeddings(spark, data, empty):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((40, 16))
+    v = np.concatenate([base, base[:10] + 0.12 * rng.standard_normal((10, 16)), base[:5], 3 * base[5:8]])
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(100, None), (101, [0.0] * 16), (102, [float("nan")] * 16), (103, []), (104, [1.0, None]), (None, [float(x) for x in base[20]]), (105, [1.0, 0.0]), (105, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("n", F.lit(1))
+    u = np.array([r[1] for r in rows[: len(v)]], np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    want = near.sum(axis=1)
+    want[20] += 1
+    assert [got[i].n_links for i in range(len(v))] == want.tolist()
+    assert all(got[i].n_links == 0 and got[i].kept for i in (100, 101, 102, 103, 104)) and got[105].n_links == 1
+    assert all(got[i].component_id <= i and got[i].kept == (got[i].component_id == i) for i in range(len(v)))
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in root}
+
+
+def test_html():
+    page = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>menu</li></ul></nav><header>top</header><div class="cookie-notice">ok?</div>
+    <article><h1>Head &amp; more</h1><p>One <b>bold</b>\n word.<br>Two<p>Three &lt;x&gt;<div class="ad">buy</div><form>f</form><script>var t="</p>";</script><section class="comments"><p>hey</p></section></article><aside>side</aside><footer>foot</footer>"""
+    assert html.main_text(page) == "Head & more\nOne bold word.\nTwo\nThree <x>"
+    assert html.main_text(None) == "" == html.main_text("") and html.main_text("plain  text") == "plain text"
+    assert html.main_text("<div><p>a<p>b") == "a\nb"
+
+
+def test_html_templates(spark):
+    rows = [(i, "http://h.example/x", f"<html><body><div>Site name</div><div>All pages say so</div><div><p>{prose(i, 20)}</p></div></body></html>") for i in range(5)] + [(9, None, None), (10, "bad url", "<p>x"), (9, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r.page_id: r for r in html.extract(df).collect()}
+    assert all(got[i].text == prose(i, 20) and got[i].n_chars == len(prose(i, 20)) for i in range(5))
+    assert got[9].text == "" and got[10].text == "x" and html.extract(df).count() == 8 and html.extract(df.limit(0)).count() == 0
+
+
+def test_pages_against_plain_reading(spark, data):
+    for r in table(spark, data, "pages").collect():
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        body = re.sub(r"<br>|</?p>|</?h1>", "\n", re.sub(r"</?b>", "", body))
+        lines = [" ".join(html.entities.unescape(x).split()) for x in body.split("\n")]
+        assert html.main_text(r.html) == "\n".join(x for x in lines if x)
+
+
+def test_licenses(spark, odd, empty):
+    model = licenses._model(())
+    assert model.gate_accuracy > 0.97 and model.kind_accuracy > 0.95
+    filler = prose(8, 200)
+    rows = [(1, f"{prose(6, 40)}\nReleased under the MIT License.\n{prose(7, 40)}"), (2, filler), (3, "Licensed under CC BY-NC 4.0."), (4, f"{filler} Licensed under the Apache License, Version 2.0. {filler}"), (5, "Released under the Frobnicate Public Terms License."), (6, None), (7, "")]
+    got = {r.doc_id: r.family for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(5, licenses.UNKNOWN) == licenses.UNKNOWN
+    assert got == {1: "MIT", 3: "CC-BY-NC", 4: "Apache-2.0"}
+    assert licenses.scan(empty).count() == 0
+    licenses.scan(odd).count()
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    texts = ["a b a", None, "", " x\ty\n", "a", "é a"] + [prose(3, 2000)] * 3
+    got = {k: h for k, h in shingles.word_hashes(pa.array(texts)[1:]) for k in [k + 1]}
+    assert all(len(got[i]) == len(WORD.findall(t or "")) for i, t in enumerate(texts) if i)
+    assert got[4][0] == got[5][1] != got[5][0]
+    assert len(Counter(got[6].tolist())) == len(set(texts[6].split()))

@@ -201,10 +201,21 @@ def windows(at: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, n
     return line, first, np.minimum(first + span, at[1:][line])
 
 
+def sampled_lines(docs: DataFrame, n: int) -> list[str]:
+    """At most n distinct lines (400 characters at most), those with the least hashes.
+
+    Lines above a hash bound that leaves about 8 n are left out before any shuffle, so what is brought together stays small.
+    """
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("t")).where("trim(t) <> ''").select(F.substring("t", 1, 400).alias("t")).withColumn("h", F.xxhash64("t"))
+    share = min(1.0, 8 * n / max(1, lines.count()))
+    bound = min(2**63 - 1, -(2**63) + int(share * 2**64))
+    found = lines.where(F.col("h") <= F.lit(bound).cast("long")).groupBy("h").agg(F.min("t").alias("t"))
+    return [r["t"] for r in found.orderBy("h").limit(n).collect()]
+
+
 def scan(docs: DataFrame, gate: float = 0.5, sample_lines: int = SAMPLE_LINES) -> DataFrame:
     """doc_id, line, family, gate_probability, family_probability, template_match, text: one row per paragraph that states a licence."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("t")).where("trim(t) <> ''").select(F.substring("t", 1, 400).alias("t")).groupBy(F.xxhash64("t").alias("h")).agg(F.min("t").alias("t"))
-    texts = [r["t"] for r in lines.orderBy("h").limit(sample_lines).collect()]
+    texts = sampled_lines(docs, sample_lines)
     # a sampled line that is itself a notice is no example of other text
     known = {p for n in NOTICES.values() for w in _split(n) for p in _pairs(w)} | {p for w in _split(OTHERS) for p in _pairs(w)}
     sample = [t for t, w in zip(texts, _split(texts), strict=True) if len(_pairs(w) & known) < 0.3 * len(_pairs(w))]

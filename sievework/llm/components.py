@@ -18,7 +18,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the join's sides are plain shuffles and the rows of a node with very many edges can be split
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{label}-low")
         hung = both.join(low, "u")
         if large:
             out = hung.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -22,11 +22,13 @@ GROUP_CHARS = 400_000
 #: Longer stretches are tokenised without being kept.
 CACHE_CHARS = 48
 
-_ODD = re.compile(r"[\x1c-\x1f\x85]|<\|")
+#: Characters that Python and the tokenizers class differently, and the start of special tokens.
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-/:-@\[-^`{-~]+"
+#: A word of plain letters and the signs after it are tokenised apart, also where the signs end it; other words stay whole.
+_WORDS = re.compile(rf"{_LETTERS}(?=(?:{_SIGNS})?(?:[ \n]|$))|{_SIGNS}(?=[ \n]|$)|[^ \n]+")
 #: The byte-level split with any run of non-space in the place of its finer classes, which only split such runs further.
-_BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Letters of one class, then ASCII signs: the two are tokenised apart, and letters here lower-case and compose one by one.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~]*)")
+_BYTE_LEVEL = re.compile(rf" ?{_LETTERS}(?=(?:{_SIGNS})?(?:\s|$))|{_SIGNS}(?=\s|$)| ?\S+|\s+(?!\S)|\s+")
 _open: dict[str, "Encoder"] = {}
 
 
@@ -37,6 +39,15 @@ def encoder(path: str) -> "Encoder":
     return _open[path]
 
 
+def _lower(text: str) -> str:
+    """text in lower case where that is the tokenizer's own lower case, for fewer stretches to know."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -96,24 +107,9 @@ class Encoder:
         missing.difference_update(long)
         missing.discard("")
         cache[""] = b""
-        joined, stems = [], set()
-        for p in missing:
-            if m := _PLAIN.fullmatch(p):
-                joined.append((p, m[1].lower() if self.drops_space else m[1], m[2]))
-                stems.add(joined[-1][1])
-                stems.add(m[2])
-            else:
-                stems.add(p)
-        stems.discard("")
-        new = [p for p in stems if p not in cache]
-        for p in new:
-            if p in older:
-                cache[p] = older[p]
-        new = [p for p in new if p not in cache]
+        new = list(missing)
         for i in range(0, len(new), 256):
             self._learn(new[i : i + 256])
-        for p, stem, tail in joined:
-            cache[p] = cache[stem] + cache[tail]
         return long
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -124,10 +120,10 @@ class Encoder:
             while cut < len(texts) and (size == 0 or size < GROUP_CHARS):
                 text = texts[cut] or ""
                 size += len(text) + 1
-                if _ODD.search(text):
+                if any(odd in text for odd in _ODD):
                     split.append(text)
                 else:
-                    split.append(text.replace("\n", " ").split(" ") if self.drops_space else _BYTE_LEVEL.findall(text))
+                    split.append(_WORDS.findall(_lower(text)) if self.drops_space else _BYTE_LEVEL.findall(text))
                 cut += 1
             long = self._know(set(chain.from_iterable(x for x in split if isinstance(x, list))))
             get = self.cache.__getitem__

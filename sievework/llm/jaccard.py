@@ -28,25 +28,25 @@ from .shingles import runs, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
-HASHES = 144
-ROWS = 6
-SLICE = 36
+HASHES = 90
+ROWS = 5
+SLICE = 30
 TOLERANCE = 1e-6
 SEED = 30_011
 BLOCK = 384
 #: Texts under which pairs are intersected one by one rather than by matrix products.
 PAIRWISE = 64
 
-_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """HASHES values of a non-empty set: the least of its products with odd multipliers, their upper 32 bits."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048]
-        np.minimum(low, (part[None, :] * _MULTIPLIERS[:, None]).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+    """HASHES values of a non-empty set: the least of its upper 32 bits' products with odd multipliers."""
+    upper = (shingles >> np.uint64(32)).astype(np.uint32)
+    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(upper), 2048):
+        np.minimum(low, np.multiply.outer(_MULTIPLIERS, upper[at : at + 2048]).min(axis=1), out=low)
+    return low
 
 
 def bands(signature: np.ndarray) -> np.ndarray:

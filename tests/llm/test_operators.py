@@ -229,6 +229,32 @@ def test_chains_take_the_best_order():
     assert passages.without("a  b c\nd", [(1, 3)]) == "a  \nd"
 
 
+def test_stretches_with_an_edit_towards_one_end():
+    laid = lambda *parts: [(at, at, n) for at, n in parts]
+    assert passages.similar_stretches(laid((0, 46), (48, 6))) == [(0, 54, 0, 54, 52)]
+    assert passages.similar_stretches(laid((0, 15), (19, 49))) == [(0, 68, 0, 68, 64)]
+    assert passages.similar_stretches(laid((0, 49))) == [] == passages.similar_stretches([]) and passages.similar_stretches(laid((0, 30), (45, 30))) == [(0, 75, 0, 75, 60)]
+    rng = random.Random(8)
+    for _ in range(300):
+        blocks, i, j = [], 0, 0
+        for _ in range(rng.randint(1, 9)):
+            n = rng.randint(1, 40)
+            blocks.append((i, j, n))
+            i, j = i + n + rng.randint(0, 12), j + n + rng.randint(0, 12)
+        fits = []
+        for s in range(len(blocks)):
+            for e in range(s, len(blocks)):
+                equal = sum(b[2] for b in blocks[s : e + 1])
+                edited = sum(max(b[c] - a[c] - a[2] for c in (0, 1)) for a, b in zip(blocks[s:e], blocks[s + 1 : e + 1]))
+                size = min(blocks[e][c] + blocks[e][2] - blocks[s][c] for c in (0, 1))
+                if size >= 50 and 10 * equal >= 8 * (equal + edited):
+                    fits.append((blocks[s][0], blocks[e][0] + blocks[e][2], size))
+        got = passages.similar_stretches(blocks)
+        assert bool(got) == bool(fits) and all(any(a < f and s < b for a, b, *_ in got) for s, f, _ in fits)
+        assert {g[:2] for g in got} <= {f[:2] for f in fits}
+        assert not fits or min(got[0][1] - got[0][0], got[0][3] - got[0][2]) == max(f[2] for f in fits)
+
+
 def test_embeddings(spark, data, empty):
     rng = np.random.default_rng(9)
     base = rng.standard_normal((40, 16))

@@ -255,6 +255,22 @@ def test_stretches_with_an_edit_towards_one_end():
         assert not fits or min(got[0][1] - got[0][0], got[0][3] - got[0][2]) == max(f[2] for f in fits)
 
 
+def test_passages_whose_parts_stand_elsewhere(spark):
+    shared = prose(78, 60)
+    w = shared.split()
+    parts = [" ".join(w[:30]), " ".join(w[30:])]
+    texts = [f"{prose(500 + i, 80)} {x} {prose(600 + i, 80)}" for i, x in enumerate([shared] * 4 + [parts[i % 2] for i in range(40)])]
+    texts += [f"{parts[0]} {prose(700 + i, 200)} {parts[1]}" for i in range(20)]  # both parts, far from each other
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tids = [r.t for r in df.orderBy("doc_id").select(F.xxhash64("text").alias("t")).collect()]
+    assert min(tids[:4]) > min(tids[4:44:2]) and min(tids[:4]) > min(tids[5:44:2])  # parts are the heads of all seeds of one side
+    got = passages.repeated_passages(df).collect()
+    top = min(range(4), key=lambda i: tids[i])
+    assert {r.doc_id for r in got if r.match_doc_id == top} == {0, 1, 2, 3} - {top} and {r.doc_id for r in got} | {r.match_doc_id for r in got} == {0, 1, 2, 3}
+    assert all(r.n_words == r.equal_words == 60 and (r.start, r.match_start) == (80, 80) for r in got)
+    assert sum(shared in r.text for r in passages.remove_repeats(df).collect()) == 1
+
+
 def test_embeddings(spark, data, empty):
     rng = np.random.default_rng(9)
     base = rng.standard_normal((40, 16))

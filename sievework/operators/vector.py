@@ -42,15 +42,18 @@ def top_k_batch(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int
         a, b, qi, vi = x[side == 0], x[side == 1], ids[side == 0], ids[side == 1]
         if not len(a) or not len(b):
             return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        rough = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        keep = min(k + 8, len(b))  # a few more than k, as the product rounds; those are scored term by term
-        near = np.argpartition(rough, keep - 1, axis=1)[:, :keep]
+        a2, b2 = (a * a).sum(1), (b * b).sum(1)
+        rough = a2[:, None] + b2[None, :] - 2 * a @ b.T
+        # all that rounding of the product or of scores may tie with the k-th, however many; those are scored term by term
+        slack = 1e-8 + 8 * (a.shape[1] + 4) * np.finfo(float).eps * (a2 + b2.max())
+        kept = ~(rough > (np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1] + slack)[:, None])
         out_q, out_v, out_s = [], [], []
         for i in range(len(a)):
-            score = 1 - ((b[near[i]] - a[i]) ** 2).sum(axis=1)
-            order = np.lexsort((vi[near[i]], -score))[:k]
+            near = np.flatnonzero(kept[i])
+            score = 1 - ((b[near] - a[i]) ** 2).sum(axis=1)
+            order = np.lexsort((vi[near], -np.round(score, 9)))[:k]
             out_q += [qi[i]] * len(order)
-            out_v += vi[near[i]][order].tolist()
+            out_v += vi[near][order].tolist()
             out_s += score[order].tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "chunk_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 

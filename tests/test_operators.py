@@ -12,6 +12,16 @@ def rows(df, *cols):
     return [tuple(r[c] for c in cols) for r in df.collect()]
 
 
+def test_top_k_batch_ties(spark):
+    from sievework.operators import vector
+
+    rows = [(i, [0.6, 0.8]) for i in range(300, 0, -1)] + [(1000 + i, [1.0, i / 50]) for i in range(50)]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(7, [0.6, 0.8]), (8, [0.6, 0.7])], "query_id long, embedding array<double>")
+    got = vector.top_k_batch(q, v, 20).collect()
+    assert {k: [r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == k] for k in (7, 8)} == dict.fromkeys((7, 8), list(range(1, 21)))
+
+
 def test_rrf(spark):
     hits = lambda xs: spark.createDataFrame([(1, c, i) for i, c in enumerate(xs, 1)], "query_id int, chunk_id string, rank int")
     out = fusion.best(fusion.rrf({"vector": hits(["c1", "c2"]), "keyword": hits(["c2", "c3"]), "graph": hits(["c3"])}))

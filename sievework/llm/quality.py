@@ -2,10 +2,13 @@
 
 Each document gets integer metrics. A log-linear histogram per (lang, source, metric) is the sketch: a value keeps its
 leading bits, so a bucket is at most 1/64 wide relative to its value, two sketches merge by adding counts, and the result
-is the same for any partitioning. Quantiles of the sketch give the limits of each group:
+is the same for any partitioning. Tail quantiles of the sketch give the limits of each group; no limit is a constant:
 
-    upper = q50 + spread * (q50 - q25) + slack      lower = q50 - spread * (q75 - q50) - slack
+    upper = tail + spread * (tail - q50)      lower = head - spread * (q50 - head)
 
+where tail and head are the metric's upper and lower tail quantile. Values are compared by their bucket, so a limit holds to
+the sketch's resolution. Symbols have a quartile as their tail, as up to a quarter of a source may be junk; repetition has the
+99th percentile alone, so at most one document in a hundred of a source goes by it; lengths have fences around their tails.
 Groups with under ``min_rows`` rows take the sketch of their language, merged from its sources, or that of all languages.
 
 Null text counts as no words; null lang and null source are groups of their own; empty tables give empty results.
@@ -17,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import bind, bounded_broadcast, materialize, table, words
 
-#: metric -> (slack, has a lower limit); ratios are in millionths, mean word length in thousandths of a character.
-METRICS = {"symbols": (20_000, False), "dup_lines": (400_000, False), "word_len": (1_000, True)}
-SPREAD = 8
-MIN_ROWS = 50
+#: metric -> (percent of the tail quantile, spread, has a lower limit). Shares are in thousandths, mean word length in thousandths
+#: of a character, length in eighths of an octave of the number of words.
+METRICS = {"symbols": (75, 4, False), "dup_lines": (99, 0, False), "repeats": (99, 0, False), "word_len": (99, 1, True), "length": (99, 2, True)}
+#: Rows that a group needs for limits of its own: no fewer than a 99th percentile asks for.
+MIN_ROWS = 100
 WINDOW = 5
 
 
@@ -57,10 +61,13 @@ def with_metrics(docs: DataFrame) -> DataFrame:
     return df.drop("__w", "__lines").withColumn("__base_failed", failed)
 
 
-def _values() -> Column:
-    one = lambda name, value: F.struct(F.lit(name).alias("metric"), value.cast("long").alias("value"))
-    ratio = lambda a, b, by: F.floor(by * F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    return F.array(one("symbols", ratio("__n_symbols", "__word_chars", 1_000_000)), one("dup_lines", ratio("__n_dup_lines", "__n_lines", 1_000_000)), one("word_len", ratio("__word_chars", "__n_words", 1_000)))
+def _values() -> dict[str, Column]:
+    """The integer value of each metric."""
+    share = lambda a, b: F.floor(1_000 * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
+    bits = F.length(F.bin("__n_words"))
+    octaves = 8 * bits + F.call_function("shiftright", F.col("__n_words"), F.greatest(bits - 4, F.lit(0))).bitwiseAND(F.lit(7))
+    values = [share("__n_symbols", "__word_chars"), share("__n_dup_lines", "__n_lines"), share("__n_repeat", "__n_words"), share("__word_chars", "__n_words"), octaves.cast("long")]
+    return dict(zip(METRICS, values, strict=True))
 
 
 def bucket(value: Column) -> Column:
@@ -71,7 +78,7 @@ def bucket(value: Column) -> Column:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n) of the documents that pass the base rules: the mergeable sketches."""
-    rows = measured.where(~F.col("__base_failed")).select("lang", "source", F.explode(_values()).alias("v"))
+    rows = measured.where(~F.col("__base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in _values().items()])).alias("v"))
     return rows.groupBy("lang", "source", F.col("v.metric").alias("metric"), bucket(F.col("v.value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -80,20 +87,17 @@ def merge(sketch: DataFrame, *by: str) -> DataFrame:
     return sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def limits(sketch: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
+def limits(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """One row per (lang, source) with lo_/hi_ limits of each metric, from the finest level that has min_rows rows."""
 
     def quantiles(s: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy(*by, "metric")
-        s = s.withColumns({"cum": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w)})
+        of = lambda i: F.coalesce(*[F.when(F.col("metric") == m, F.lit(p[i])) for m, p in METRICS.items()])
+        s = s.withColumns({"cum": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w), "tail": of(0), "spread": of(1)})
         at = lambda q: F.min(F.when(100 * F.col("cum") >= q * F.col("total"), F.col("bucket")))
-        s = s.groupBy(*by, "metric").agg(F.max("total").alias("total"), at(25).alias("q25"), at(50).alias("q50"), at(75).alias("q75"))
-        out = []
-        for m, (slack, _) in METRICS.items():
-            mine = lambda c, m=m: F.max(F.when(F.col("metric") == m, c))
-            out.append(mine(F.col("q50") + spread * (F.col("q50") - F.col("q25")) + slack).alias(f"hi_{m}"))
-            out.append(mine(F.col("q50") - spread * (F.col("q75") - F.col("q50")) - slack).alias(f"lo_{m}"))
-        return s.groupBy(*by).agg(F.max("total").alias("total"), *out)
+        s = s.groupBy(*by, "metric", "spread").agg(F.max("total").alias("total"), at(F.col("tail")).alias("high"), at(F.lit(50)).alias("mid"), at(100 - F.col("tail")).alias("low"))
+        ends = {"hi": F.col("high") + F.col("spread") * (F.col("high") - F.col("mid")), "lo": F.col("low") - F.col("spread") * (F.col("mid") - F.col("low"))}
+        return s.groupBy(*by).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, c)).alias(f"{e}_{m}") for m in METRICS for e, c in ends.items()])
 
     cols = [f"{e}_{m}" for m in METRICS for e in ("hi", "lo")]
     own, lang = quantiles(sketch, "lang", "source"), quantiles(merge(sketch, "lang"), "lang")
@@ -107,12 +111,11 @@ def limits(sketch: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS) ->
 
 def judged(measured: DataFrame, found: DataFrame) -> DataFrame:
     """measured plus __kept: passes the base rules and lies within its group's limits."""
-    v = {m: _values()[i]["value"] for i, m in enumerate(METRICS)}
     inside = F.lit(True)
-    for m, (_, two_sided) in METRICS.items():
-        inside = inside & (v[m] <= F.col(f"__hi_{m}"))
-        if two_sided:
-            inside = inside & (v[m] >= F.col(f"__lo_{m}"))
+    for m, v in _values().items():
+        inside = inside & (bucket(v) <= F.col(f"__hi_{m}"))
+        if METRICS[m][2]:
+            inside = inside & (bucket(v) >= F.col(f"__lo_{m}"))
     joined = measured.join(found, measured["lang"].eqNullSafe(found["__lang"]) & measured["source"].eqNullSafe(found["__source"]), "left")
     kept = ~F.col("__base_failed") & F.coalesce(inside, F.lit(True))
     return joined.withColumn("__kept", kept).drop(*found.columns)
@@ -157,27 +160,27 @@ m AS (SELECT ws.rid, doc_id, lang, source, len(a)::BIGINT AS n_words, length(reg
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words
       FROM ws LEFT JOIN rep ON rep.rid = ws.rid),
-mb AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, (1000000 * n_symbols) // greatest(word_chars, 1) AS symbols,
-        (1000000 * n_dup_lines) // greatest(n_lines, 1) AS dup_lines, (1000 * word_chars) // greatest(n_words, 1) AS word_len FROM m)"""
+mb AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, (1000 * n_symbols) // greatest(word_chars, 1) AS symbols,
+        (1000 * n_dup_lines) // greatest(n_lines, 1) AS dup_lines, (1000 * n_repeat_words) // greatest(n_words, 1) AS repeats, (1000 * word_chars) // greatest(n_words, 1) AS word_len,
+        8 * length(ltrim(bin(n_words), '0')) + ((n_words >> greatest(length(ltrim(bin(n_words), '0')) - 4, 0)) & 7) AS length FROM m)"""
 
 
 def oracle() -> str:
+    of = lambda i: "CASE metric " + " ".join(f"WHEN '{m}' THEN {p[i]}" for m, p in METRICS.items()) + " END"
     group = lambda level, by: f"""
 c_{level} AS (SELECT {by}metric, bucket, sum(n) AS n FROM sk GROUP BY {by}metric, bucket),
-q_{level} AS (SELECT {by}metric, max(total) AS total, min(CASE WHEN 100 * cum >= 25 * total THEN bucket END) AS q25, min(CASE WHEN 100 * cum >= 50 * total THEN bucket END) AS q50,
-    min(CASE WHEN 100 * cum >= 75 * total THEN bucket END) AS q75
+q_{level} AS (SELECT {by}metric, max(total) AS total, [min(CASE WHEN 100 * cum >= {of(0)} * total THEN bucket END), min(CASE WHEN 100 * cum >= 50 * total THEN bucket END),
+    min(CASE WHEN 100 * cum >= (100 - {of(0)}) * total THEN bucket END)] AS q
   FROM (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {by}metric) AS total FROM c_{level}) GROUP BY {by}metric)"""
-    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in METRICS.items())
+    bucket = lambda v: f"(({v}) >> greatest(length(ltrim(bin({v}), '0')) - 7, 0)) << greatest(length(ltrim(bin({v}), '0')) - 7, 0)"
+    inside = " AND ".join(f"coalesce({bucket(m)} <= l_{m}.hi, true)" + (f" AND coalesce({bucket(m)} >= l_{m}.lo, true)" if two else "") for m, (_, _, two) in METRICS.items())
+    joins = "\n".join(f"LEFT JOIN lim l_{m} ON l_{m}.metric = '{m}' AND l_{m}.lang IS NOT DISTINCT FROM mb.lang AND l_{m}.source IS NOT DISTINCT FROM mb.source" for m in METRICS)
     return f"""WITH {_sql_metrics()},
-v AS (SELECT lang, source, 'symbols' AS metric, symbols AS v FROM mb WHERE NOT base_failed UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM mb WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'word_len', word_len FROM mb WHERE NOT base_failed),
-sk AS (SELECT lang, source, metric, (v >> s) << s AS bucket, count(*) AS n FROM (SELECT *, greatest(length(ltrim(bin(v), '0')) - 7, 0) AS s FROM v) GROUP BY 1, 2, 3, 4),
+v AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM mb WHERE NOT base_failed" for m in METRICS)}),
+sk AS (SELECT lang, source, metric, {bucket("v")} AS bucket, count(*) AS n FROM v GROUP BY 1, 2, 3, 4),
 {group("s", "lang, source, ")}, {group("l", "lang, ")}, {group("a", "")},
-best AS (SELECT s.lang, s.source, s.metric, CASE WHEN s.total >= {MIN_ROWS} THEN [s.q25, s.q50, s.q75] WHEN l.total >= {MIN_ROWS} THEN [l.q25, l.q50, l.q75] ELSE [a.q25, a.q50, a.q75] END AS q
+best AS (SELECT s.lang, s.source, s.metric, CASE WHEN s.total >= {MIN_ROWS} THEN s.q WHEN l.total >= {MIN_ROWS} THEN l.q ELSE a.q END AS q
   FROM q_s s LEFT JOIN q_l l ON l.lang IS NOT DISTINCT FROM s.lang AND l.metric = s.metric JOIN q_a a ON a.metric = s.metric),
-lim AS (SELECT lang, source, metric, q[2] + {SPREAD} * (q[2] - q[1]) + CASE metric {slack} END AS hi, q[2] - {SPREAD} * (q[3] - q[2]) - CASE metric {slack} END AS lo FROM best)
-SELECT mb.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(symbols <= y.hi, true) AND coalesce(dup_lines <= d.hi, true) AND coalesce(word_len BETWEEN wl.lo AND wl.hi, true) AS kept
-FROM mb LEFT JOIN lim y ON y.metric = 'symbols' AND y.lang IS NOT DISTINCT FROM mb.lang AND y.source IS NOT DISTINCT FROM mb.source
-LEFT JOIN lim d ON d.metric = 'dup_lines' AND d.lang IS NOT DISTINCT FROM mb.lang AND d.source IS NOT DISTINCT FROM mb.source
-LEFT JOIN lim wl ON wl.metric = 'word_len' AND wl.lang IS NOT DISTINCT FROM mb.lang AND wl.source IS NOT DISTINCT FROM mb.source"""
+lim AS (SELECT lang, source, metric, q[1] + {of(1)} * (q[1] - q[2]) AS hi, q[3] - {of(1)} * (q[2] - q[3]) AS lo FROM best)
+SELECT mb.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
+FROM mb {joins}"""

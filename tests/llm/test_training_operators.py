@@ -58,6 +58,26 @@ def test_sketches_merge(spark, data):
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, quality.merge(quality.sketches(m), "lang", "source").collect()))
 
 
+def test_limits_are_the_groups_own_quantiles(spark, data):
+    m = quality.with_metrics(table(spark, data, "documents").select("doc_id", "text", "lang", "source"))
+    values = m.where("not __base_failed").select("lang", "source", *[v.alias(k) for k, v in quality._values().items()]).collect()
+    got = {(r["__lang"], r["__source"]): r.asDict() for r in quality.limits(quality.sketches(m), min_rows=5).collect()}
+    floor = lambda v: v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0)
+    by = defaultdict(list)
+    for r in values:
+        by[r.lang, r.source].append(r)
+    for g, rows in by.items():
+        if len(rows) < 5:
+            continue
+        for k, (tail, spread, two_sided) in quality.METRICS.items():
+            v = sorted(floor(r[k]) for r in rows)
+            at = lambda q: v[max(0, -(-q * len(v) // 100) - 1)]  # noqa: B023, E731
+            assert got[g][f"__hi_{k}"] == at(tail) + spread * (at(tail) - at(50))
+            if two_sided:
+                assert got[g][f"__lo_{k}"] == at(100 - tail) - spread * (at(50) - at(100 - tail))
+    assert all(len({r[f"__hi_{k}"] for r in got.values()}) > 3 for k in ("repeats", "word_len", "length"))
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|user x|>"), (1, 2, "bob", None), (1, 300, "ann", "late"), (None, 0, None, "lost"), (2, 0, "system", "alone"), (1, 1, "ann", "hi <|user x|>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

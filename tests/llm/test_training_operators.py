@@ -331,6 +331,19 @@ def test_html():
     assert html.main_text("<div><p>a<p>b") == "a\nb"
 
 
+def test_html_broken_markup():
+    text = html.main_text
+    for raw in ('<svg width="1"/>', "<noscript>", '<script src="x"/>', "<iframe>"):
+        assert text(f"<article><p>before</p>{raw}<p>after the icon</p></article>") == "before\nafter the icon"
+    assert text('<article class="post no-sidebar"><p>kept</p></article>') == text('<div class="share-price"><article><p>kept</p></article></div>') == "kept"
+    assert text('<p class="x>broken</p><p class="y">more</p>') == "broken\nmore" and text("<p title='it>quoted</p>") == "quoted"
+    assert text('<p data-x="<b>1</b>">a > b</p><p>cut <i') == "a > b\ncut"
+    assert text("<html><head><title>t</title><p>no body tag</p>") == "no body tag" == text("<head><meta a=b><body><p>no body tag")
+    assert text("<article><p>a<a href=x>linked<p>b</article>") == "alinked\nb"
+    long = "<p class='" * 20_000 + "<article><p>" + "word " * 200_000
+    assert len(text(long)) > 900_000
+
+
 def test_html_templates(spark):
     rows = [(i, "http://h.example/x", f"<html><body><div>Site name</div><div>All pages say so</div><div><p>{prose(i, 20)}</p></div></body></html>") for i in range(5)] + [(9, None, None), (10, "bad url", "<p>x"), (9, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
@@ -339,12 +352,32 @@ def test_html_templates(spark):
     assert got[9].text == "" and got[10].text == "x" and html.extract(df).count() == 8 and html.extract(df.limit(0)).count() == 0
 
 
+def test_html_template_decides(spark):
+    """Template text inside articles, an article without an article tag, teasers with one, and copies of one article."""
+    bio = "<section class='about-me'><p>Ann writes here</p><p>Follow Ann every day</p></section>"
+    inside = [f"<body><article><h1>{prose(i, 4)}</h1><p>{prose(50 + i, 60)}</p>{bio}<p>{prose(90 + i, 30)}</p></article></body>" for i in range(6)]
+    soup = [f"<body><div class=top><a href=/>Home</a></div><div class=x1><p>{prose(200 + i, 9)}</p></div><div class=x2><h2>{prose(300 + i, 3)}</h2><div><p>{prose(400 + i, 70)}</p></div></div><div class=x3><article><p>{prose(500 + i, 6)}</p></article></div></body>" for i in range(4)]
+    copies = [f"<body><div>{i}</div><article><p>{prose(600, 50)}</p><p>{prose(601, 50)}</p></article></body>" for i in range(4)]
+    rows = [(f"http://{h}.example/{i}", p) for h, pages in (("inside", inside), ("soup", soup), ("copies", copies)) for i, p in enumerate(pages)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = [r.text for r in html.extract(df).orderBy("page_id").collect()]
+    assert got[:6] == ["\n".join([prose(i, 4), prose(50 + i, 60), prose(90 + i, 30)]) for i in range(6)]
+    assert got[6:10] == ["\n".join([prose(300 + i, 3), prose(400 + i, 70)]) for i in range(4)]
+    assert got[10:] == ["\n".join([prose(600, 50), prose(601, 50)])] * 4
+    assert all(html.main_text(p) == p.replace(bio, "").replace("<p>", "").replace("</p>", "\n").replace("</h1>", "\n")[len("<body><article><h1>") : -len("\n</article></body>")] for p in [x.replace(bio, "") for x in inside])
+
+
 def test_pages_against_plain_reading(spark, data):
-    for r in table(spark, data, "pages").collect():
+    """The query's rows against the articles read by plain patterns."""
+    got = {r.page_id: r for r in html.op8_html_extraction(spark, data).collect()}
+    pages = table(spark, data, "pages").collect()
+    assert len(got) == len(pages)
+    for r in pages:
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         body = re.sub(r"<br>|</?p>|</?h1>", "\n", re.sub(r"</?b>", "", body))
         lines = [" ".join(html.entities.unescape(x).split()) for x in body.split("\n")]
-        assert html.main_text(r.html) == "\n".join(x for x in lines if x)
+        text = "\n".join(x for x in lines if x)
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (text, len(text), r.url)
 
 
 def test_licenses(spark, odd, empty):

@@ -70,6 +70,13 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, total: DataFrame, keys: list[str], rows: int = 20_000) -> DataFrame:
+    """df dealt by keys into partitions of about ``rows`` rows (of the number that total gives in one cell), sorted by keys."""
+    session = df.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-(total.first()[0] or 0) // rows))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -1,12 +1,15 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Texts are sets of five-word shingles (a text of fewer words is one shingle). Texts with equal sets form a class, which takes
-part once with its count, so copies are never paired. Classes that agree in a band of MinHash values fall into a coarse
-group. Inside a group MinHash values are compared a slice at a time: with m of n equal and a uniform prior, the similarity
-has a Beta(m + 1, n - m + 1) posterior, and a pair whose probability of reaching the threshold is under ``TOLERANCE`` is
-dropped; pairs that outlast all slices are verified on the sets. Groups are compared block against block, so a group of any
-size is spread over tasks, each pair meets once, and no pair leaves its task: a task gives each class's number of links and
-its local root.
+part once with its count, so copies are never paired. Each class is signed once with ``HASHES`` MinHash values of 16 bits;
+classes that agree in a band of ``ROWS`` of them meet in that band's bucket, block against block of about ``BLOCK`` classes, so
+a bucket of any size is spread over tasks, and classes that share no band are never compared. In a bucket a pair that met in
+an earlier band is left out; the MinHash values of the others are compared a slice at a time: with m of n equal and a uniform
+prior, the similarity has a Beta(m + 1, n - m + 1) posterior, and a pair whose probability of reaching the threshold is under
+``TOLERANCE`` is dropped; pairs that outlast all slices are verified on the sets. No pair leaves its task: a task gives each
+class's number of links and its local root.
+
+A pair at the threshold itself shares a band with probability 1 - (1 - 0.8 ** ROWS) ** (HASHES / ROWS) = 0.9993.
 
 Null text and texts without words have no shingles and link with nothing. Null doc_ids take part and sort last when a
 group's first document is named. Repeated rows are documents of their own. Empty tables give empty results.
@@ -14,6 +17,7 @@ group's first document is named. Repeated rows are documents of their own. Empty
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from math import comb
 
@@ -21,19 +25,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize, table
+from .common import bounded_broadcast, materialize, spread, table
 from .components import components
 from .embeddings import _groups, local_roots
-from .shingles import runs, word_hashes
+from .shingles import mix, runs, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
-HASHES = 90
-ROWS = 5
-SLICE = 30
+HASHES = 144
+ROWS = 6
+SLICE = 24
 TOLERANCE = 1e-6
 SEED = 30_011
-BLOCK = 384
+BLOCK = 256
 #: Texts under which pairs are intersected one by one rather than by matrix products.
 PAIRWISE = 64
 
@@ -41,20 +45,29 @@ _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 31, HASHES, np.uint3
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """HASHES values of a non-empty set: the least of its upper 32 bits' products with odd multipliers."""
+    """HASHES values of a non-empty set: 16 bits of the least of its upper 32 bits' products with odd multipliers."""
     upper = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(upper), 2048):
         np.minimum(low, np.multiply.outer(_MULTIPLIERS, upper[at : at + 2048]).min(axis=1), out=low)
-    return low
+    return (low * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+
+
+def set_id(shingles: np.ndarray) -> bytes:
+    """128 bits that name a set, whatever its order."""
+    return mix(shingles + np.uint64(len(shingles))).sum().tobytes() + mix(shingles ^ np.uint64(0xD6E8FEB86659FD93)).sum().tobytes()
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    """A hash of each band of ROWS values, unlike between bands."""
-    rows = signature.reshape(-1, ROWS).astype(np.uint64)
-    return np.array([runs(r + np.uint64(i << 33), ROWS)[0] for i, r in enumerate(rows)], np.uint64).view(np.int64)
+def bands(signatures: np.ndarray) -> np.ndarray:
+    """(n, bands) hashes of the bands of n signatures."""
+    rows = signatures.reshape(len(signatures), -1, ROWS)
+    out = np.zeros(rows.shape[:2], np.uint64)
+    for r in range(ROWS):
+        out = mix(out + rows[:, :, r] + np.uint64(1))
+    return out
 
 
+@functools.lru_cache
 def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """The fewest equal values of n that leave a pair in: P(Beta(m + 1, n - m + 1) >= t) = P(Binomial(n + 1, t) <= m)."""
     total = 0.0
@@ -65,17 +78,15 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
     return n
 
 
-def survivors(left: np.ndarray, right: np.ndarray, same: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i of left, j of right) that the posterior never rules out; for same, j < i."""
-    equal = np.zeros((len(left), len(right)), np.int16)
-    for k in range(SLICE):
-        equal += left[:, k][:, None] == right[:, k][None, :]
-    alive = equal >= least_matches(SLICE, threshold)
-    if same:
-        alive &= np.tri(len(left), k=-1, dtype=bool)
+def survivors(left: np.ndarray, right: np.ndarray, same: bool, band: int = 0, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i of left, j of right) that share no band before this one and that the posterior never rules out; for same, j < i."""
+    alive = np.tri(len(left), k=-1, dtype=bool) if same else np.ones((len(left), len(right)), bool)
+    if band:
+        for a, b in zip(bands(left).T[:band], bands(right).T[:band], strict=True):
+            alive &= a[:, None] != b[None, :]
     i, j = np.nonzero(alive)
-    matches = equal[i, j].astype(np.int32)
-    for n in range(2 * SLICE, HASHES + 1, SLICE):
+    matches = np.zeros(len(i), np.int32)
+    for n in range(SLICE, HASHES + 1, SLICE):
         for at in range(0, len(i), 1 << 16):
             s = slice(at, at + (1 << 16))
             matches[s] += (left[i[s], n - SLICE : n] == right[j[s], n - SLICE : n]).sum(axis=1, dtype=np.int32)
@@ -113,81 +124,95 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cls, band = [], []
+        cls, signed = [], []
         for _, words in word_hashes(b.column(2)):
             s = np.unique(runs(words, WORDS))
-            cls.append(int(runs(s, len(s))[:1].view(np.int64)[0]) if len(s) else None)
-            band.append(bands(minhash(s)) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls, pa.int64()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "th", "cls", "bands"])
+            cls.append(set_id(s) if len(s) else None)
+            signed.append(minhash(s).tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "th", "cls", "sig"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = bands(_stacked(b.column(1), np.uint16))
+        n, k = found.shape
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(n), k))), pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(found.view(np.int64).ravel())], ["cls", "t", "bucket"])
+
+
+def _stacked(column: pa.Array, kind: type) -> np.ndarray:
+    """Binary values of one length as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
 def _compare(threshold: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, bi, bj), rows in _groups(batches, 3):
+        for (t, _, bi, bj), rows in _groups(batches, 4):
             if rows.num_rows < 2:
                 continue
-            mine, cls, n = (rows.column(c).to_numpy() for c in ("mine", "cls", "n"))
-            sets = [np.unique(runs(w, WORDS)) for _, w in word_hashes(rows.column("text").combine_chunks())]
-            sig = np.stack([minhash(s) for s in sets])
+            rows = rows.combine_chunks()
+            mine, n = (rows.column(c).to_numpy() for c in ("mine", "n"))
+            sig = _stacked(rows.column("sig").combine_chunks(), np.uint16)
             left = np.flatnonzero(mine == bi)
             right = left if bi == bj else np.flatnonzero(mine == bj)
-            i, j = survivors(sig[left], sig[right], bi == bj, threshold)
-            i, j = left[i], right[j]
-            ok = verified(sets, i, j, threshold) if len(i) else np.zeros(0, bool)
-            i, j = i[ok], j[ok]
+            i, j = survivors(sig[left], sig[right], bi == bj, int(t), threshold)
+            if not len(i):
+                continue
+            # the sets of those that are still in a pair
+            used, back = np.unique(np.concatenate([left[i], right[j]]), return_inverse=True)
+            i, j = back[: len(i)], back[len(i) :]
+            sets = [np.unique(runs(w, WORDS)) for _, w in word_hashes(rows.column("text").combine_chunks().take(pa.array(used)))]
+            ok = verified(sets, i, j, threshold)
+            i, j, n = i[ok], j[ok], n[used]
             if not len(i):
                 continue
-            add = np.zeros(len(cls), np.int64)
+            add = np.zeros(len(used), np.int64)
             np.add.at(add, i, n[j])
             np.add.at(add, j, n[i])
-            order = np.argsort(cls)
-            rank = np.empty_like(order)
-            rank[order] = np.arange(len(order))
-            root = cls[order][local_roots(len(cls), rank[i], rank[j])][rank]
-            used = np.unique(np.concatenate([i, j]))
-            yield pa.RecordBatch.from_arrays([pa.array(cls[used]), pa.array(add[used]), pa.array(root[used])], ["cls", "links", "root"])
+            root = local_roots(len(used), i, j)
+            linked = np.unique(np.concatenate([i, j]))
+            cls = rows.column("cls").combine_chunks()
+            yield pa.RecordBatch.from_arrays([cls.take(pa.array(used[linked])), pa.array(add[linked]), cls.take(pa.array(used[root[linked]]))], ["cls", "links", "root"])
 
     return compare
 
 
 def text_hash():
-    return F.xxhash64(F.col("text"))
+    return F.coalesce(F.md5("text"), F.lit(""))
 
 
 def _joined(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, th, cls), (classes: cls, copies, n_links, class_low, low) where low is the first (null, doc_id, th) of the component."""
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text").mapInArrow(_sign, "doc_id long, th long, cls long, bands array<long>")
+    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text").mapInArrow(_sign, "doc_id long, th string, cls binary, sig binary")
     rows = materialize(signed, "jaccard-rows")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(first).alias("low"), F.min("th").alias("th"), F.first("bands").alias("bands"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(first).alias("low"), F.min("th").alias("th"), F.first("sig").alias("sig"))
     classes = materialize(classes, "jaccard-classes")
-    banded = classes.select("cls", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("cls").alias("head"), F.count("*").alias("m")).where("m > 1")
-    edges = banded.join(heads, "band").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    groups = materialize(components(edges, "jaccard-groups"), "jaccard-grouped")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = groups.join(sizes, "root").join(classes.select("cls", "th", F.col("copies").alias("n")), F.col("node") == F.col("cls")).drop("node")
-    # one text of each hash, reduced before the shuffle
-    texts = docs.select(text_hash().alias("th"), "text").groupBy("th").agg(F.first("text").alias("text"))
-    mine = F.pmod(F.xxhash64("cls", F.lit(5)), "blocks").cast("int")
-    dealt = texts.join(wanted, "th").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "cls", "n", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["root", "bi", "bj"]
-    found = dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold), "cls long, links long, root long")
-    found = materialize(found, "jaccard-links")
+    banded = materialize(classes.select("cls", "sig").mapInArrow(_bands, "cls binary, t int, bucket long"), "jaccard-bands")
+    # buckets with a count each; those of one class have nothing to compare
+    sizes = materialize(banded.groupBy("t", "bucket").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "jaccard-sizes")
+    met = materialize(banded.join(sizes, ["t", "bucket"]).select("t", "bucket", "cls", "blocks"), "jaccard-met")
+    # one text of each class that meets another, reduced before the shuffle
+    wanted = materialize(classes.join(met.select("cls").distinct(), "cls").select("cls", "th", "sig", F.col("copies").alias("n")), "jaccard-wanted")
+    texts = docs.select(text_hash().alias("th"), "text").join(bounded_broadcast(wanted.select("th")), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    wanted = materialize(wanted.join(texts, "th").drop("th"), "jaccard-texts")
+    # a row for each pair of blocks that has this class's block
+    dealt = met.withColumn("mine", F.pmod(F.xxhash64("cls", "t"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("t", "bucket", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "cls")
+    keys = ["t", "bucket", "bi", "bj"]
+    dealt = spread(dealt.join(wanted, "cls").select(*keys, "mine", "cls", "n", "sig", "text"), met.agg(F.sum("blocks")), keys)
+    found = materialize(dealt.mapInArrow(_compare(threshold), "cls binary, links long, root binary"), "jaccard-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")), "jaccard-components")
     placed = classes.select("cls", "copies", F.col("low").alias("class_low")).join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "cls"))
-    lows = placed.groupBy("root").agg(F.min("class_low").alias("low"))
-    return rows, materialize(placed.join(lows, "root").select("cls", "copies", "n_links", "class_low", "low"), "jaccard-placed")
+    placed = materialize(placed.withColumn("root", F.coalesce("root", "cls")), "jaccard-rooted")
+    lows = materialize(placed.groupBy("root").agg(F.min("class_low").alias("low")), "jaccard-lows")
+    return rows.drop("sig"), materialize(placed.join(lows, "root").select("cls", "copies", "n_links", "class_low", "low"), "jaccard-placed")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (first document with the same shingles), n_links (other documents at threshold or more), component_id, kept."""
     rows, placed = _joined(docs, threshold)
-    df = rows.drop("bands").join(placed, "cls", "left")
+    df = rows.join(placed, "cls", "left")
     alone = F.col("cls").isNull()
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
     return df.select(

@@ -1,6 +1,6 @@
 """Near duplicates among embeddings: random-hyperplane sign hashing in several tables, exact cosines, connected components.
 
-Vectors that are equal in every component form a class, which takes part once with its count. Each class gets one
+Vectors that are equal in every component form a class, named by 128 bits, which takes part once with its count. Each class gets one
 signature per table, the signs of its products with random hyperplanes. Classes that share a signature in a table are
 compared exactly in double precision, block against block of at most about ``BLOCK`` vectors, so a bucket of any size is
 spread over tasks and no pair leaves a task: a task gives each vector's number of new links and its local root. A pair that
@@ -16,14 +16,15 @@ null, and is kept only if its component has no id. Empty tables give empty resul
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import materialize, table
+from .common import materialize, spread, table
 from .components import components
 
 THRESHOLD = 0.9
@@ -40,14 +41,17 @@ def plan_tables(classes: int, threshold: float = THRESHOLD, recall: float = RECA
     return math.ceil(math.log(1 - recall) / math.log(1 - hit)), bits
 
 
+@functools.lru_cache(maxsize=8)
 def planes(dim: int, tables: int, bits: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, tables * bits))
+    return np.random.default_rng([SEED, dim]).standard_normal((tables * bits, dim)).T.copy()
 
 
-def signatures(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """(n, tables) signatures of n vectors."""
-    out = np.empty((len(vectors), tables), np.int64)
+def signatures(vectors: np.ndarray, tables: int, bits: int, first: int | None = None) -> np.ndarray:
+    """(n, tables) signatures of n vectors; with first those of the first tables alone."""
     p = planes(vectors.shape[1], tables, bits)
+    if first is not None:
+        tables, p = first, p[:, : first * bits]
+    out = np.empty((len(vectors), tables), np.int64)
     weights = (1 << np.arange(bits, dtype=np.int64))
     for at in range(0, len(vectors), 2048):
         signs = (vectors[at : at + 2048] @ p > 0).reshape(-1, tables, bits)
@@ -106,7 +110,7 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """For classes (cls long, n long, v array<double>): (cls, n_links to other classes' vectors) and edges (a, b)."""
+    """For classes (cls binary, n long, v array): (cls, n_links to other classes' vectors) and edges (a, b)."""
     count = vectors.count()
     tables, bits = plan_tables(count, threshold, recall)
 
@@ -114,29 +118,24 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         for b in batches:
             for d, (rows, units) in _units(b.column(1)).items():
                 sig = signatures(units, tables, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy()[rows], tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(np.full(len(rows) * tables, d, np.int32)), pa.array(sig.ravel())], ["cls", "t", "d", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(rows, tables))), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(np.full(len(rows) * tables, d, np.int32)), pa.array(sig.ravel())], ["cls", "t", "d", "sig"])
 
-    signed = materialize(vectors.select("cls", "v").mapInArrow(sign, "cls long, t int, d int, sig long"), "embedding-signatures")
-    key = F.xxhash64("t", "d", "sig")
+    signed = materialize(vectors.select("cls", "v").mapInArrow(sign, "cls binary, t int, d int, sig long"), "embedding-signatures")
+    bucket = ["t", "d", "sig"]
     # buckets with a count each; those of one vector have nothing to compare
-    sizes = signed.groupBy(key.alias("bucket")).agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("cls", F.lit(7)), blocks).cast("int")
-    met = signed.withColumn("bucket", key).join(sizes, "bucket").withColumns({"blocks": blocks, "mine": mine})
+    sizes = materialize(signed.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")), "embedding-sizes")
     # a row for each pair of blocks that has this vector's block
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "t", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "cls")
-    dealt = dealt.join(vectors, "cls")
+    met = signed.join(sizes, bucket).withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(7)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = [*bucket, "bi", "bj"]
+    dealt = met.select(*bucket, F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "cls").join(vectors, "cls").select(*keys, "mine", "cls", "n", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cls", "links", "root"]
-        for (_, t, bi, bj), rows in _groups(batches, 4):
+        for (t, _, _, bi, bj), rows in _groups(batches, 5):
             rows = rows.combine_chunks()
             if rows.num_rows < 2:
                 continue
-            cls, n, mine = (rows.column(c).to_numpy() for c in ("cls", "n", "mine"))
-            (_, units), *rest = _units(rows.column("v").combine_chunks()).values()
-            if rest:
-                continue  # a collision of bucket hashes
+            n, mine = (rows.column(c).to_numpy() for c in ("n", "mine"))
+            ((_, units),) = _units(rows.column("v").combine_chunks()).values()
             left = np.flatnonzero(mine == bi)
             right = left if bi == bj else np.flatnonzero(mine == bj)
             near = units[left] @ units[right].T >= threshold
@@ -150,22 +149,21 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
             first = np.ones(len(i), bool)
             if t:
                 sig = np.zeros((rows.num_rows, t), np.int64)
-                sig[used] = signatures(units[used], tables, bits)[:, :t]
+                sig[used] = signatures(units[used], tables, bits, int(t))
                 for at in range(0, len(i), 65_536):
                     first[at : at + 65_536] = (sig[i[at : at + 65_536]] != sig[j[at : at + 65_536]]).all(axis=1)
             add = np.zeros(rows.num_rows, np.int64)
             np.add.at(add, i[first], n[j[first]])
             np.add.at(add, j[first], n[i[first]])
-            order = np.argsort(cls)  # roots by class, not by row
-            rank = np.empty_like(order)
-            rank[order] = np.arange(len(order))
-            root = cls[order][local_roots(len(cls), rank[i], rank[j])][rank]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[used]), pa.array(add[used]), pa.array(root[used])], names)
-
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["bucket", "t", "bi", "bj"]
-    found = dealt.select(*keys, "mine", "cls", "n", "v").repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "cls long, links long, root long")
-    found = materialize(found, "embedding-links")
+            # pairs that met before have their root from there
+            i, j = i[first], j[first]
+            used = np.unique(np.concatenate([i, j]))
+            root = local_roots(rows.num_rows, i, j)[used]
+            cls = rows.column("cls").combine_chunks()
+            yield pa.RecordBatch.from_arrays([cls.take(pa.array(used)), pa.array(add[used]), cls.take(pa.array(root))], ["cls", "links", "root"])
+
+    dealt = spread(dealt, sizes.agg(F.sum(F.col("m") * F.col("blocks"))), keys)
+    found = materialize(dealt.mapInArrow(compare, "cls binary, links long, root binary"), "embedding-links")
     return found.groupBy("cls").agg(F.sum("links").alias("n_links")), found.select(F.col("cls").alias("a"), F.col("root").alias("b"))
 
 
@@ -173,15 +171,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     """vec_id, n_links, component_id, kept: one row per vector."""
     v = F.col("embedding").cast("array<double>")
     bad = v.isNull() | (F.size(v) == 0) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(bad, None).otherwise(v).alias("v"))
-    rows = rows.withColumn("same", F.when(F.col("v").isNotNull(), F.concat_ws("-", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), "v")))))
-    rows = rows.withColumn("cls", F.when(F.col("v").isNotNull(), F.xxhash64("same")))
+    single = embeddings.schema["embedding"].dataType == T.ArrayType(T.FloatType(), embeddings.schema["embedding"].dataType.containsNull)
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(bad, None).otherwise(F.col("embedding") if single else v).alias("v"))
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    rows = rows.withColumn("cls", F.when(F.col("v").isNotNull(), F.unhex(F.concat(half("v"), half(F.lit(1), "v")))))
     classes = materialize(rows.where("v is not null").groupBy("cls").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), F.first("v").alias("v")), "embedding-classes")
     counted, edges = links(classes.select("cls", "n", "v"), threshold, recall)
     roots = components(edges, "embedding-components")
     placed = classes.select("cls", "n", "low").join(counted, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "cls"))
-    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    placed = materialize(placed.withColumn("root", F.coalesce("root", "cls")), "embedding-rooted")
+    lows = materialize(placed.groupBy("root").agg(F.min("low").alias("component_id")), "embedding-lows")
     placed = materialize(placed.join(lows, "root").select("cls", F.col("n").alias("copies"), "n_links", "component_id"), "embedding-placed")
     df = rows.select("vec_id", "cls").join(placed, "cls", "left")
     own = F.col("cls").isNull()

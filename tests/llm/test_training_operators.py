@@ -215,6 +215,34 @@ def test_jaccard(spark, data, odd, empty):
     assert jaccard.jaccard_join(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
+def test_jaccard_recall_at_the_threshold(spark):
+    """Pairs whose similarity lies between 0.8 and 0.83: measured recall, and none below."""
+    rng = random.Random(31)
+    texts = []
+    for k in range(400):
+        w = prose(5000 + k, 120).split()
+        v = list(w)
+        for at in rng.sample(range(4), 2):
+            v[12 + 30 * at] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(w), " ".join(v[: 120 - rng.choice((0, 1, 2))])]
+    links = jaccard_links(texts[:80])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.n_links for r in jaccard.jaccard_join(df).orderBy("doc_id").collect()]
+    assert got[:80] == [len(links[i]) for i in range(80)] or sum(got[:80]) >= 0.95 * sum(map(len, links.values()))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = [int(len(sets[i] & sets[i ^ 1]) / len(sets[i] | sets[i ^ 1]) >= 0.8) for i in range(800)]
+    assert sum(want) > 300 and all(g <= w for g, w in zip(got, want, strict=True)) and sum(got) >= 0.99 * sum(want)
+
+
+def test_jaccard_large_bucket_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    w = prose(61, 150).split()
+    texts = [" ".join([*w[:75], f"n{i}", *w[76:]]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard.jaccard_join(df).collect()
+    assert [r.n_links for r in got] == [59] * 60 and {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 def test_jaccard_matrix_equals_pairs():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
@@ -310,6 +338,53 @@ def test_embeddings(spark, data, empty):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def components_of(near):
+    root = list(range(len(near)))
+    while True:
+        low = [min([root[i], *(root[j] for j in np.flatnonzero(near[i]))]) for i in range(len(near))]
+        if low == root:
+            return root
+        root = low
+
+
+def test_embeddings_table_against_all_pairs(spark, data):
+    rows = table(spark, data, "embeddings").orderBy("vec_id").collect()
+    u = np.array([r.embedding for r in rows], np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = embeddings.op7_embedding_near_dedup(spark, data).orderBy("vec_id").collect()
+    found, want = np.array([r.n_links for r in got]), near.sum(axis=1)
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    if (found == want).all():
+        assert [r.component_id for r in got] == components_of(near) and all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_embeddings_at_the_threshold(spark):
+    """Pairs and chains of known cosines just below, at and above 0.9: recall of the tables, nothing below, components by brute force."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((300, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((300, 24))
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = np.where(np.arange(300) % 3 == 0, 0.8999, np.where(np.arange(300) % 3 == 1, 0.9001, 0.93))[:, None]
+    v = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * side])
+    near = v @ v.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(7)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    found, want = np.array([got[i].n_links for i in range(600)]), near.sum(axis=1)
+    assert (found <= want).all() and found.sum() >= 0.97 * want.sum()
+    own = components_of(near & (found > 0)[:, None] & (found > 0)[None, :])
+    assert [got[i].component_id for i in range(600)] == own
+    # one signature table a bucket of any size: many equal directions in small blocks
+    crowd = np.repeat(base[:2], 40, axis=0) + 0.01 * rng.standard_normal((80, 24))
+    small = spark.createDataFrame([(f"{i:016d}".encode(), 1, x.tolist()) for i, x in enumerate(crowd)], "cls binary, n long, v array<double>")
+    counted, edges = embeddings.links(small, block=16)
+    assert [r.n_links for r in counted.collect()] == [39] * 80 and edges.count() > 0
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]

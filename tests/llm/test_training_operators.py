@@ -319,6 +319,73 @@ def test_passages_whose_parts_stand_elsewhere(spark):
     assert sum(shared in r.text for r in passages.remove_repeats(df).collect()) == 1
 
 
+def test_passages_of_copies_with_null_ids(spark):
+    t = prose(801, 60)
+    df = spark.createDataFrame([(5, t), (None, t), (None, t), (6, prose(802, 70)), (6, prose(802, 70))], "doc_id long, text string")
+    got = [(r.doc_id, r.match_doc_id, r.n_words) for r in passages.repeated_passages(df).collect()]
+    assert got == [(None, 5, 60)]
+    assert sorted(r.doc_id for r in passages.remove_repeats(df).collect()) == [5, 6, 6]
+
+
+def test_common_subsequence():
+    rng = random.Random(6)
+    for _ in range(500):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(14))] for _ in range(2))
+        longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                longest[i + 1][j + 1] = max(longest[i][j + 1], longest[i + 1][j], longest[i][j] + (a[i] == b[j]))
+        got = passages.common(a, b)
+        assert len(got) == longest[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(p < r and q < s for (p, q), (r, s) in zip(got, got[1:]))
+
+
+def test_passages_recall_by_similarity(spark):
+    """Edited passages of 60 words and more, beside a brute-force alignment: those with 80 % equal words and more are found, others not."""
+    rng = random.Random(71)
+    rows, whole = [], []
+    for k in range(240):
+        rate, n = (0.05, 0.1, 0.14, 0.17)[k % 4], (60, 80, 120)[k % 3]
+        p = prose(9000 + k, n).split()
+        q = [x for w in p for x in ([w] if rng.random() >= rate else [[f"q{rng.randrange(10**6)}"], [], [w, f"q{rng.randrange(10**6)}"]][rng.choice((0, 0, 0, 1, 2))])]
+        pairs, last, edited = passages.common(p, q), (-1, -1), 0
+        for at in [*pairs, (len(p), len(q))]:
+            edited += max(at[0] - last[0] - 1, at[1] - last[1] - 1)
+            last = at
+        whole.append(len(pairs) >= 0.8 * (len(pairs) + edited) and min(len(p), len(q)) >= 55)
+        rows += [(2 * k, f"{prose(20_000 + k, 90)} {' '.join(p)} {prose(30_000 + k, 60)}"), (2 * k + 1, f"{prose(40_000 + k, 70)} {' '.join(q)} {prose(50_000 + k, 90)}")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {min(r.doc_id, r.match_doc_id) // 2 for r in got if r.doc_id ^ 1 == r.match_doc_id}
+    assert all(r.doc_id ^ 1 == r.match_doc_id and r.equal_words >= 0.6 * r.n_words for r in got)
+    wanted = {k for k, w in enumerate(whole) if w}
+    assert len(wanted) > 150 and len(found & wanted) >= 0.95 * len(wanted)
+
+
+def test_passages_against_brute_force(spark):
+    """All pairs of a small corpus aligned by dynamic programming: texts with a shared passage, and no others."""
+    rng = random.Random(72)
+    shared = [prose(700 + i, 55).split() for i in range(4)]
+    texts = []
+    for i in range(40):
+        parts = [prose(60_000 + i, rng.randint(20, 60)).split()]
+        for s in rng.sample(shared, rng.choice((0, 0, 1, 2))):
+            cut = s if rng.random() < 0.7 else s[: rng.randint(10, 40)]
+            parts += [cut, prose(61_000 + 100 * i + len(parts), rng.randint(15, 40)).split()]
+        texts.append([w for p in parts for w in p])
+    linked = set()
+    for i in range(40):
+        for j in range(i):
+            run = 0
+            for shift in range(-len(texts[j]), len(texts[i])):
+                run = 0
+                for x in range(max(0, shift), min(len(texts[i]), len(texts[j]) + shift)):
+                    run = run + 1 if texts[i][x] == texts[j][x - shift] else 0
+                    if run == 50:
+                        linked |= {i, j}
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} | {r.match_doc_id for r in got} == linked and len(linked) > 5
+
+
 def test_embeddings(spark, data, empty):
     rng = np.random.default_rng(9)
     base = rng.standard_normal((40, 16))

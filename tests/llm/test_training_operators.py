@@ -524,14 +524,21 @@ def test_pages_against_plain_reading(spark, data):
 
 def test_licenses(spark, odd, empty):
     model = licenses._model(())
-    assert model.gate_accuracy > 0.97 and model.kind_accuracy > 0.95
+    assert model.gate_accuracy > 0.93 and model.kind_accuracy > 0.75  # on notices, names and families that the fitted models had not seen
     filler = prose(8, 200)
-    rows = [(1, f"{prose(6, 40)}\nReleased under the MIT License.\n{prose(7, 40)}"), (2, filler), (3, "Licensed under CC BY-NC 4.0."), (4, f"{filler} Licensed under the Apache License, Version 2.0. {filler}"), (5, "Released under the Frobnicate Public Terms License."), (6, None), (7, "")]
-    got = {r.doc_id: r.family for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got.pop(5, licenses.UNKNOWN) == licenses.UNKNOWN
-    assert got == {1: "MIT", 3: "CC-BY-NC", 4: "Apache-2.0"}
-    assert licenses.scan(empty).count() == 0
-    licenses.scan(odd).count()
+    rows = [(1, f"{prose(6, 40)}\nReleased under the MIT License.\n{prose(7, 40)}"), (2, filler), (3, "Licensed under CC BY-NC 4.0."), (4, f"{filler} Licensed under the Apache License, Version 2.0. {filler}"), (5, "Distributed under the Frobnitz Reciprocal Source Covenant"), (6, None), (7, ""), (8, "dual-licensed under the MIT License and the Apache License"), (9, "License: GPLv3"), (10, "MIT License"), (11, "Licensed under the GNU Lesser General Public License, version 2.1"), (None, "All rights reserved."), (12, "Published under the European Union Public Licence")]
+    got = sorted((r.doc_id or 0, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), sample_lines=0).collect())
+    assert got == [(0, "proprietary"), (1, "MIT"), (3, "CC-BY-NC"), (4, "Apache-2.0"), (5, "unknown"), (8, "Apache-2.0"), (8, "MIT"), (9, "GPL"), (10, "MIT"), (11, "LGPL"), (12, "unknown")]
+    assert licenses.scan(empty).count() == 0 and licenses.scan(odd).count() == 0
+
+
+def test_licenses_on_the_corpus(spark, data):
+    """Each line with a licence's words gives its family, and next to no other line gives anything."""
+    said = {"MIT": "MIT License", "Apache-2.0": "Apache License", "CC-BY-NC": "CC BY-NC", "GPL": "GNU General Public License", "proprietary": "All rights reserved"}
+    docs = table(spark, data, "documents").collect()
+    want = {(r.doc_id, k, f) for r in docs for k, line in enumerate((r.text or "").split("\n"), 1) for f, x in said.items() if x in line}
+    got = {(r.doc_id, r.line, r.family) for r in licenses.op10_license_scan(spark, data).collect()}
+    assert want and want <= got and len(got - want) <= 0.01 * len(docs)
 
 
 def test_word_hashes():

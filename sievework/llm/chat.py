@@ -3,20 +3,21 @@
 For every participant of a conversation the dialogue is rendered with that speaker as the assistant, the others as named
 users and system turns as they are; only the assistant's words are to be learnt, which the mask and the spans say.
 
-A conversation is cut into parts of ``PART_TURNS`` turn numbers, so a conversation of any length is spread over tasks;
-each result row is one part of one perspective, and parts in order make up the dialogue. Turns sort by number, ties by
-role and text. A null conv_id is a conversation of its own, a null turn sorts first in part 0, a null role speaks as
-"unknown", a null text says nothing (an empty turn). Repeated rows are repeated turns. A conversation of system turns
+One row is one rendering. Only a dialogue of over ``PART_TURNS`` rows, which no task could hold, is given in parts of so many rows
+each, in order; all parts are rendered for all of its speakers. Rows are numbered within their conversation by ranges of a global
+order and the counts of the ranges before, so no task sees a whole conversation, however many of its turns are null or repeated.
+Turns sort by number, ties by role and text. A null conv_id is a conversation of its own, a null turn sorts first, a null role
+speaks as "unknown", a null text says nothing (an empty turn). Repeated rows are repeated turns. A conversation of system turns
 alone has no participant and no rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import bounded_broadcast, materialize, table
 
-PART_TURNS = 128
+PART_TURNS = 1024
 SYSTEM = "system"
 
 
@@ -25,17 +26,28 @@ def _escaped(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("<\\|"))
 
 
+def _numbered(conversations: DataFrame) -> DataFrame:
+    """conv_id, no (rows of the conversation before this one), t (turn, role, text)."""
+    df = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # equal rows are told apart by their place, so they too fall into several ranges
+    ranged = df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(n, "conv_id", "turn", "role", "text", "__place")
+    ranged = materialize(ranged.withColumn("__range", F.spark_partition_id()).drop("__place"), "chat-ranged")
+    counts = ranged.groupBy("conv_id", "__range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    later = materialize(counts.select(F.col("conv_id").alias("__c"), F.col("__range").alias("__r"), before.alias("__before")).where("__before > 0"), "chat-offsets")
+    inside = F.row_number().over(Window.partitionBy("conv_id", "__range").orderBy("turn", "role", "text")) - 1
+    rows = ranged.withColumn("__no", inside).join(bounded_broadcast(later), F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__range") == F.col("__r")), "left")
+    return rows.select("conv_id", (F.col("__no") + F.coalesce("__before", F.lit(0))).alias("no"), F.struct("turn", "role", "text").alias("t"))
+
+
 def render(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """conv_id, speaker, part, n_turns, text, mask (one 0 or 1 per turn), spans (array of start, end in characters of text)."""
-    turns = conversations.select(
-        "conv_id", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long").alias("part"),
-        F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
-    )
     speaker = F.when(F.coalesce("role", F.lit("unknown")) != SYSTEM, F.coalesce("role", F.lit("unknown")))
-    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0))
-    casts = conversations.groupBy("conv_id").agg(F.min(part).alias("a"), F.max(part).alias("b"), F.collect_set(speaker).alias("cast")).where("a < b")
+    casts = conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.collect_set(speaker).alias("cast")).where(F.col("n") > part_turns)
     casts = bounded_broadcast(materialize(casts.select(F.col("conv_id").alias("__conv"), "cast"), "chat-casts"))
-    parts = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = _numbered(conversations).withColumn("part", F.floor(F.col("no") / part_turns).cast("long"))
+    parts = turns.groupBy("conv_id", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "t"))), lambda x: x["t"]).alias("turns"))
     parts = parts.join(casts, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
     here = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r != SYSTEM))
     parts = parts.select("conv_id", "part", "turns", F.explode(F.coalesce("cast", here)).alias("speaker"))
@@ -68,7 +80,8 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    return rf"""WITH t AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(floor(turn / {PART_TURNS}), 0)::BIGINT AS part, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+    return rf"""WITH t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, rid) - 1) // {PART_TURNS} AS part FROM
+  (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations)),
 c AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> '{SYSTEM}'),
 j AS (SELECT t.*, speaker, role = speaker AS own, CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = '{SYSTEM}' THEN '<|system|>' || chr(10)
     ELSE '<|user ' || replace(replace(role, '<|', '<\|'), chr(10), ' ') || '|>' || chr(10) END AS head, replace(text, '<|', '<\|') AS body FROM t JOIN c ON c.conv_id IS NOT DISTINCT FROM t.conv_id),

@@ -5,13 +5,14 @@ counts are summed up, and the sums of the ranges before it are added: a prefix s
 any task seeing the whole source. A source's target is then met exactly: whole epochs for all of its documents, then one
 more of each document in key order until the budget is used up; the document on the edge gives the words still wanted.
 
-Null text has size 0; null source is a source of its own and sorts last; rows that are equal in all columns get equal keys
-and share the edge in any order, which gives the same rows; an empty table gives an empty result.
+Null text has size 0; null source is a source of its own and sorts last; rows with equal keys (the same doc_id and text) sort by
+a hash of their other columns; rows that are equal in all columns share the edge in any order, which gives the same rows; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .common import SPACES, WORD, bounded_broadcast, materialize, table
 
@@ -58,7 +59,7 @@ def skey() -> Column:
 def take(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """sized (__skey, __key, __size and more) plus source_size, target and __taken."""
     ranged = sized.withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
-    inside = Window.partitionBy("__skey", "__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__skey", "__range").orderBy("__key", *[c for c in sized.columns if c == "__tie"]).rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("__skey", "__range").agg(F.sum("__size").alias("sum"))
     earlier = Window.partitionBy("__skey").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.join(goals, "__skey").select("__skey", "__range", "source_size", "target", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("__offset"))
@@ -84,7 +85,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED)
     cols = [F.col(f"`{c}`") for c in docs.columns]
     slim = docs.select("source", size().alias("__size"))
     goals = materialize(targets(slim.groupBy("source").agg(F.sum("__size").alias("source_size")), weights), "mix-targets")
-    sized = docs.select(F.struct(*cols).alias("__row"), skey().alias("__skey"), size().alias("__size"), key(seed).alias("__key"))
+    tie = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else c for c, f in zip(cols, docs.schema.fields, strict=True)])
+    sized = docs.select(F.struct(*cols).alias("__row"), tie.alias("__tie"), skey().alias("__skey"), size().alias("__size"), key(seed).alias("__key"))
     df = take(sized, bounded_broadcast(goals)).where("__taken > 0").select("__row", "__size", "__taken")
     whole = (F.col("__taken") / F.col("__size")).cast("long")
     rest = F.col("__taken") - whole * F.col("__size")

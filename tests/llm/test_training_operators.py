@@ -80,16 +80,41 @@ def test_limits_are_the_groups_own_quantiles(spark, data):
 
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|user x|>"), (1, 2, "bob", None), (1, 300, "ann", "late"), (None, 0, None, "lost"), (2, 0, "system", "alone"), (1, 1, "ann", "hi <|user x|>")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "conv_id long, turn long, role string, text string, speaker string, no long")
     got = chat.render(df).collect()
-    assert {(r.conv_id, r.speaker, r.part) for r in got} == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 2), (1, "bob", 2), (None, "unknown", 0)}
+    assert {(r.conv_id, r.speaker, r.part) for r in got} == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0)}
     for r in got:
         for s in r.spans:
             assert r.text[s.start : s.end] in ("hi <\\|user x|>", "", "late", "lost")
-    assert next(r for r in got if r.speaker == "ann" and r.part == 0).mask == "0110"
+    assert {r.speaker: r.mask for r in got if r.conv_id} == {"ann": "01101", "bob": "00010"}
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_chat_in_parts(spark):
+    """A long dialogue, one of repeated null turns and a very long text: parts in order are the whole rendering of each speaker."""
+    rng = random.Random(5)
+    rows = [(1, i, rng.choice(["a", "b", "system"]), f"t{i}") for i in range(95)] + [(2, None, "a", "same")] * 40 + [(None, 1, "c", "x" * 2_000_000), (3, 0, "d", "one"), (3, 1, "e", "two")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = defaultdict(list)
+    for r in sorted(chat.render(df, part_turns=16).collect(), key=lambda r: r.part):
+        got[r.conv_id, r.speaker].append(r)
+        assert r.n_turns == len(r.mask) <= 16
+    assert set(got) == {(1, "a"), (1, "b"), (2, "a"), (None, "c"), (3, "d"), (3, "e")}
+    for (conv, speaker), parts in got.items():
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] or 0, r[2], r[3]))
+        head = lambda r: "<|assistant|>" if r[2] == speaker else "<|system|>" if r[2] == "system" else f"<|user {r[2]}|>"  # noqa: B023, E731
+        assert "".join(p.text for p in parts) == "".join(f"{head(r)}\n{r[3]}\n" for r in own)
+        assert "".join(p.mask for p in parts) == "".join(str(int(r[2] == speaker)) for r in own)
+        assert [p.text[s.start : s.end] for p in parts for s in p.spans] == [r[3] for r in own if r[2] == speaker]
+
+
+def test_mixing_ties(spark):
+    rows = [(1, "a b c d", "en", "s", k) for k in range(6)] + [(2, "e f g", "en", "r", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mark long")
+    runs = {tuple(sorted(map(tuple, mixing.mixed(df.repartition(n), weights=(5, 1)).collect()))) for n in (1, 3, 4)}
+    assert len(runs) == 1
+
+
 def test_mixing(spark, data, odd, empty):
     rows = mixing.mix(table(spark, data, "documents")).collect()
     by = defaultdict(list)

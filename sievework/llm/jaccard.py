@@ -6,8 +6,8 @@ classes that agree in a band of ``ROWS`` of them meet in that band's bucket, blo
 a bucket of any size is spread over tasks, and classes that share no band are never compared. In a bucket a pair that met in
 an earlier band is left out; the MinHash values of the others are compared a slice at a time: with m of n equal and a uniform
 prior, the similarity has a Beta(m + 1, n - m + 1) posterior, and a pair whose probability of reaching the threshold is under
-``TOLERANCE`` is dropped; pairs that outlast all slices are verified on the sets. No pair leaves its task: a task gives each
-class's number of links and its local root.
+``TOLERANCE`` is dropped. Only classes that are left in a pair get their texts, in the bucket where they are left, and their pairs
+are verified on the sets. No pair leaves its task: a task gives each class's number of links and its local root.
 
 A pair at the threshold itself shares a band with probability 1 - (1 - 0.8 ** ROWS) ** (HASHES / ROWS) = 0.9993.
 
@@ -144,34 +144,48 @@ def _stacked(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
+def _met(rows: pa.Table, t: int, bi: int, bj: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The surviving pairs of a bucket's two blocks, as row numbers."""
+    mine = rows.column("mine").to_numpy()
+    sig = _stacked(rows.column("sig").combine_chunks(), np.uint16)
+    left = np.flatnonzero(mine == bi)
+    right = left if bi == bj else np.flatnonzero(mine == bj)
+    i, j = survivors(sig[left], sig[right], bi == bj, t, threshold)
+    return left[i], right[j]
+
+
+def _prune(threshold: float):
+    """Rows of classes that are in a surviving pair of their bucket: the others' texts are not wanted."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (t, _, bi, bj), rows in _groups(batches, 4):
+            if rows.num_rows > 1:
+                pairs = _met(rows, int(t), bi, bj, threshold)
+                used = rows.drop_columns(["sig"]).take(pa.array(np.unique(np.concatenate(pairs))))
+                yield from used.combine_chunks().to_batches()
+
+    return prune
+
+
 def _compare(threshold: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (t, _, bi, bj), rows in _groups(batches, 4):
-            if rows.num_rows < 2:
-                continue
-            rows = rows.combine_chunks()
-            mine, n = (rows.column(c).to_numpy() for c in ("mine", "n"))
-            sig = _stacked(rows.column("sig").combine_chunks(), np.uint16)
-            left = np.flatnonzero(mine == bi)
-            right = left if bi == bj else np.flatnonzero(mine == bj)
-            i, j = survivors(sig[left], sig[right], bi == bj, int(t), threshold)
+            i, j = _met(rows, int(t), bi, bj, threshold)
             if not len(i):
                 continue
-            # the sets of those that are still in a pair
-            used, back = np.unique(np.concatenate([left[i], right[j]]), return_inverse=True)
-            i, j = back[: len(i)], back[len(i) :]
-            sets = [np.unique(runs(w, WORDS)) for _, w in word_hashes(rows.column("text").combine_chunks().take(pa.array(used)))]
+            n = rows.column("n").to_numpy()
+            sets = [np.unique(runs(w, WORDS)) for _, w in word_hashes(rows.column("text").combine_chunks())]
             ok = verified(sets, i, j, threshold)
-            i, j, n = i[ok], j[ok], n[used]
+            i, j = i[ok], j[ok]
             if not len(i):
                 continue
-            add = np.zeros(len(used), np.int64)
+            add = np.zeros(len(n), np.int64)
             np.add.at(add, i, n[j])
             np.add.at(add, j, n[i])
-            root = local_roots(len(used), i, j)
+            root = local_roots(len(n), i, j)
             linked = np.unique(np.concatenate([i, j]))
             cls = rows.column("cls").combine_chunks()
-            yield pa.RecordBatch.from_arrays([cls.take(pa.array(used[linked])), pa.array(add[linked]), cls.take(pa.array(used[root[linked]]))], ["cls", "links", "root"])
+            yield pa.RecordBatch.from_arrays([cls.take(pa.array(linked)), pa.array(add[linked]), cls.take(pa.array(root[linked]))], ["cls", "links", "root"])
 
     return compare
 
@@ -191,15 +205,17 @@ def _joined(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     # buckets with a count each; those of one class have nothing to compare
     sizes = materialize(banded.groupBy("t", "bucket").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "jaccard-sizes")
     met = materialize(banded.join(sizes, ["t", "bucket"]).select("t", "bucket", "cls", "blocks"), "jaccard-met")
-    # one text of each class that meets another, reduced before the shuffle
-    wanted = materialize(classes.join(met.select("cls").distinct(), "cls").select("cls", "th", "sig", F.col("copies").alias("n")), "jaccard-wanted")
-    texts = docs.select(text_hash().alias("th"), "text").join(bounded_broadcast(wanted.select("th")), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    wanted = materialize(wanted.join(texts, "th").drop("th"), "jaccard-texts")
     # a row for each pair of blocks that has this class's block
     dealt = met.withColumn("mine", F.pmod(F.xxhash64("cls", "t"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("t", "bucket", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "cls")
     keys = ["t", "bucket", "bi", "bj"]
-    dealt = spread(dealt.join(wanted, "cls").select(*keys, "mine", "cls", "n", "sig", "text"), met.agg(F.sum("blocks")), keys)
+    dealt = dealt.select("t", "bucket", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "cls").join(classes.select("cls", "sig"), "cls").select(*keys, "mine", "cls", "sig")
+    pruned = spread(dealt, met.agg(F.sum("blocks")), keys).mapInArrow(_prune(threshold), "t int, bucket long, bi int, bj int, mine int, cls binary")
+    close = materialize(pruned, "jaccard-close")
+    # texts go to the pairs that are left alone: one text of each class, reduced before the shuffle
+    wanted = materialize(classes.join(close.select("cls").distinct(), "cls").select("cls", "th", "sig", F.col("copies").alias("n")), "jaccard-wanted")
+    texts = docs.select(text_hash().alias("th"), "text").join(bounded_broadcast(wanted.select("th")), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    wanted = materialize(wanted.join(texts, "th").drop("th"), "jaccard-texts")
+    dealt = spread(close.join(wanted, "cls").select(*keys, "mine", "cls", "n", "sig", "text"), close.agg(F.count("*")), keys, 5_000)
     found = materialize(dealt.mapInArrow(_compare(threshold), "cls binary, links long, root binary"), "jaccard-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")), "jaccard-components")

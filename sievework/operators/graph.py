@@ -30,41 +30,97 @@ def search(nodes: DataFrame, keyword: str, kind: str | None = None) -> DataFrame
     return by_type(nodes, kind) if kind else by_text(nodes, keyword)
 
 
-def neighbors(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 20) -> DataFrame:
-    """seed, neighbor, hop, direction, relation_id, seq: breadth-first neighbours of each seed (column seed), limit rows a seed.
+def _sides(edges: DataFrame, limit: int) -> DataFrame:
+    """at, to, d (0 out, 1 in), low, relation_id: each node's edges that a list of ``limit`` neighbours may need.
 
-    Outgoing edges come before incoming ones; a neighbour keeps all parallel edges of the parent and direction that find it
-    first; seeds and nodes seen before are left out. One pair of joins per hop, for all seeds together.
+    A seed goes on only while it has fewer rows than limit, so it has seen fewer nodes than that, and in its next hop parents
+    before this one gave fewer too: of a node's neighbours in order at most twice limit a direction are left out. Hubs are cut
+    to that number before any join, the rows of one neighbour to limit.
     """
     both = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), F.lit(0).alias("d"), "relation_id").unionByName(
         edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("to"), F.lit(1).alias("d"), "relation_id")
     )
-    frontier = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("pos"))
+    ends = both.groupBy("at", "d", "to").agg(F.min("relation_id").alias("low"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("at", "d").orderBy("low", "to"))
+    ends = ends.withColumn("place", place).where(F.col("place") <= 3 * limit + 1)
+    rows = both.join(ends.select("at", "d", "to", "low"), ["at", "d", "to"])
+    nth = F.row_number().over(Window.partitionBy("at", "d", "to").orderBy("relation_id"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
+
+
+def neighbors(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 20) -> DataFrame:
+    """seed, neighbor, hop, direction, relation_id, seq: breadth-first neighbours of each seed (column seed), limit rows a seed.
+
+    Outgoing edges come before incoming ones; a neighbour keeps all parallel edges of the parent and direction that find it
+    first; seeds and nodes seen before are left out. One pair of joins per hop, for all seeds together; a seed with enough rows
+    goes no further.
+    """
+    both = _sides(edges, limit)
+    frontier = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("pos")).distinct()
     seen = frontier.select("seed", "node")
     out = None
     for hop in range(1, hops + 1):
-        reach = frontier.join(both, F.col("node") == F.col("at")).select("seed", "pos", "d", "to", "relation_id")
+        reach = frontier.join(both, F.col("node") == F.col("at")).select("seed", "pos", "d", "to", "low", "relation_id")
         reach = reach.join(seen.withColumnRenamed("node", "to"), ["seed", "to"], "left_anti")
         first = F.min(F.struct("pos", "d")).over(Window.partitionBy("seed", "to"))
         reach = reach.withColumn("first", first).where((F.col("pos") == F.col("first.pos")) & (F.col("d") == F.col("first.d")))
-        low = F.min("relation_id").over(Window.partitionBy("seed", "to"))
-        reach = reach.withColumn("low", low).select("seed", "to", F.lit(hop).alias("hop"), "pos", "d", "low", "relation_id")
+        ordered = Window.partitionBy("seed").orderBy("pos", "d", "low", "relation_id")
+        reach = reach.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= limit).select("seed", "to", F.lit(hop).alias("hop"), "pos", "d", "low", "relation_id")
         out = reach if out is None else out.unionByName(reach)
         if hop < hops:
+            open_ = out.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") < limit).select("seed")
             w = Window.partitionBy("seed").orderBy("pos", "d", "low")
-            frontier = reach.groupBy("seed", F.col("to").alias("node")).agg(F.min("pos").alias("pos"), F.min("d").alias("d"), F.min("low").alias("low")).select("seed", "node", F.row_number().over(w).cast("long").alias("pos"))
+            frontier = reach.join(open_, "seed", "left_semi").groupBy("seed", F.col("to").alias("node")).agg(F.min("pos").alias("pos"), F.min("d").alias("d"), F.min("low").alias("low")).select("seed", "node", F.row_number().over(w).cast("long").alias("pos"))
             seen = seen.unionByName(frontier.select("seed", "node"))
     w = Window.partitionBy("seed").orderBy("hop", "pos", "d", "low", "relation_id")
     return out.withColumn("seq", F.row_number().over(w).cast("long")).where(F.col("seq") <= limit).select("seed", F.col("to").alias("neighbor"), F.col("hop").cast("long").alias("hop"), F.when(F.col("d") == 0, "out").otherwise("in").alias("direction"), "relation_id", "seq")
 
 
+def neighbors_in_documents(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 20) -> DataFrame:
+    """doc_id and the columns of neighbors(), for edges and seeds with doc_id: each document is a graph of its own."""
+    name = lambda d, c: F.to_json(F.struct(F.col(d).alias("d"), F.col(c).alias("n")))
+    scoped = edges.withColumns({"source_id": name("doc_id", "source_id"), "target_id": name("doc_id", "target_id")})
+    found = neighbors(scoped, seeds.select(name("doc_id", "seed").alias("seed")), hops, limit)
+    kind = f"struct<d:{dict(edges.dtypes)['doc_id']},n:string>"
+    return found.withColumns({"s": F.from_json("seed", kind), "neighbor": F.from_json("neighbor", kind)["n"]}).select(F.col("s.d").alias("doc_id"), F.col("s.n").alias("seed"), "neighbor", "hop", "direction", "relation_id", "seq")
+
+
+def first_seen(found: DataFrame, order: DataFrame) -> DataFrame:
+    """query_id, neighbor, seed, hop, direction, relation_id, place: neighbours of a query's seeds in seed order (query_id, seed, seed_pos), each by its first row."""
+    df = found.join(order, "seed")
+    nth = F.row_number().over(Window.partitionBy("query_id", "neighbor").orderBy("seed_pos", "seq"))
+    df = df.withColumn("nth", nth).where("nth = 1")
+    return df.select("query_id", "neighbor", "seed", "hop", "direction", "relation_id", F.row_number().over(Window.partitionBy("query_id").orderBy("seed_pos", "seq")).cast("long").alias("place"))
+
+
+def path_chunks(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """source, target, path, chunk_id, score: the distinct chunks of the nodes of each of paths()' rows, with a score of 1."""
+    steps = found.select("source", "target", "path", F.explode(F.split("path", ">")).alias("entity_id"))
+    return steps.join(nodes.select("entity_id", "chunk_id"), "entity_id").select("source", "target", "path", "chunk_id", F.lit(1.0).alias("score")).distinct()
+
+
+def of_document(nodes: DataFrame, doc_id) -> DataFrame:
+    return nodes.where(F.col("doc_id") == doc_id).orderBy("type", "entity_id")
+
+
 def paths(edges: DataFrame, pairs: DataFrame, longest: int = 3) -> DataFrame:
-    """source, target, path (nodes joined by >), length: all simple directed paths of up to longest edges between pairs."""
+    """source, target, path (nodes joined by >), length: all simple directed paths of up to longest edges between pairs.
+
+    Walks only enter nodes from which their target can still be reached, found backwards from the targets first.
+    """
     step = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"))
+    # reach: node, target, left (the fewest edges from node to target)
+    reach = pairs.select(F.col("target").alias("node"), "target").distinct().withColumn("left", F.lit(0))
+    ends = reach
+    for n in range(1, longest):
+        back = ends.join(step.distinct(), F.col("node") == F.col("to")).select(F.col("at").alias("node"), "target").distinct()
+        ends = back.join(reach.select("node", "target"), ["node", "target"], "left_anti").withColumn("left", F.lit(n))
+        reach = reach.unionByName(ends)
     walk = pairs.select("source", "target", F.array("source").alias("path"))
     out = None
     for n in range(1, longest + 1):
-        walk = walk.join(step, F.element_at("path", -1) == F.col("at")).where(~F.array_contains("path", F.col("to"))).select("source", "target", F.concat("path", F.array("to")).alias("path"))
+        walk = walk.join(step, F.element_at("path", -1) == F.col("at")).where(~F.array_contains("path", F.col("to"))).select("source", "target", "to", F.concat("path", F.array("to")).alias("path"))
+        walk = walk.join(reach.where(F.col("left") <= longest - n).select(F.col("node").alias("to"), "target"), ["to", "target"], "left_semi").select("source", "target", "path")
         done = walk.where(F.element_at("path", -1) == F.col("target")).select("source", "target", F.array_join("path", ">").alias("path"), F.lit(n).cast("long").alias("length"))
         out = done if out is None else out.unionByName(done)
         walk = walk.where(F.element_at("path", -1) != F.col("target"))
@@ -96,6 +152,43 @@ def link_entities(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return relations.join(a, ["doc_id", "source"]).join(b, ["doc_id", "target"])
 
 
+def first_of_text(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """text, entity_id: of the nodes (entity_id, text, pos) with a name's text the first."""
+    return names.select("text").distinct().join(nodes, "text").groupBy("text").agg(F.min_by("entity_id", "pos").alias("entity_id"))
+
+
+def _grams(text, n: int = 3):
+    """A text's distinct runs of 1 to n characters, and the one that names a text as a part: its first n, or all of a shorter one."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.transform(places, lambda i: F.substr(text, i, k))))
+    return F.array_distinct(every), F.substr(text, F.lit(1), F.lit(n))
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """part, whole: texts (part) that lie in texts (whole). They meet by the part's first three characters, not all with all."""
+    p = parts.select("part").distinct().where("part <> ''")
+    p = p.withColumn("g", _grams(F.col("part"))[1])
+    w = wholes.select("whole").distinct()
+    w = w.select("whole", F.explode(_grams(F.col("whole"))[0]).alias("g"))
+    return p.join(w, "g").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
+
+
+def entities_in_chunks(entities: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
+    """doc_id, text, chunk_id, nth: the first chunks (doc_id, ord, chunk_id, text) of its document that hold an entity's text (doc_id, text)."""
+    e, c = entities.select("doc_id", "text").distinct(), chunks.select("doc_id", "ord", "chunk_id", F.col("text").alias("body"))
+    hit = e.join(c, "doc_id").where(F.col("body").contains(F.col("text")))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("ord"))
+    return hit.withColumn("nth", nth.cast("long")).where(F.col("nth") <= most).select("doc_id", "text", "chunk_id", "nth")
+
+
+def known_list(nodes: DataFrame, kept: int = 50, shown: int = 20) -> DataFrame:
+    """type, entities (texts in order, shown of them), n (kept of all distinct ones)."""
+    nth = F.row_number().over(Window.partitionBy("type").orderBy("text"))
+    df = nodes.select("type", "text").distinct().withColumn("nth", nth).where(F.col("nth") <= kept)
+    shown_text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= shown, F.struct("nth", "text")))), lambda x: x["text"]), "、")
+    return df.groupBy("type").agg(shown_text.alias("entities"), F.count("*").alias("n"))
+
+
 def match_known(mentions: DataFrame, known: DataFrame) -> DataFrame:
     """mention, text, how: the known entity a mention names: the equal one, else the longest (then least) that contains it or lies in it.
 
@@ -104,6 +197,8 @@ def match_known(mentions: DataFrame, known: DataFrame) -> DataFrame:
     exact = mentions.join(known.select(F.col("text").alias("mention"), "text").distinct(), "mention").withColumn("how", F.lit("exact"))
     rest = mentions.join(known.select(F.col("text").alias("mention")), "mention", "left_anti")
     names = known.select("text").distinct()
-    fuzzy = rest.join(names, F.col("text").contains(F.col("mention")) | F.col("mention").contains(F.col("text")))
+    within = contained(rest.select(F.col("mention").alias("part")), names.select(F.col("text").alias("whole"))).select(F.col("part").alias("mention"), F.col("whole").alias("text"))
+    around = contained(names.select(F.col("text").alias("part")), rest.select(F.col("mention").alias("whole"))).select(F.col("whole").alias("mention"), F.col("part").alias("text"))
+    fuzzy = within.union(around)
     fuzzy = fuzzy.groupBy("mention").agg(F.min(F.struct((-F.length("text")).alias("n"), "text")).alias("b")).select("mention", F.col("b.text").alias("text"), F.lit("fuzzy").alias("how"))
     return exact.unionByName(fuzzy)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -25,39 +26,68 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def top_k_batch(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 1024) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k best chunks of every query (query_id, embedding).
+#: Queries that are sent to all executors; with more, blocks of queries meet blocks of chunks.
+SENT_QUERIES = 4_096
 
-    Queries and chunks are dealt into blocks; a task compares block with block by one matrix product and keeps each query's
-    k best, so what is ranked per query is k rows for each block of chunks.
-    """
-    nq, nv = (max(1, -(-df.count() // block)) for df in (queries, vectors))
-    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q = queries.select(of("query_id", nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"), F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("embedding").alias("v"))
-    v = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), of("chunk_id", nv).alias("vb"), F.lit(1).alias("side"), F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))
-
-    def best(key, rows):
-        side, ids = rows.column("side").to_numpy(), rows.column("id").to_numpy()
-        x = np.array(rows.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        a, b, qi, vi = x[side == 0], x[side == 1], ids[side == 0], ids[side == 1]
-        if not len(a) or not len(b):
-            return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    flat = pa.compute.list_flatten(column)
+    return flat.to_numpy().astype(np.float64).reshape(len(column), -1)
+
+
+def _nearest(qi: np.ndarray, a: np.ndarray, vi: np.ndarray, b: np.ndarray, k: int, allowed: np.ndarray | None = None) -> pa.Table:
+    """query_id, chunk_id, score of each query's k best among some chunks, ties by chunk_id."""
+    out: list[np.ndarray] = []
+    if len(a) and len(b):
         a2, b2 = (a * a).sum(1), (b * b).sum(1)
         rough = a2[:, None] + b2[None, :] - 2 * a @ b.T
+        if allowed is not None:
+            rough[~allowed] = np.inf
         # all that rounding of the product or of scores may tie with the k-th, however many; those are scored term by term
         slack = 1e-8 + 8 * (a.shape[1] + 4) * np.finfo(float).eps * (a2 + b2.max())
-        kept = ~(rough > (np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1] + slack)[:, None])
-        out_q, out_v, out_s = [], [], []
+        last = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1] + slack
+        kept = ~(rough > last[:, None]) & (rough < np.inf)
         for i in range(len(a)):
             near = np.flatnonzero(kept[i])
             score = 1 - ((b[near] - a[i]) ** 2).sum(axis=1)
             order = np.lexsort((vi[near], -np.round(score, 9)))[:k]
-            out_q += [qi[i]] * len(order)
-            out_v += vi[near][order].tolist()
-            out_s += score[order].tolist()
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "chunk_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
+            out.append(np.rec.fromarrays([np.full(len(order), qi[i]), vi[near][order], score[order]], names="q,v,s"))
+    rows = np.concatenate(out) if out else np.rec.fromarrays([np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], names="q,v,s")
+    return pa.table({"query_id": pa.array(rows["q"], pa.int64()), "chunk_id": pa.array(rows["v"], pa.int64()), "score": pa.array(rows["s"], pa.float64())})
+
+
+def top_k_batch(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 1024, by: str | None = None, sent: int = SENT_QUERIES) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best chunks of every query (query_id, embedding), with by among those of equal key.
+
+    A counted, bounded number of queries is sent to the executors: chunks stay where they are read and each batch keeps k rows a
+    query. More queries and chunks are dealt into blocks, and a task compares block with block by one matrix product.
+    """
+    key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    q = queries.select("query_id", key.alias("key"), "embedding")
+    v = vectors.select("chunk_id", key.alias("key"), "embedding")
+    n = q.count()
+    if n <= sent:
+        asked = q.toArrow()  # at most ``sent`` rows
+        qi, a, qk = asked.column("query_id").to_numpy(), _values(asked.column("embedding").combine_chunks()), np.array(asked.column("key").to_pylist(), dtype=object)
+
+        def scan(batches):
+            for b in batches:
+                allowed = qk[:, None] == np.array(b.column("key").to_pylist(), dtype=object)[None, :] if by else None
+                yield from _nearest(qi, a, b.column("chunk_id").to_numpy(), _values(b.column("embedding")), k, allowed).to_batches()
+
+        local = v.mapInArrow(scan, "query_id long, chunk_id long, score double")
+    else:
+        nq, nv = (max(1, -(-x // block)) for x in (n, v.count()))
+        of = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        left = q.select("key", of("query_id", nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"), F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("embedding").alias("v"))
+        right = v.select("key", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), of("chunk_id", nv).alias("vb"), F.lit(1).alias("side"), F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))
+
+        def best(_, rows):
+            side, ids, x = rows.column("side").to_numpy(), rows.column("id").to_numpy(), _values(rows.column("v").combine_chunks())
+            return _nearest(ids[side == 0], x[side == 0], ids[side == 1], x[side == 1], k)
 
-    local = q.unionByName(v).groupBy("qb", "vb").applyInArrow(best, "query_id long, chunk_id long, score double")
+        local = left.unionByName(right).groupBy("key", "qb", "vb").applyInArrow(best, "query_id long, chunk_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return local.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

@@ -79,23 +79,24 @@ def neighbor_similarity(spark, d):
     return p.select("chunk_id", F.round("s", 6).alias("similarity"), quality.topic_risk(F.col("s"), True).alias("merge_risk"), quality.topic_risk(F.col("s"), False).alias("split_risk"))
 
 
-# ---- keyword search: documents as chunks, every document whose id divides by 20 as a query (its first 12 words)
-_BM25 = r"""docs AS (SELECT doc_id AS chunk_id, lower(text) AS t FROM documents), tok AS (SELECT chunk_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}]+')) AS term FROM docs),
-post AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), len AS (SELECT chunk_id, len(regexp_extract_all(t, '[\p{L}\p{N}]+')) AS dl FROM docs), n AS (SELECT count(*) AS n, avg(dl) AS al FROM len),
+# ---- questions: the first user turn of every conversation whose id divides by 20, with its whole text; documents as chunks
+_QUESTIONS = """qs AS (SELECT conv_id AS query_id, arg_min(text, turn) AS text, 'src' || ((conv_id // 20) % 20) AS kb_id FROM conversations WHERE role = 'user' AND conv_id % 20 = 0 GROUP BY conv_id)"""
+_BM25 = rf"""{_QUESTIONS}, docs AS (SELECT doc_id AS chunk_id, source, lower(text) AS t FROM documents), tok AS (SELECT chunk_id, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+')) AS term FROM docs),
+post AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), len AS (SELECT chunk_id, source, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+')) AS dl FROM docs), n AS (SELECT count(*) AS n, avg(dl) AS al FROM len),
 raw AS (SELECT term, count(*) AS df, ln(any_value(n.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, n GROUP BY term), fl AS (SELECT 0.25 * avg(raw) AS fl FROM raw),
-qt AS (SELECT doc_id AS query_id, unnest(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 12)) AS term FROM documents WHERE doc_id % 20 = 0), q AS (SELECT query_id, term, count(*) AS qf FROM qt GROUP BY 1, 2),
-sc AS (SELECT query_id, post.chunk_id, sum(qf * CASE WHEN raw < 0 THEN fl ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))) AS score FROM q JOIN raw USING (term) JOIN post USING (term) JOIN len USING (chunk_id), fl, n GROUP BY 1, 2),
+qt AS (SELECT query_id, kb_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM qs), q AS (SELECT query_id, kb_id, term, count(*) AS qf FROM qt GROUP BY 1, 2, 3),
+sc AS (SELECT query_id, post.chunk_id, any_value(source = kb_id) AS own, sum(qf * CASE WHEN raw < 0 THEN fl ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))) AS score FROM q JOIN raw USING (term) JOIN post USING (term) JOIN len USING (chunk_id), fl, n GROUP BY 1, 2),
 kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc WHERE score > 0)"""
 
 
 def _questions(spark, d):
-    """query_id, text: the first 12 words of each document whose id divides by 20."""
-    docs = _t(spark, d, "documents").where("doc_id % 20 = 0")
-    return docs.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", F.slice(tx.tokens(F.col("text")), 1, 12)).alias("text"))
+    """query_id, text, kb_id: the first user turn of each conversation whose id divides by 20."""
+    turns = _t(spark, d, "conversations").where("role = 'user' AND conv_id % 20 = 0")
+    return turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("text")).withColumn("kb_id", F.concat(F.lit("src"), F.floor(F.col("query_id") / 20).cast("long") % 20))
 
 
 def _documents_as_chunks(spark, d):
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("kb_id"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw WHERE rank <= 20")
@@ -115,17 +116,20 @@ def term_stats(spark, d):
 
 
 # ---- fusion
-_FUSED = f"""{_BM25}, vs AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, 1 - list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+_DISTANCE = "1 - list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))"
+_FUSED = f"""{_BM25}, vs AS (SELECT query_id, v.vec_id AS chunk_id, d.source = kb_id AS own, {_DISTANCE} AS score FROM qs JOIN embeddings q ON q.vec_id = query_id, embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id),
 vh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs),
 u AS (SELECT query_id, chunk_id, 0.5 / (60 + rank) AS v, NULL AS k FROM vh WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, NULL, 0.3 / (60 + rank) FROM kw WHERE rank <= 20),
 f AS (SELECT query_id, chunk_id, coalesce(sum(v), 0) AS vector_part, coalesce(sum(k), 0) AS keyword_part, 0.0::DOUBLE AS graph_part, coalesce(sum(v), 0) + coalesce(sum(k), 0) AS fused_score FROM u GROUP BY 1, 2),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused_score, 12) DESC, chunk_id) AS rank FROM f)"""
 
 
-def _hits(spark, d):
-    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    vec = vector.top_k_batch(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v, 20)
-    return {"vector": vec, "keyword": keyword.search(_questions(spark, d), _documents_as_chunks(spark, d), 20)}
+def _hits(spark, d, by=None):
+    """Vector and keyword hits of the questions, with by within their own knowledge base."""
+    asked = _questions(spark, d)
+    v = _vectors(spark, d)
+    q = asked.select("query_id", "kb_id").join(v.select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id")
+    return {"vector": vector.top_k_batch(q, v, 20, by=by), "keyword": keyword.search(asked, _documents_as_chunks(spark, d), 20, by=by)}
 
 
 @query(f"WITH {_FUSED} SELECT query_id, chunk_id, round(vector_part, 9) AS vector_part, round(keyword_part, 9) AS keyword_part, graph_part, round(fused_score, 9) AS fused_score, rank FROM fr WHERE rank <= 20")
@@ -134,15 +138,15 @@ def rrf_fusion(spark, d):
     return out.select("query_id", "chunk_id", *[F.round(c, 9).alias(c) for c in ("vector_part", "keyword_part", "graph_part", "fused_score")], "rank")
 
 
-_RERANKED = rf"""{_FUSED}, ca AS (SELECT fr.query_id, fr.chunk_id, fr.rank, list_slice(regexp_extract_all(lower(qd.text), '[\p{{L}}\p{{N}}]+'), 1, 12) AS qt, regexp_extract_all(lower(cd.text), '[\p{{L}}\p{{N}}]+') AS ct
-  FROM fr JOIN documents qd ON qd.doc_id = fr.query_id JOIN documents cd ON cd.doc_id = fr.chunk_id WHERE rank <= 20),
+_RERANKED = rf"""{_FUSED}, ca AS (SELECT fr.query_id, fr.chunk_id, fr.rank, regexp_extract_all(lower(qd.text), '[\p{{L}}\p{{N}}]+') AS qt, regexp_extract_all(lower(cd.text), '[\p{{L}}\p{{N}}]+') AS ct
+  FROM fr JOIN qs qd USING (query_id) JOIN documents cd ON cd.doc_id = fr.chunk_id WHERE rank <= 20),
 rs AS (SELECT query_id, chunk_id, rank, coalesce(round(len(list_intersect(list_distinct(qt), ct))::DOUBLE / nullif(len(list_distinct(qt)), 0), 9), 0) AS rerank_score FROM ca),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM rs)"""
 
 
-def _reranked(spark, d, n=5):
-    docs = _documents_as_chunks(spark, d)
-    fused = fusion.best(fusion.rrf(_hits(spark, d)), 20).join(_questions(spark, d).select("query_id", F.col("text").alias("query")), "query_id").join(docs, "chunk_id")
+def _reranked(spark, d, n=5, by=None):
+    docs = _documents_as_chunks(spark, d).select("chunk_id", "text")
+    fused = fusion.best(fusion.rrf(_hits(spark, d, by)), 20).join(_questions(spark, d).select("query_id", F.col("text").alias("query")), "query_id").join(docs, "chunk_id")
     return fusion.rerank(fused, n=n)
 
 
@@ -151,26 +155,29 @@ def rerank_gate(spark, d):
     return fusion.gate(_reranked(spark, d)).select("query_id", "chunk_id", "rerank_score", "new_rank")
 
 
-@query(f"""WITH {_RERANKED}, kbq AS (SELECT doc_id AS query_id, source AS kb_id FROM documents WHERE doc_id % 20 = 0), j AS (SELECT rr.*, d.source AS own, kbq.kb_id FROM rr JOIN documents d ON d.doc_id = chunk_id JOIN kbq USING (query_id)),
-ks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS n FROM j WHERE own = kb_id), al AS (SELECT *, new_rank AS n FROM j WHERE new_rank <= 5),
-tp AS (SELECT query_id, max(rerank_score) AS top FROM ks WHERE n <= 5 GROUP BY 1), ch AS (SELECT kbq.query_id, coalesce(top, 0) >= 0.6 AS stay FROM kbq LEFT JOIN tp USING (query_id))
-SELECT query_id, chunk_id, rerank_score, 'kb' AS scope FROM ks JOIN ch USING (query_id) WHERE stay AND n <= 5 UNION ALL SELECT query_id, chunk_id, rerank_score, 'global' FROM al JOIN ch USING (query_id) WHERE NOT stay""")
+# the search within the question's knowledge base, as a copy of the global one on scoped hits
+_SCOPED = rf"""{_RERANKED}, skw AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc WHERE score > 0 AND own),
+svh AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs WHERE own),
+su AS (SELECT query_id, chunk_id, 0.5 / (60 + rank) AS p FROM svh WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, 0.3 / (60 + rank) FROM skw WHERE rank <= 20),
+sfr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(f, 12) DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, sum(p) AS f FROM su GROUP BY 1, 2)),
+srs AS (SELECT query_id, chunk_id, rank, coalesce(round(len(list_intersect(list_distinct(qt), ct))::DOUBLE / nullif(len(list_distinct(qt)), 0), 9), 0) AS rerank_score FROM (SELECT sfr.*, regexp_extract_all(lower(qs.text), '[\p{{L}}\p{{N}}]+') AS qt,
+  regexp_extract_all(lower(cd.text), '[\p{{L}}\p{{N}}]+') AS ct FROM sfr JOIN qs USING (query_id) JOIN documents cd ON cd.doc_id = sfr.chunk_id WHERE rank <= 20)),
+srr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM srs)"""
+
+
+@query(f"""WITH {_SCOPED}, tp AS (SELECT query_id, max(rerank_score) AS top FROM srr WHERE new_rank <= 5 GROUP BY 1), ch AS (SELECT qs.query_id, coalesce(top, 0) >= 0.6 AS stay FROM qs LEFT JOIN tp USING (query_id))
+SELECT query_id, chunk_id, rerank_score, 'kb' AS scope FROM srr JOIN ch USING (query_id) WHERE stay AND new_rank <= 5 UNION ALL SELECT query_id, chunk_id, rerank_score, 'global' FROM rr JOIN ch USING (query_id) WHERE NOT stay AND new_rank <= 5""")
 def two_stage_fallback(spark, d):
-    docs = _t(spark, d, "documents")
-    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("source").alias("kb_id"))
-    every = _reranked(spark, d, 20).join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("own")), "chunk_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
-    scoped = every.join(asked, "query_id").where("own = kb_id").withColumn("n", F.row_number().over(w)).where("n <= 5")
     cols = ["query_id", "chunk_id", "rerank_score"]
-    return fusion.fallback(scoped.select(*cols), every.where("new_rank <= 5").select(*cols), asked)
+    return fusion.fallback(_reranked(spark, d, by="kb_id").select(*cols), _reranked(spark, d).select(*cols), _questions(spark, d).select("query_id", "kb_id"))
 
 
-@query(rf"""WITH {_RERANKED}, h AS (SELECT rr.query_id, rr.new_rank AS rank, d.source, rr.chunk_id AS ord, left(d.text, 700) AS text FROM rr JOIN documents d ON d.doc_id = rr.chunk_id WHERE new_rank <= 5),
+@query(rf"""WITH {_RERANKED}, h AS (SELECT rr.query_id, rr.new_rank AS rank, d.source, rr.chunk_id AS ord, d.text FROM rr JOIN documents d ON d.doc_id = rr.chunk_id WHERE new_rank <= 5),
 g AS (SELECT query_id, source, min(rank) AS first, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text FROM h GROUP BY 1, 2), c AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY first) AS context FROM g GROUP BY 1)
 SELECT query_id, CASE WHEN length(context) > 3000 THEN left(context, 3000) || chr(10) || '...(内容截断)' ELSE context END AS context FROM c""")
 def answer_context(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.substring("text", 1, 700).alias("t"))
-    hits = _reranked(spark, d).join(docs, "chunk_id").select("query_id", F.col("new_rank").alias("rank"), F.col("source").alias("doc_id"), F.col("chunk_id").alias("ord"), F.col("t").alias("text"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    hits = _reranked(spark, d).join(docs, "chunk_id").select("query_id", F.col("new_rank").alias("rank"), F.col("source").alias("doc_id"), F.col("chunk_id").alias("ord"), "text")
     return context.build(hits)
 
 
@@ -216,15 +223,29 @@ def related_chunks(spark, d):
     return graph.related_chunks(graph.neighbors(rel.relations(spark, d), seeds, 2, 20), nodes).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_G}, p AS (SELECT entity_id AS source FROM entities WHERE type = 'supplier') SELECT a.source_id AS source, c.target_id AS target, a.source_id || '>' || a.target_id || '>' || c.target_id AS path, 2::BIGINT AS length
-FROM p JOIN relations a ON a.source_id = p.source JOIN relations c ON c.source_id = a.target_id WHERE c.target_id IN ('R0', 'R1')""")
-def simple_paths(spark, d):
+_PATHS = f"""{_G}, e AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM relations), ends AS (SELECT * FROM (VALUES ('R0'), ('R1')) v(t)),
+pa AS (SELECT s.entity_id AS source, x.b AS target, s.entity_id || '>' || x.b AS path, 1::BIGINT AS length FROM entities s JOIN e x ON x.a = s.entity_id JOIN ends ON t = x.b WHERE type = 'supplier'
+UNION ALL SELECT s.entity_id, y.b, s.entity_id || '>' || x.b || '>' || y.b, 2 FROM entities s JOIN e x ON x.a = s.entity_id JOIN e y ON y.a = x.b JOIN ends ON t = y.b WHERE type = 'supplier' AND x.b NOT IN (s.entity_id, y.b) AND y.b <> s.entity_id
+UNION ALL SELECT s.entity_id, z.b, s.entity_id || '>' || x.b || '>' || y.b || '>' || z.b, 3 FROM entities s JOIN e x ON x.a = s.entity_id JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b JOIN ends ON t = z.b
+  WHERE type = 'supplier' AND x.b NOT IN (s.entity_id, y.b, z.b) AND y.b NOT IN (s.entity_id, z.b) AND z.b <> s.entity_id)"""
+
+
+def _paths(spark, d):
     nodes = rel.entities(spark, d)
-    ends = nodes.where("type = 'region'").where(F.col("entity_id").isin("R0", "R1")).select(F.lit(1).alias("k"), F.col("entity_id").alias("target"))
-    pairs = nodes.where("type = 'supplier'").select(F.lit(1).alias("k"), F.col("entity_id").alias("source")).join(ends, "k").select("source", "target")
+    pairs = nodes.where("type = 'supplier'").select(F.col("entity_id").alias("source"), F.explode(F.array(F.lit("R0"), F.lit("R1"))).alias("target"))
     return graph.paths(rel.relations(spark, d), pairs, 3)
 
 
+@query(f"WITH {_PATHS} SELECT * FROM pa")
+def simple_paths(spark, d):
+    return _paths(spark, d)
+
+
+@query(f"WITH {_PATHS} SELECT DISTINCT source, target, path, n.chunk_id, 1.0::DOUBLE AS score FROM (SELECT *, unnest(string_split(path, '>')) AS entity_id FROM pa) JOIN entities n USING (entity_id)")
+def path_retrieval(spark, d):
+    return graph.path_chunks(_paths(spark, d), rel.entities(spark, d))
+
+
 @query("""WITH raw AS (SELECT o_custkey AS doc_id, c_mktsegment AS text, o_orderpriority AS type, o_orderkey % 97 AS chunk_id, o_orderkey AS chunk_index FROM orders JOIN customer ON c_custkey = o_custkey)
 SELECT doc_id, text, type, arg_min(chunk_id, chunk_index) AS chunk_id, min(chunk_index) AS chunk_index, count(*) AS mentions FROM raw GROUP BY 1, 2, 3""")
 def entity_dedup(spark, d):

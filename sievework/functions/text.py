@@ -18,8 +18,8 @@ TITLE_RULES = {
     "NUM_SECTION": "^第[0-9]+节",
     "NUM_ARTICLE": "^第[0-9]+篇",
     "NUM_ITEM": "^第[0-9]+条",
-    "NUM_DECIMAL": r"^[0-9]+(\.[0-9]+)+",
-    "NUM_SIMPLE": r"^[0-9]+[\s\x{3000}]+",
+    "NUM_DECIMAL": r"^\d+(\.\d+)+",
+    "NUM_SIMPLE": r"^\d+[\s\x{3000}]+",
     "CN_LIST": "^[一二三四五六七八九十]+、",
 }
 # fixed values: lines that look like parameters
@@ -42,6 +42,12 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
+def grams(text: Column, n: int = 3) -> Column:
+    """A text's distinct runs of 1 to n characters."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.transform(places, lambda i: F.substr(text, i, k)))))
+
+
 def clean(text: Column) -> Column:
     """White space runs to one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x{3000}]+", " "))
@@ -74,18 +80,23 @@ def page_number(text: Column) -> Column:
     return F.coalesce(got(r"^第\s*([0-9]+)\s*页$"), got(r"^([0-9]+)\s*页$"), got(r"^-?\s*([0-9]+)\s*-?$"), got(r"^([0-9]+)\s*/\s*[0-9]+$")).cast("int")
 
 
+# fixed values: what a site adds to its titles, containers of main texts, references
+TITLE_SUFFIX = " | 在鸿云文档"
+CONTAINERS = [r'(?s)<div[^>]*class="vp-doc[^"]*"[^>]*>(.*?)</div>\s*</main>', r'(?s)<main[^>]*class="main[^"]*"[^>]*>.*?<div[^>]*>(.*?)</div>\s*</main>']
+REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
+
 def html_title(html: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(F.regexp_extract(html, "<title>([^<]+)</title>", 1)), F.lit("")), F.lit("未知标题"))
+    found = F.regexp_extract(html, "<title>([^<]+)</title>", 1)
+    return F.when(found != "", F.trim(F.replace(found, F.lit(TITLE_SUFFIX), F.lit("")))).otherwise("未知标题")
 
 
 def html_content(html: Column) -> Column:
     """Text of the main container; pages without one fall back to their article element."""
     pick = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
-    body = F.coalesce(
-        pick(r'(?s)<div[^>]*class="vp-doc[^"]*"[^>]*>(.*?)</div>\s*</main>'), pick(r'(?s)<main[^>]*class="main[^"]*"[^>]*>.*?<div[^>]*>(.*?)</div>\s*</main>'), pick(r"(?s)<article[^>]*>(.*?)</article>"), F.lit("")
-    )
+    body = F.coalesce(*[pick(c) for c in CONTAINERS], pick(r"(?s)<article[^>]*>(.*?)</article>"), F.lit(""))
     body = F.regexp_replace(F.regexp_replace(body, r"(?s)<script[^>]*>.*?</script>", ""), "<[^>]+>", "\n")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    for a, b in REFERENCES:
         body = F.replace(body, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(F.regexp_replace(body, "\n+", "\n"), " +", " "))
 

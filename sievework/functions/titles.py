@@ -73,3 +73,26 @@ def format_counts(titles: DataFrame, least: int = 2) -> DataFrame:
     df = titles.withColumn("format", title_format(F.col("title"))).where("format is not null")
     n = df.groupBy("doc_id", "format").agg(F.count("*").alias("n"), F.min("line_no").alias("first"), F.min_by("title", "line_no").alias("example")).where(F.col("n") >= least)
     return n.select("doc_id", "format", "n", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).cast("long").alias("level"), "example")
+
+
+# fixed values: what numbers a title by its prefix, in the order tried: type, prefix, longest prefix, (pattern of such titles, level)
+PREFIXES = [
+    ("chinese_chapter", r"^第([一二三四五六七八九十百]+)([章节篇])\s*", None, (r"^第[一二三四五六七八九十百]+[章节篇]\s+.+", "high")),
+    ("chinese_num_dot", r"^([一二三四五六七八九十百]+)[、\s]+", 9, (r"^[一二三四五六七八九十百]+[、\s].+", "medium")),
+    ("bracket_chinese_num", r"^[（(]([一二三四五六七八九十百]+)[）)]\s*", None, (r"^[（(][一二三四五六七八九十百]+[）)]\s*.+", "low")),
+    ("numbered_dotted", r"^(\d+)[\.\s、,](?!\d)", None, (r"^\d+[\.\s、,]\s*.+", "high")),
+    ("numbered_dotted", r"^(\d+\.\d+)[\.\s、,](?!\d)", None, (r"^\d+\.\d+[\.\s、,]?\s*.+", "medium")),
+    ("numbered_dotted", r"^(\d+(\.\d+){2,})[\.\s、,]", None, (r"^\d+(\.\d+){2,}[\.\s、,]?\s*.+", "low")),
+    ("bracket_number", r"^[（(](\d+)[）)]\s*", None, (r"^[（(]\d+[）)]\s*.+", "low")),
+    ("number_space", r"^(\d+)\s+", None, (r"^\d+\s+.+", "medium")),
+]
+
+
+def prefix_pattern(prefix: Column) -> Column:
+    """(type, regex, level) of a title's prefix, white space at its ends aside; null if it has none of the known forms."""
+    t = F.trim(prefix)
+    out = F.lit(None).cast("struct<type:string,regex:string,level:string>")
+    for kind, pattern, longest, (regex, level) in reversed(PREFIXES):
+        fits = t.rlike(f"(?U){pattern}") if longest is None else t.rlike(f"(?U){pattern}") & (F.length(t) <= longest)
+        out = F.when(fits, F.struct(F.lit(kind).alias("type"), F.lit(regex).alias("regex"), F.lit(level).alias("level"))).otherwise(out)
+    return out

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .graph import contained
+
 
 def file_counts(kbs: DataFrame, files: DataFrame) -> DataFrame:
     n = files.groupBy(F.col("kb_id").alias("id")).agg(F.count("*").alias("n"))
@@ -86,3 +88,26 @@ def last_rows(rows: DataFrame, by: str, order: Column, n: int) -> DataFrame:
     """The n rows of each group that come first in an order."""
     w = Window.partitionBy(by).orderBy(order)
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def by_code(rows: DataFrame, code: str, column: str = "code") -> DataFrame:
+    """The rows of a code, upper and lower case alike."""
+    return rows.where(F.lower(column) == code.lower())
+
+
+def valid_code(code: Column) -> Column:
+    """Letters, digits, _ and - alone."""
+    return F.coalesce(code.rlike("^[a-zA-Z0-9_-]+$"), F.lit(False))
+
+
+def kb_by_name(asked: DataFrame, bases: DataFrame) -> DataFrame:
+    """asked (name), kb_id: the knowledge base (id, name) of an equal name, else the first by id whose name holds the asked one; null if none does."""
+    names = asked.select(F.col("name").alias("asked")).distinct()
+    held = contained(names.select(F.col("asked").alias("part")), bases.select(F.col("name").alias("whole"))).select(F.col("part").alias("asked"), F.col("whole").alias("name"))
+    found = held.join(bases, "name").groupBy("asked").agg(F.min(F.struct((F.col("name") != F.col("asked")).alias("part"), "id")).alias("b"))
+    return names.join(found, "asked", "left").select("asked", F.col("b.id").alias("kb_id"))
+
+
+def api_hits(hits: DataFrame) -> DataFrame:
+    """Hits as an interface shows them: chunkId, docId, content, titlePath, score, rerankScore (the reranker's, else the score)."""
+    return hits.select(F.col("chunk_id").alias("chunkId"), F.col("doc_id").alias("docId"), F.col("text").alias("content"), F.to_json("path").alias("titlePath"), "score", F.coalesce("rerank_score", "score").alias("rerankScore"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.text import grams
+
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """metric, kind, n: totals (kind null) and histograms of nodes and edges."""
@@ -141,7 +143,7 @@ def dedup_entities(raw: DataFrame) -> DataFrame:
 def dedup_relations(raw: DataFrame) -> DataFrame:
     """First of each (doc_id, source, target, relation_type) by pos, numbered doc_id_R0, R1, ... in that order."""
     first = raw.groupBy("doc_id", "source", "target", "relation_type").agg(F.min("pos").alias("pos"))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "source", "target", "relation_type")) - 1
     return first.select("doc_id", "source", "target", "relation_type", F.concat(F.col("doc_id").cast("string"), F.lit("_R"), n).alias("relation_id"))
 
 
@@ -157,19 +159,12 @@ def first_of_text(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return names.select("text").distinct().join(nodes, "text").groupBy("text").agg(F.min_by("entity_id", "pos").alias("entity_id"))
 
 
-def _grams(text, n: int = 3):
-    """A text's distinct runs of 1 to n characters, and the one that names a text as a part: its first n, or all of a shorter one."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.transform(places, lambda i: F.substr(text, i, k))))
-    return F.array_distinct(every), F.substr(text, F.lit(1), F.lit(n))
-
-
 def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     """part, whole: texts (part) that lie in texts (whole). They meet by the part's first three characters, not all with all."""
     p = parts.select("part").distinct().where("part <> ''")
-    p = p.withColumn("g", _grams(F.col("part"))[1])
+    p = p.withColumn("g", F.substring("part", 1, 3))
     w = wholes.select("whole").distinct()
-    w = w.select("whole", F.explode(_grams(F.col("whole"))[0]).alias("g"))
+    w = w.select("whole", F.explode(grams(F.col("whole"))).alias("g"))
     return p.join(w, "g").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
 
 

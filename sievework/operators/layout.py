@@ -26,6 +26,32 @@ def numbered_share(lines: DataFrame) -> DataFrame:
     return first.groupBy("doc_id").agg(F.avg(page_number(F.col("t")).isNotNull().cast("double")).alias("share"))
 
 
+def frame_lines(lines: DataFrame, edge: int = 3, share: float = 0.8, zone: float = 0.1) -> DataFrame:
+    """lines (doc_id, page, line_no, top, height, text) without running heads and feet.
+
+    Those lie in the upper or lower zone of their page and are among the first or last ``edge`` lines on so large a share of the
+    document's pages.
+    """
+    w = Window.partitionBy("doc_id", "page")
+    df = lines.withColumns({"__a": F.row_number().over(w.orderBy("line_no")), "__b": F.row_number().over(w.orderBy(F.desc("line_no")))})
+    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("__pages"))
+    seen = df.groupBy("doc_id", "text").agg(F.count_if(F.col("__a") <= edge).alias("__up"), F.count_if(F.col("__b") <= edge).alias("__down")).join(pages, "doc_id")
+    df = df.join(seen, ["doc_id", "text"])
+    head = (F.col("top") <= zone * F.col("height")) & (F.col("__up") >= share * F.col("__pages"))
+    foot = (F.col("top") > zone * F.col("height")) & (F.col("top") >= (1 - zone) * F.col("height")) & (F.col("__down") >= share * F.col("__pages"))
+    return df.where(~(head | foot)).select(*lines.columns)
+
+
+def without_page_numbers(lines: DataFrame, share: float = 0.7) -> DataFrame:
+    """lines (doc_id, page, line_no, text) without page numbers: first lines if so large a share of pages begins with one, else last lines likewise."""
+    w = Window.partitionBy("doc_id", "page")
+    df = lines.withColumns({"__n": page_number(F.col("text")).isNotNull(), "__first": F.col("line_no") == F.min("line_no").over(w), "__last": F.col("line_no") == F.max("line_no").over(w)})
+    part = lambda c: F.count_if(F.col(c) & F.col("__n")) / F.count_if(F.col(c))
+    shares = df.groupBy("doc_id").agg((part("__first") >= share).alias("__up"), (part("__last") >= share).alias("__down"))
+    gone = F.col("__n") & ((F.col("__up") & F.col("__first")) | (~F.col("__up") & F.col("__down") & F.col("__last")))
+    return df.join(shares, "doc_id").where(~gone).select(*lines.columns)
+
+
 def fill_down(cells: DataFrame) -> DataFrame:
     """cells (table_id, row, col, value) with blank values from the last one above."""
     w = Window.partitionBy("table_id", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)

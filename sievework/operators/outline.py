@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import TITLE_RULES, clean, normalize_title, title_rule
+from ..functions.text import TITLE_RULES, clean, grams, normalize_title, title_rule
 
 
 def titles(lines: DataFrame) -> DataFrame:
@@ -48,13 +48,39 @@ def toc_start(lines: DataFrame) -> DataFrame:
     for p in reversed(TITLE_RULES.values()):
         core = F.when(F.col("t").rlike(p), F.regexp_extract("t", p, 0)).otherwise(core)
     entries = flat.where(F.col("t").rlike("[0-9]+$") & rule.isNotNull()).withColumn("core", F.trim(core))
-    later = flat.select("doc_id", F.col("line_no").alias("l2"), F.col("t").alias("t2"))
-    again = entries.join(later, "doc_id").where((F.col("l2") > F.col("line_no")) & F.col("t2").contains(F.col("core"))).select("doc_id", "line_no").distinct()
+    # lines meet by the first three characters of the title part, not all with all
+    every, first = grams(F.col("t")), F.substring("core", 1, 3)
+    later = flat.select("doc_id", F.col("line_no").alias("l2"), F.col("t").alias("t2"), F.explode(every).alias("g"))
+    met = entries.withColumn("g", first).join(later, ["doc_id", "g"])
+    again = met.where((F.col("l2") > F.col("line_no")) & F.col("t2").contains(F.col("core"))).select("doc_id", "line_no").distinct()
     island = F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
     runs = again.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("line_no").alias("start"), F.count("*").alias("n")).where("n >= 2")
     return runs.groupBy("doc_id").agg(F.min("start").alias("toc_start"))
 
 
+def toc_range(lines: DataFrame) -> DataFrame:
+    """doc_id, toc_start, toc_end: from the start (or a line 目录 before it) to the line before the first entry's title part comes again, else the last line."""
+    starts = toc_start(lines)
+    flat = lines.select("doc_id", "line_no", F.trim("text").alias("t"))
+    above = flat.where(F.col("t").rlike(r"^目\s*录$")).select("doc_id", (F.col("line_no") + 1).alias("toc_start"), F.lit(1).alias("named"))
+    entry = flat.join(starts, "doc_id").where((F.col("line_no") >= F.col("toc_start")) & title_rule(F.col("t")).isNotNull())
+    core = F.lit(None).cast("string")
+    for p in reversed(TITLE_RULES.values()):
+        core = F.when(F.col("t").rlike(p), F.regexp_extract("t", p, 0)).otherwise(core)
+    entry = entry.groupBy("doc_id", "toc_start").agg(F.min("line_no").alias("first"), F.min_by(F.trim(core), "line_no").alias("core"))
+    again = flat.join(entry.select("doc_id", "first", "core"), "doc_id").where((F.col("line_no") > F.col("first")) & normalize_title(F.col("t")).contains(F.col("core")))
+    again = again.groupBy("doc_id").agg(F.min("line_no").alias("again"))
+    last = flat.groupBy("doc_id").agg(F.max("line_no").alias("last"))
+    df = entry.join(above, ["doc_id", "toc_start"], "left").join(again, "doc_id", "left").join(last, "doc_id")
+    return df.select("doc_id", (F.col("toc_start") - F.coalesce("named", F.lit(0))).alias("toc_start"), F.coalesce(F.col("again") - 1, F.col("last")).alias("toc_end"))
+
+
+def after_toc(found: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Titles below their document's table of contents; all where there is none."""
+    df = found.join(ranges.select("doc_id", "toc_end"), "doc_id", "left")
+    return df.where(F.col("toc_end").isNull() | (F.col("line_no") > F.col("toc_end"))).drop("toc_end")
+
+
 def chunks_by_title(lines: DataFrame, pathed: DataFrame, keep_preamble: bool = True) -> DataFrame:
     """doc_id, ord, text, path, first_line: lines from one group of consecutive titles to the next, with the path of the group's last title."""
     t = pathed.select("doc_id", "line_no", F.array_join("path", " > ").alias("path"), F.lit(True).alias("is_title"))

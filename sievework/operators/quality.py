@@ -57,3 +57,19 @@ def topic_risk(similarity: Column, merge: bool) -> Column:
     if merge:
         return F.when(similarity > 0.93, 60).when(similarity > 0.85, 40).when(similarity > 0.75, 15).otherwise(0)
     return F.when(similarity < 0.5, 60).when(similarity < 0.65, 35).when(similarity < 0.75, 20).otherwise(0)
+
+
+def topic_rules(df: DataFrame) -> DataFrame:
+    """df (neighbor_similarity, least_similarity, each null where it isn't known) plus merge_topic_risk, split_topic_risk, topic_hard: the worst bands are hard."""
+    merge = F.coalesce(F.when(F.col("neighbor_similarity").isNotNull(), topic_risk(F.col("neighbor_similarity"), True)), F.lit(0))
+    split = F.coalesce(F.when(F.col("least_similarity").isNotNull(), topic_risk(F.col("least_similarity"), False)), F.lit(0))
+    hard = F.coalesce(F.col("neighbor_similarity") > 0.93, F.lit(False)) | F.coalesce(F.col("least_similarity") < 0.5, F.lit(False))
+    return df.withColumns({"merge_topic_risk": merge.cast("long"), "split_topic_risk": split.cast("long"), "topic_hard": hard})
+
+
+def validated(df: DataFrame, structure_risk: int = 25) -> DataFrame:
+    """rules() rows with breaks_structure and topic_rules() columns: one total_risk, hard flag and mode over all rules."""
+    structure = F.when(F.col("breaks_structure"), structure_risk).otherwise(0)
+    merge = (F.coalesce(F.col("mode") == "merge", F.lit(False))) | (F.col("merge_topic_risk") > 0)
+    total = F.col("total_risk") + structure + F.col("merge_topic_risk") + F.col("split_topic_risk")
+    return df.withColumns({"total_risk": total.cast("long"), "hard": F.col("hard") | F.col("topic_hard"), "mode": F.when(merge, "merge").when(total > 0, "split")})

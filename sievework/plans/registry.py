@@ -255,10 +255,10 @@ def entity_dedup(spark, d):
 
 @query("""WITH raw AS (SELECT l_suppkey AS doc_id, 'P' || (l_partkey % 50) AS source, l_returnflag AS target, l_linestatus AS relation_type, l_orderkey * 10 + l_linenumber AS pos FROM lineitem),
 f AS (SELECT doc_id, source, target, relation_type, min(pos) AS pos FROM raw GROUP BY 1, 2, 3, 4), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, source, target, relation_type) - 1 AS i FROM f)
-SELECT doc_id, source, target, relation_type, count(*) OVER (PARTITION BY doc_id) AS of_doc FROM n""")
+SELECT doc_id, source, target, relation_type, doc_id || '_R' || i AS relation_id, count(*) OVER (PARTITION BY doc_id) AS of_doc FROM n""")
 def relation_dedup(spark, d):
     raw = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.concat(F.lit("P"), F.col("l_partkey") % 50).alias("source"), F.col("l_returnflag").alias("target"), F.col("l_linestatus").alias("relation_type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
-    return graph.dedup_relations(raw).select("doc_id", "source", "target", "relation_type", F.count("*").over(Window.partitionBy("doc_id")).alias("of_doc"))
+    return graph.dedup_relations(raw).select("doc_id", "source", "target", "relation_type", "relation_id", F.count("*").over(Window.partitionBy("doc_id")).alias("of_doc"))
 
 
 @query("""WITH known AS (SELECT DISTINCT p_name AS text FROM part), m AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS mention FROM part UNION SELECT p_name FROM part),
@@ -299,12 +299,13 @@ def title_paths(spark, d):
     return outline.paths(outline.levels(outline.titles(_lines(spark, d)))).select("doc_id", "line_no", F.array_join("path", " > ").alias("path"))
 
 
-@query(f"""WITH {_LINES}, {_TITLES}, g AS (SELECT ln.*, tl.rule IS NOT NULL AS t, lag(tl.rule IS NOT NULL) OVER (PARTITION BY ln.doc_id ORDER BY ln.line_no) AS pt FROM ln LEFT JOIN tl USING (doc_id, line_no)),
+@query(f"""WITH {_LINES}, {_TITLES}, tp AS (SELECT doc_id, line_no, CASE WHEN level = 1 THEN text ELSE max_by(CASE WHEN level = 1 THEN text END, CASE WHEN level = 1 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) || ' > ' || text END AS path FROM tl),
+g AS (SELECT ln.*, tp.path, tp.path IS NOT NULL AS t, lag(tp.path IS NOT NULL) OVER (PARTITION BY ln.doc_id ORDER BY ln.line_no) AS pt FROM ln LEFT JOIN tp USING (doc_id, line_no)),
 h AS (SELECT *, sum(CASE WHEN t AND NOT coalesce(pt, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS grp FROM g)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS ord, string_agg(text, chr(10) ORDER BY line_no) AS text, min(line_no) AS first_line FROM h GROUP BY doc_id, grp""")
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS ord, string_agg(text, chr(10) ORDER BY line_no) AS text, arg_max(path, CASE WHEN t THEN line_no END) AS path, min(line_no) AS first_line FROM h GROUP BY doc_id, grp""")
 def chunk_by_title(spark, d):
     lines = _lines(spark, d)
-    return outline.chunks_by_title(lines, outline.paths(outline.levels(outline.titles(lines)))).select("doc_id", "ord", "text", "first_line")
+    return outline.chunks_by_title(lines, outline.paths(outline.levels(outline.titles(lines))))
 
 
 _PAIR = """r1 AS (SELECT *, sum(CASE WHEN s THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM fl), r2 AS (SELECT *, CASE WHEN s THEN row_number() OVER (PARTITION BY doc_id, run, s ORDER BY ord) ELSE 0 END AS p FROM r1),
@@ -320,11 +321,11 @@ def merge_short(spark, d):
 
 @query(rf"""WITH {S['chunks']}, b AS (SELECT doc_id, ord, text, CASE WHEN ord % 3 = 0 THEN [kb_id, text] ELSE [kb_id] END AS path FROM chunks), fl AS (SELECT *, text = path[-1] AS s FROM b), {_PAIR},
 r4 AS (SELECT *, sum(CASE WHEN lead_ THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS grp FROM r3)
-SELECT doc_id, grp::BIGINT AS ord, string_agg(text, chr(10) ORDER BY ord) AS text, count(*) AS n FROM r4 GROUP BY doc_id, grp""")
+SELECT doc_id, grp::BIGINT AS ord, string_agg(text, chr(10) ORDER BY ord) AS text, any_value(path[1]) || coalesce(' > ' || max(CASE WHEN s THEN text END), '') AS path, count(*) AS n FROM r4 GROUP BY doc_id, grp""")
 def merge_title_only(spark, d):
     c = _chunks(spark, d).select("doc_id", "ord", "text", F.when(F.col("ord") % 3 == 0, F.array("kb_id", "text")).otherwise(F.array("kb_id")).alias("path"))
     counted = outline._pairs(c, F.col("text") == F.element_at("path", -1), fold_last=False).groupBy("doc_id", F.col("group").cast("long").alias("ord")).agg(F.count("*").alias("n"))
-    return outline.merge_title_only(c).select("doc_id", "ord", "text").join(counted, ["doc_id", "ord"])
+    return outline.merge_title_only(c).join(counted, ["doc_id", "ord"])
 
 
 # ---- chunk quality
@@ -438,7 +439,7 @@ def chunk_validation(spark, d):
 
 
 # ---- text and pages
-_PAGES = r"""pg AS (SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]+)</title>', 1)), ''), '未知标题') AS title,
+_PAGES = r"""pg AS (SELECT page_id, CASE WHEN regexp_matches(html, '<title>[^<]+</title>') THEN trim(replace(regexp_extract(html, '<title>([^<]+)</title>', 1), ' | 在鸿云文档', '')) ELSE '未知标题' END AS title,
  trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '(?s)<script[^>]*>.*?</script>', '', 'g'), '<[^>]+>', chr(10), 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\n+', chr(10), 'g'), ' +', ' ', 'g')) AS content FROM pages)"""
 
 
@@ -466,20 +467,20 @@ def recent_history(spark, d):
 
 
 # ---- layout
-_PL = """pl AS (SELECT o_custkey AS doc_id, o_orderkey AS page, k AS line_no, text FROM (SELECT o_custkey, o_orderkey, 0 AS k, 'HEADER ' || (o_custkey % 10) AS text FROM orders UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, 'item ' || l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey))"""
+_PL = """pl AS (SELECT o_custkey AS doc_id, o_orderkey AS page, k AS line_no, text FROM (SELECT o_custkey, o_orderkey, 0 AS k, 'HEADER ' || (o_custkey % 10) AS text FROM orders UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, 'item ' || min(l_partkey) FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3))"""
 
 
 def _page_lines(spark, d):
     o = _t(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"))
     head = o.select("doc_id", "page", F.lit(0).alias("line_no"), F.concat(F.lit("HEADER "), F.col("doc_id") % 10).alias("text"))
-    body = o.join(_t(spark, d, "lineitem"), F.col("page") == F.col("l_orderkey")).select("doc_id", "page", F.col("l_linenumber").alias("line_no"), F.concat(F.lit("item "), "l_partkey").alias("text"))
+    body = o.join(_t(spark, d, "lineitem"), F.col("page") == F.col("l_orderkey")).groupBy("doc_id", "page", F.col("l_linenumber").alias("line_no")).agg(F.concat(F.lit("item "), F.min("l_partkey")).alias("text"))
     return head.unionByName(body)
 
 
-@query(f"""WITH {_PL}, f AS (SELECT doc_id, page, arg_min(text, line_no) AS a, min(line_no) AS ml FROM pl GROUP BY 1, 2), t AS (SELECT doc_id, count(*) AS total FROM f GROUP BY 1)
-SELECT doc_id, a AS text, count(*) AS pages FROM f JOIN t USING (doc_id) GROUP BY doc_id, a, total HAVING count(*) >= 0.7 * total""")
+@query(f"""WITH {_PL}, f AS (SELECT doc_id, page, unnest([{{'place': 'first', 'text': arg_min(text, line_no)}}, {{'place': 'last', 'text': arg_max(text, line_no)}}]) AS e FROM pl GROUP BY 1, 2), t AS (SELECT doc_id, count(DISTINCT page) AS total FROM pl GROUP BY 1)
+SELECT doc_id, e.text AS text, e.place AS place, count(*) AS pages FROM f JOIN t USING (doc_id) GROUP BY doc_id, e.text, e.place, total HAVING count(*) >= 0.7 * total""")
 def header_footer(spark, d):
-    return layout.running_lines(_page_lines(spark, d)).where("place = 'first'").select("doc_id", "text", "pages")
+    return layout.running_lines(_page_lines(spark, d))
 
 
 _CELLS = "ce AS (SELECT l_suppkey AS table_id, l_orderkey * 10 + l_linenumber AS row, c AS col, CASE WHEN c = 0 AND l_linenumber % 2 = 0 THEN l_returnflag WHEN c = 1 AND l_linenumber % 3 = 0 THEN l_linestatus WHEN c = 2 THEN l_quantity::INT::VARCHAR ELSE '' END AS value, l_partkey, l_extendedprice FROM lineitem, (VALUES (0), (1), (2)) v(c))"
@@ -521,7 +522,12 @@ def boxes(spark, d):
     return m.where(layout.large_enough(F.col("x0"), F.lit(0.0), F.col("x1"), F.lit(1000.0)))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT l_suppkey AS doc_id, l_orderkey AS page, l_linenumber::DOUBLE AS top, l_quantity AS x, l_partkey::VARCHAR AS text FROM lineitem), tops AS (SELECT DISTINCT doc_id, page, top FROM w),
+s AS (SELECT doc_id, page, min(top) AS top FROM w GROUP BY ALL UNION ALL SELECT n.doc_id, n.page, n.top FROM (SELECT t.doc_id, t.page, t.top, row_number() OVER (PARTITION BY t.doc_id, t.page ORDER BY t.top) AS k FROM s JOIN tops t ON t.doc_id = s.doc_id AND t.page = s.page AND t.top > s.top + 3) n WHERE k = 1)
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY top) AS line_no, top, text FROM (SELECT w.doc_id, w.page, s.top, string_agg(text, ' ' ORDER BY x, text) AS text FROM w JOIN s ON s.doc_id = w.doc_id AND s.page = w.page AND w.top BETWEEN s.top AND s.top + 3 GROUP BY ALL)""")
 def words_to_lines(spark, d):
     w = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("x"), F.col("l_linenumber").cast("double").alias("top"), F.col("l_partkey").cast("string").alias("text"))
     return layout.words_to_lines(w)
+
+
+from . import registry_more  # noqa: E402, F401  adds its queries

@@ -74,8 +74,15 @@ def page_number_lines(lines: DataFrame) -> DataFrame:
     return lines.where("num is not null").groupBy("doc_id").agg(items.alias("x")).select("doc_id", F.explode(F.aggregate("x", start, step, lambda a: a["lines"])).alias("line_no"))
 
 
-def without_frame(elements: DataFrame, page_like) -> DataFrame:
-    """elements (doc_id, page, line_no, text) without each page's first and last and without those that page_like (a condition) marks."""
-    w = Window.partitionBy("doc_id", "page")
+def without_frame(elements: DataFrame, edge: int = 2) -> DataFrame:
+    """elements (doc_id, line_no, type, text) without the texts among a document's first and last two and those that look like page marks.
+
+    Documents of fewer than three elements stay as they are.
+    """
+    w = Window.partitionBy("doc_id")
     up, down = F.row_number().over(w.orderBy("line_no")), F.row_number().over(w.orderBy(F.desc("line_no")))
-    return elements.withColumns({"__a": up, "__b": down}).where((F.col("__a") > 1) & (F.col("__b") > 1) & ~page_like).drop("__a", "__b")
+    t = F.trim("text")
+    page_like = t.rlike("第|页|Page|page") | t.rlike("^[0-9]+$")
+    df = elements.withColumns({"__a": up, "__b": down, "__n": F.count("*").over(w)})
+    gone = (F.col("__n") >= 3) & (F.col("type") == "text") & ((F.col("__a") <= edge) | (F.col("__b") <= edge) | page_like)
+    return df.where(~gone).drop("__a", "__b", "__n")

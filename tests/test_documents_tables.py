@@ -30,7 +30,9 @@ def test_page_numbers(spark):
     assert sorted(rows(documents.page_number_lines(df), "line_no")) == [(2,), (3,), (5,)]
     boxes = spark.createDataFrame([(1, 1, 690.0, 699.5)], "doc_id int, page int, y0 double, y1 double")
     assert sorted(rows(documents.outside_boxes(df, boxes), "line_no")) == [(3,), (4,), (5,), (6,)]
-    assert rows(documents.without_frame(df.withColumn("text", F.lit("x")), F.lit(False)), "line_no") == []
+    frame = spark.createDataFrame([(1, i, "table" if i == 1 else "text", t) for i, t in enumerate(["Head", "cells", "第 1 章 says", "body", "12", "more", "foot", "end"])], "doc_id int, line_no int, type string, text string")
+    assert rows(documents.without_frame(frame).orderBy("line_no"), "line_no") == [(1,), (3,), (5,)]
+    assert documents.without_frame(frame.limit(2)).count() == 2
 
 
 def test_titles(spark):

@@ -78,7 +78,9 @@ def bucket(value: Column) -> Column:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n) of the documents that pass the base rules: the mergeable sketches."""
-    rows = measured.where(~F.col("__base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in _values().items()])).alias("v"))
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in _values().items()])
+    # no filter, as that would be evaluated below the metrics and measure each text twice
+    rows = measured.select("lang", "source", F.explode(F.when(~F.col("__base_failed"), values)).alias("v"))
     return rows.groupBy("lang", "source", F.col("v.metric").alias("metric"), bucket(F.col("v.value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -117,7 +119,8 @@ def judged(measured: DataFrame, found: DataFrame) -> DataFrame:
         if METRICS[m][2]:
             inside = inside & (bucket(v) >= F.col(f"__lo_{m}"))
     joined = measured.join(found, measured["lang"].eqNullSafe(found["__lang"]) & measured["source"].eqNullSafe(found["__source"]), "left")
-    kept = ~F.col("__base_failed") & F.coalesce(inside, F.lit(True))
+    # one expression that no part of can be pushed below the metrics
+    kept = F.when(F.col("__base_failed"), False).otherwise(F.coalesce(inside, F.lit(True)))
     return joined.withColumn("__kept", kept).drop(*found.columns)
 
 

@@ -22,6 +22,58 @@ def test_top_k_batch_ties(spark):
     assert {k: [r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == k] for k in (7, 8)} == dict.fromkeys((7, 8), list(range(1, 21)))
 
 
+def test_top_k_batch_both_ways(spark):
+    """Sent queries and blocks of queries give the same rows, over all chunks and within keys, and equal brute force."""
+    import numpy as np
+
+    from sievework.operators import vector
+
+    x = np.random.default_rng(3).standard_normal((90, 8))
+    v = spark.createDataFrame([(i, f"k{i % 3}", r.tolist()) for i, r in enumerate(x)], "chunk_id long, kb_id string, embedding array<double>")
+    q = v.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    for by in (None, "kb_id"):
+        runs = [sorted((r.query_id, r["rank"], r.chunk_id) for r in vector.top_k_batch(q, v, 4, block=16, by=by, sent=n).collect()) for n in (4096, 0)]
+        want = []
+        for a in range(0, 90, 10):
+            near = sorted((round(((x[a] - x[b]) ** 2).sum(), 9), b) for b in range(90) if not by or a % 3 == b % 3)
+            want += [(a, k, b) for k, (_, b) in enumerate(near[:4], 1)]
+        assert runs[0] == runs[1] == sorted(want)
+
+
+def test_neighbors_of_hubs(spark):
+    """Cut hubs and stopped seeds give what a walk over all edges gives."""
+    import random
+
+    rng = random.Random(2)
+    edges = [(f"e{i:04d}", "H" if rng.random() < 0.4 else f"n{rng.randrange(30)}", "H" if rng.random() < 0.3 else f"n{rng.randrange(30)}") for i in range(400)] + [(f"z{i}", f"q{i % 3}", f"q{(i + 1) % 3}") for i in range(9)] + [("y", "q0", "H")]
+    df = spark.createDataFrame(edges, "relation_id string, source_id string, target_id string")
+    for limit in (3, 7):
+        got = {}
+        for r in graph.neighbors(df, spark.createDataFrame([("H",), ("q1",), ("n3",)], "seed string"), 2, limit).orderBy("seq").collect():
+            got.setdefault(r.seed, []).append((r.neighbor, r.hop, r.direction, r.relation_id))
+        for seed in ("H", "q1", "n3"):
+            seen, frontier, out = {seed}, [seed], []
+            for hop in (1, 2):
+                found, rows_, order = {}, [], []
+                for pos, node in enumerate(frontier):
+                    for d, (a, b) in enumerate(((1, 2), (2, 1))):
+                        for e in sorted(edges):
+                            if e[a] == node and e[b] not in seen and found.setdefault(e[b], (pos, d)) == (pos, d):
+                                rows_.append((pos, d, min(x[0] for x in edges if x[a] == node and x[b] == e[b]), e[0], e[b]))
+                rows_.sort()
+                out += [(to, hop, "out" if d == 0 else "in", rid) for _, d, _, rid, to in rows_]
+                order = list(dict.fromkeys(r[4] for r in rows_))
+                seen |= set(order)
+                frontier = order
+            assert got[seed] == out[:limit]
+
+
+def test_containment(spark):
+    parts, wholes = ["ab", "b", "bcd", "", "zz"], ["abcd", "b", "xab"]
+    got = graph.contained(spark.createDataFrame([(x,) for x in parts], "part string"), spark.createDataFrame([(x,) for x in wholes], "whole string")).collect()
+    assert sorted(map(tuple, got)) == sorted((p, w) for p in parts for w in wholes if p and p in w)
+
+
 def test_rrf(spark):
     hits = lambda xs: spark.createDataFrame([(1, c, i) for i, c in enumerate(xs, 1)], "query_id int, chunk_id string, rank int")
     out = fusion.best(fusion.rrf({"vector": hits(["c1", "c2"]), "keyword": hits(["c2", "c3"]), "graph": hits(["c3"])}))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.fusion import overlap
 from .text import tokens
 
+CAPITALISED = r"\p{Lu}[\p{L}\p{N}]*( \p{Lu}[\p{L}\p{N}]*)*"
+
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """A unit vector of signed word-hash counts; zero for a text without words."""
@@ -22,13 +24,28 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
 
 
+def capitalised(text: Column) -> Column:
+    """Entities (type, text) of a text: its runs of capitalised words, each once, in order."""
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0)))
+    return F.transform(runs, lambda t: F.struct(F.lit("term").alias("type"), t.alias("text")))
+
+
+def next_to(text: Column, entities: Column) -> Column:
+    """Relations (source, target, relation_type) of a text: each entity to the one after it."""
+    pairs = F.transform(entities, lambda e, i: F.struct(e["text"].alias("source"), F.get(entities, i + 1)["text"].alias("target"), F.lit("next_to").alias("relation_type")))
+    return F.filter(pairs, lambda p: p["target"].isNotNull())
+
+
 @dataclass
 class Hooks:
-    """embed(text) and score(query, text) are column functions; answer and extract work on batches of rows."""
+    """embed(text), score(query, text), split(question), entities(text) and relations(text, entities) are column functions; answer and recognize work on batches of rows."""
 
     embed: Callable[[Column], Column] = hashed_embedding
     score: Callable[[Column, Column], Column] = overlap
     answer: Callable[[str, str], str] = lambda query, context: context[:200]
+    entities: Callable[[Column], Column] = capitalised
+    relations: Callable[[Column, Column], Column] = next_to
+    recognize: Callable[[bytes], str] = lambda image: ""
     split: Callable[[Column], Column] = field(default=lambda q: F.filter(F.split(q, r"[?？;；]\s*"), lambda x: F.trim(x) != ""))
 
 
@@ -37,6 +54,34 @@ def encode(rows: DataFrame, hooks: Hooks, text: str = "text") -> DataFrame:
     return rows.where(F.trim(text) != "").withColumn("embedding", hooks.embed(F.col(text)))
 
 
+def encode_once(rows: DataFrame, hooks: Hooks, text: str = "text") -> DataFrame:
+    """encode(), with one call of the hook for all rows of equal text; for hooks that are dear and texts that repeat."""
+    own = encode(rows.select(F.col(text).alias("__t")).distinct(), hooks, "__t")
+    return rows.join(own, F.col(text) == F.col("__t")).drop("__t")
+
+
+def extracted_entities(chunks: DataFrame, hooks: Hooks) -> DataFrame:
+    """doc_id, chunk_id, chunk_index, pos, type, text: entities of whole chunks (doc_id, ord, chunk_id, text), blank ones left out."""
+    found = chunks.select("doc_id", "chunk_id", F.col("ord").alias("chunk_index"), F.posexplode(hooks.entities(F.col("text"))).alias("i", "e"))
+    return found.select("doc_id", "chunk_id", "chunk_index", F.struct("chunk_index", "i").alias("pos"), "e.type", "e.text").where(F.trim("text") != "")
+
+
+def extracted_relations(chunks: DataFrame, hooks: Hooks) -> DataFrame:
+    """doc_id, pos, source, target, relation_type: relations of whole chunks (doc_id, ord, text) between their entities."""
+    found = chunks.withColumn("__e", hooks.entities(F.col("text"))).select("doc_id", "ord", F.posexplode(hooks.relations(F.col("text"), F.col("__e"))).alias("i", "r"))
+    return found.select("doc_id", F.struct("ord", "i").alias("pos"), "r.source", "r.target", "r.relation_type")
+
+
+def recognized(images: DataFrame, hooks: Hooks) -> DataFrame:
+    """path, text of images (path, content) by the recognize hook; an image without content has an empty text."""
+
+    def call(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            yield pdf.assign(text=[hooks.recognize(bytes(c)) if c is not None else "" for c in pdf["content"]])[["path", "text"]]
+
+    return images.select("path", "content").mapInPandas(call, "path string, text string")
+
+
 def sub_questions(questions: DataFrame, hooks: Hooks) -> DataFrame:
     """query_id, part, text: the parts of each question, itself if it has none."""
     parts = hooks.split(F.col("text"))

@@ -147,6 +147,14 @@ def dedup_relations(raw: DataFrame) -> DataFrame:
     return first.select("doc_id", "source", "target", "relation_type", F.concat(F.col("doc_id").cast("string"), F.lit("_R"), n).alias("relation_id"))
 
 
+def build(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each document from extracted entities and relations: deduplicated, numbered doc_id_E0, ..., edges with both ends' ids."""
+    nodes = dedup_entities(entities)
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "text", "type")) - 1
+    nodes = nodes.withColumn("pos", n).withColumn("entity_id", F.concat(F.col("doc_id").cast("string"), F.lit("_E"), "pos"))
+    return nodes, link_entities(dedup_relations(relations), nodes)
+
+
 def link_entities(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """relations (doc_id, source, target, ...) with source_id and target_id by entity text; of equal texts the last entity wins."""
     ids = entities.groupBy("doc_id", "text").agg(F.max_by("entity_id", "pos").alias("id"))

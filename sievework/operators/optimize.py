@@ -33,6 +33,20 @@ def pieces(text: Column, places: Column) -> Column:
     return F.filter(F.transform(cut, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.substr(text, c["start"] + 1, c["end"] - c["start"]).alias("text"))), lambda c: c["end"] > c["start"])
 
 
+def optimized(chunks: DataFrame, merges: DataFrame, fragments: DataFrame) -> DataFrame:
+    """doc_id, ord (anew from 1), text, first_ord, last_ord: chunks (doc_id, ord, text) joined and cut as a model or a person says.
+
+    Chunks of merges (doc_id, ord) that follow each other become one text without a separator; a text is then cut where the
+    fragments (doc_id, ord, fragments array) of its chunks begin. A fragment that is not in the text cuts nothing.
+    """
+    runs = consecutive(merges.select("doc_id", "ord").distinct())
+    df = chunks.select("doc_id", "ord", "text").join(runs, ["doc_id", "ord"], "left").join(fragments.select("doc_id", "ord", "fragments"), ["doc_id", "ord"], "left")
+    whole = df.groupBy("doc_id", F.coalesce("run", "ord").alias("first_ord")).agg(F.max("ord").alias("last_ord"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("r"), F.flatten(F.collect_list("fragments")).alias("f"))
+    whole = whole.withColumn("whole", F.array_join(F.transform("r", lambda x: x["text"]), ""))
+    cut = whole.select("doc_id", "first_ord", "last_ord", F.posexplode(pieces(F.col("whole"), split_places(F.col("whole"), F.col("f")))).alias("i", "p"))
+    return cut.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_ord", "i")).cast("long").alias("ord"), F.col("p.text").alias("text"), "first_ord", "last_ord")
+
+
 def sources_of(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     """spans (doc_id, start, end) with the chunks (doc_id, ord, c_start, c_end) that they overlap."""
     return spans.join(chunks, "doc_id").where((F.col("start") < F.col("c_end")) & (F.col("end") > F.col("c_start")))

@@ -50,7 +50,7 @@ def toc_start(lines: DataFrame) -> DataFrame:
     entries = flat.where(F.col("t").rlike("[0-9]+$") & rule.isNotNull()).withColumn("core", F.trim(core))
     # lines meet by the first three characters of the title part, not all with all
     every, first = grams(F.col("t")), F.substring("core", 1, 3)
-    later = flat.select("doc_id", F.col("line_no").alias("l2"), F.col("t").alias("t2"), F.explode(every).alias("g"))
+    later = flat.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("line_no").alias("l2"), F.col("t").alias("t2"), F.explode(every).alias("g"))
     met = entries.withColumn("g", first).join(later, ["doc_id", "g"])
     again = met.where((F.col("l2") > F.col("line_no")) & F.col("t2").contains(F.col("core"))).select("doc_id", "line_no").distinct()
     island = F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
@@ -81,9 +81,12 @@ def after_toc(found: DataFrame, ranges: DataFrame) -> DataFrame:
     return df.where(F.col("toc_end").isNull() | (F.col("line_no") > F.col("toc_end"))).drop("toc_end")
 
 
-def chunks_by_title(lines: DataFrame, pathed: DataFrame, keep_preamble: bool = True) -> DataFrame:
-    """doc_id, ord, text, path, first_line: lines from one group of consecutive titles to the next, with the path of the group's last title."""
-    t = pathed.select("doc_id", "line_no", F.array_join("path", " > ").alias("path"), F.lit(True).alias("is_title"))
+def chunks_by_title(lines: DataFrame, pathed: DataFrame, keep_preamble: bool = True, joined: bool = True) -> DataFrame:
+    """doc_id, ord, text, path, first_line: lines from one group of consecutive titles to the next, with the path of the group's last title.
+
+    The path is one string, or the array of its titles (joined=False).
+    """
+    t = pathed.select("doc_id", "line_no", (F.array_join("path", " > ") if joined else F.col("path")).alias("path"), F.lit(True).alias("is_title"))
     df = lines.join(t, ["doc_id", "line_no"], "left")
     w = Window.partitionBy("doc_id").orderBy("line_no")
     starts = F.col("is_title").isNotNull() & F.lag("is_title").over(w).isNull()
@@ -104,7 +107,7 @@ def _pairs(df: DataFrame, flag: Column, fold_last: bool) -> DataFrame:
     fold_last: a flagged last row that no pair holds joins the group before it.
     """
     w = Window.partitionBy("doc_id").orderBy("ord")
-    df = df.withColumn("__s", flag).withColumn("__run", F.sum(F.when(F.col("__s"), 0).otherwise(1)).over(w))
+    df = df.withColumn("__s", F.coalesce(flag, F.lit(False))).withColumn("__run", F.sum(F.when(F.col("__s"), 0).otherwise(1)).over(w))
     place = F.row_number().over(Window.partitionBy("doc_id", "__run", "__s").orderBy("ord"))
     df = df.withColumn("__p", F.when(F.col("__s"), place).otherwise(0))
     consumed = F.coalesce(F.lag("__s").over(w) & (F.lag("__p").over(w) % 2 == 1), F.lit(False))
@@ -122,9 +125,10 @@ def merge_short(chunks: DataFrame, short: Column) -> DataFrame:
     return df.groupBy("doc_id", F.col("group").alias("g")).agg(text.alias("text"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).select("doc_id", F.col("g").cast("long").alias("ord"), "text", "first_ord", "last_ord")
 
 
-def merge_title_only(chunks: DataFrame) -> DataFrame:
-    """doc_id, ord, text, path: a chunk whose text is its last title joined with the next; paths joined without repeats. chunks has path (array)."""
-    df = _pairs(chunks, F.col("text") == F.element_at("path", -1), fold_last=False)
+def merge_title_only(chunks: DataFrame, joined: bool = True) -> DataFrame:
+    """doc_id, ord, text, path: a chunk whose text is its last title joined with the next; paths joined without repeats. chunks has path (array, empty where there is none)."""
+    df = _pairs(chunks, F.col("text") == F.try_element_at("path", F.lit(-1)), fold_last=False)
     rows = F.array_sort(F.collect_list(F.struct("ord", "text", "path")))
     out = df.groupBy("doc_id", "group").agg(rows.alias("r"))
-    return out.select("doc_id", F.col("group").cast("long").alias("ord"), F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("text"), F.array_join(F.array_distinct(F.flatten(F.transform("r", lambda x: x["path"]))), " > ").alias("path"))
+    path = F.array_distinct(F.flatten(F.transform("r", lambda x: x["path"])))
+    return out.select("doc_id", F.col("group").cast("long").alias("ord"), F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("text"), (F.array_join(path, " > ") if joined else path).alias("path"))

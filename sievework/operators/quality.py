@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_parameter_line, token_count
+from .optimize import topic_windows
+from .vector import cosine
 
 
 def measured(chunks: DataFrame, title_tokens: Column | None = None) -> DataFrame:
@@ -52,6 +54,23 @@ def short_runs(chunks: DataFrame, below: int = 150) -> DataFrame:
     return df.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.count("*").alias("n")).where("n >= 2").drop("island")
 
 
+def neighbor_similarity(measured: DataFrame, embed, below: int = 150) -> DataFrame:
+    """measured (doc_id, ord, text, tokens) plus neighbor_similarity: the cosine with the next chunk where both have fewer tokens than below, else null."""
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    df = measured.withColumn("__v", F.when(F.col("tokens") < below, embed(F.col("text"))))
+    df = df.withColumn("__n", F.when(F.lead("ord").over(w) == F.col("ord") + 1, F.lead("__v").over(w)))
+    return df.withColumn("neighbor_similarity", F.when(F.col("__v").isNotNull() & F.col("__n").isNotNull(), cosine(F.col("__v"), F.col("__n")))).drop("__v", "__n")
+
+
+def window_similarity(measured: DataFrame, embed, above: int = 800) -> DataFrame:
+    """measured (doc_id, ord, text, tokens) plus least_similarity: the least cosine of windows next to each other in a chunk of more than ``above`` tokens, else null."""
+    parts = measured.where(F.col("tokens") > above).select("doc_id", "ord", F.posexplode(topic_windows(F.col("text"), above)).alias("i", "part"))
+    parts = parts.withColumn("v", embed(F.col("part")))
+    pairs = parts.withColumn("n", F.lead("v").over(Window.partitionBy("doc_id", "ord").orderBy("i"))).where("n is not null")
+    least = pairs.groupBy("doc_id", "ord").agg(F.min(cosine(F.col("v"), F.col("n"))).alias("least_similarity"))
+    return measured.join(least, ["doc_id", "ord"], "left")
+
+
 def topic_risk(similarity: Column, merge: bool) -> Column:
     """Risk of a similarity: between neighbours that should be one (merge), or of the least between parts of one chunk."""
     if merge:

@@ -4,15 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import models
+from ..functions import models, titles
 from ..functions.text import token_count
-from ..operators import context, fusion, keyword, outline, vector
+from ..operators import context, fusion, graph, keyword, outline, quality, vector
 from ..sources.relations import chunks
 
 
-def ingest(documents: DataFrame, hooks: models.Hooks, short: int = 20) -> DataFrame:
-    """doc_id, ord, chunk_id, text, length, embedding: lines, short ones merged, blank ones left out, embedded."""
-    rows = chunks(documents).select("doc_id", "ord", "text")
+def outlined(documents: DataFrame) -> DataFrame:
+    """doc_id, ord, text, path (array): lines below the table of contents' titles, chunks of title-only text joined with the next."""
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(F.trim("text") != "")
+    lines = lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "text")
+    found = outline.after_toc(outline.titles(lines), outline.toc_range(lines))
+    grouped = outline.chunks_by_title(lines, outline.paths(outline.levels(found)), joined=False)
+    return outline.merge_title_only(grouped.withColumn("path", F.coalesce("path", F.array().cast("array<string>"))), joined=False)
+
+
+def judged(rows: DataFrame, hooks: models.Hooks, patterns: list[str] | None = None) -> DataFrame:
+    """rows (doc_id, ord, text, path array) with every quality rule: risks, total_risk, hard, mode; patterns are those of title levels."""
+    df = quality.rules(quality.measured(rows))
+    df = quality.window_similarity(quality.neighbor_similarity(df, hooks.embed), hooks.embed)
+    return quality.validated(quality.topic_rules(df.withColumn("breaks_structure", titles.breaks_structure(F.col("path"), patterns or []))))
+
+
+def document_graph(rows: DataFrame, hooks: models.Hooks) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each document's graph from chunks (doc_id, ord, chunk_id, text) by the extraction hooks."""
+    return graph.build(models.extracted_entities(rows, hooks), models.extracted_relations(rows, hooks))
+
+
+def ingest(documents: DataFrame, hooks: models.Hooks, short: int = 20, by_title: bool = False) -> DataFrame:
+    """doc_id, ord, chunk_id, text, length, embedding: lines, or chunks by title; short ones merged, blank ones left out, embedded."""
+    rows = (outlined(documents) if by_title else chunks(documents)).select("doc_id", "ord", "text")
     merged = outline.merge_short(rows, token_count(F.col("text")) < short)
     out = merged.select("doc_id", "ord", F.concat_ws("_", "doc_id", "ord").alias("chunk_id"), "text", F.length("text").cast("long").alias("length"))
     return models.encode(out, hooks)

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import models, text as tx, titles
 from ..operators import catalog, graph, layout, optimize, outline, quality, tables, vector
 from ..sources import documents as docs_of, relations as rel
+from . import pipelines
 from .registry import _FUSED, _G, _LINES, _N2, _QM, _RERANKED, S, _chunks, _hits, _lines, _reranked, _t, _vectors, query
 
 
@@ -65,6 +66,21 @@ def document_nodes(spark, d):
     return graph.of_document(rel.entities(spark, d).withColumnRenamed("chunk_id", "doc_id"), 7)
 
 
+_EXTRACTED = rf"""{S['chunks']}, cap AS (SELECT doc_id, chunk_id, ord, regexp_extract_all(text, '{models.CAPITALISED}') AS l FROM chunks), en AS (SELECT doc_id, chunk_id, ord, text, min(i) AS i FROM (SELECT doc_id, chunk_id, ord, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM cap) GROUP BY 1, 2, 3, 4),
+no AS (SELECT *, doc_id || '_E' || (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, text) - 1) AS entity_id FROM (SELECT doc_id, text, 'term' AS type, arg_min(chunk_id, ord) AS chunk_id, min(ord) AS chunk_index, count(*) AS mentions FROM en GROUP BY 1, 2))"""
+
+
+@query(f"WITH {_EXTRACTED} SELECT doc_id, text, type, chunk_id, chunk_index, mentions, entity_id FROM no")
+def extracted_nodes(spark, d):
+    return pipelines.document_graph(_chunks(spark, d), models.Hooks())[0].drop("pos")
+
+
+@query(f"""WITH {_EXTRACTED}, pr AS (SELECT doc_id, ord, i, text AS source, lead(text) OVER (PARTITION BY doc_id, ord ORDER BY i) AS target FROM en), fp AS (SELECT doc_id, source, target, min(struct_pack(o := ord, i := i)) AS fst FROM pr WHERE target IS NOT NULL GROUP BY 1, 2, 3)
+SELECT f.doc_id, f.source, f.target, 'next_to' AS relation_type, f.doc_id || '_R' || (row_number() OVER (PARTITION BY f.doc_id ORDER BY fst, f.source, f.target) - 1) AS relation_id, a.entity_id AS source_id, b.entity_id AS target_id FROM fp f JOIN no a ON a.doc_id = f.doc_id AND a.text = f.source JOIN no b ON b.doc_id = f.doc_id AND b.text = f.target""")
+def extracted_edges(spark, d):
+    return pipelines.document_graph(_chunks(spark, d), models.Hooks())[1]
+
+
 # ---- catalog
 @query("SELECT p_partkey AS id, p_brand AS code FROM part WHERE lower(p_brand) = 'brand#12'")
 def code_lookup(spark, d):
@@ -279,6 +295,15 @@ def chunk_pieces(spark, d):
     return _chunks(spark, d).where("length > 0").select("doc_id", "ord", shown.alias("pieces"))
 
 
+@query(f"""WITH {S['chunks']}, m AS (SELECT *, CASE WHEN ord % 5 IN (1, 2) THEN ord - ord % 5 + 1 ELSE ord END AS g FROM chunks), w AS (SELECT doc_id, g, max(ord) AS last_ord, string_agg(text, '' ORDER BY ord) AS t, bool_or(ord % 3 = 0) AS c FROM m GROUP BY 1, 2),
+x AS (SELECT *, CASE WHEN NOT c THEN 0 WHEN contains(t, '. ') THEN instr(t, '. ') - 1 ELSE instr(t, '.') - 1 END AS cut FROM w), p AS (SELECT doc_id, g, last_ord, i, CASE WHEN cut <= 0 THEN t WHEN i = 0 THEN left(t, cut::INT) ELSE substr(t, cut::INT + 1) END AS text FROM x, (VALUES (0), (1)) v(i) WHERE i = 0 OR cut > 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, i) AS ord, text, g AS first_ord, last_ord FROM p WHERE text <> ''""")
+def optimized_chunks(spark, d):
+    c = _chunks(spark, d)
+    cuts = c.where("ord % 3 = 0").select("doc_id", "ord", F.array(F.lit(". ")).alias("fragments"))
+    return optimize.optimized(c, c.where("ord % 5 in (1, 2)"), cuts)
+
+
 @query(f"WITH {S['vectors']} SELECT vec_id AS chunk_id, vec_id % 3 = 0 AS has_graph, CASE WHEN vec_id % 3 = 0 THEN 'a,b' ELSE '' END AS related, CASE WHEN vec_id % 3 = 0 THEN 0.7 ELSE 0.0 END::DOUBLE AS graph_score FROM embeddings")
 def enriched_hits(spark, d):
     hits = _t(spark, d, "embeddings").select(F.lit(1).alias("query_id"), F.col("vec_id").alias("chunk_id"))

@@ -53,6 +53,11 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x{3000}]+", " "))
 
 
+def strip(text: Column) -> Column:
+    """A text without white space at its ends, line ends included."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_title(text: Column) -> Column:
     """A title without the page number at its end."""
     return F.trim(F.regexp_replace(text, r"\s*[0-9]+\s*$", ""))
@@ -80,6 +85,19 @@ def page_number(text: Column) -> Column:
     return F.coalesce(got(r"^第\s*([0-9]+)\s*页$"), got(r"^([0-9]+)\s*页$"), got(r"^-?\s*([0-9]+)\s*-?$"), got(r"^([0-9]+)\s*/\s*[0-9]+$")).cast("int")
 
 
+# fixed values: page marks by format, in the order they are tried; the pure one has at most three digits
+PAGE_MARKS = {"chinese": r"第\s*(\d+)\s*[页节条款]", "slash": r"^\s*(\d+)\s*[\\/]\s*\d+\s*$", "page_en": r"[Pp]age\s*(\d+)", "pure": r"^\s*(\d{1,3})\s*$"}
+
+
+def page_mark(text: Column) -> Column:
+    """(num, format) of the page mark in a line, else null."""
+    out = F.lit(None).cast("struct<num:int,format:string>")
+    for name, pattern in reversed(PAGE_MARKS.items()):
+        num = F.regexp_extract(text, pattern, 1)
+        out = F.when(num != "", F.struct(num.try_cast("int").alias("num"), F.lit(name).alias("format"))).otherwise(out)
+    return out
+
+
 # fixed values: what a site adds to its titles, containers of main texts, references
 TITLE_SUFFIX = " | 在鸿云文档"
 CONTAINERS = [r'(?s)<div[^>]*class="vp-doc[^"]*"[^>]*>(.*?)</div>\s*</main>', r'(?s)<main[^>]*class="main[^"]*"[^>]*>.*?<div[^>]*>(.*?)</div>\s*</main>']
@@ -130,6 +148,33 @@ def json_block(answer: Column) -> Column:
     return F.coalesce(fenced, F.nullif(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), F.lit("")))
 
 
+def answer_object(answer: Column, schema: str) -> Column:
+    """The JSON object of a model's answer as a struct, fields null where it has none; raw line ends inside strings don't break it."""
+    return F.from_json(F.translate(json_block(answer), "\n\r", " "), schema)
+
+
+def answer_entities(answer: Column) -> Column:
+    """The entities (text, type, chunk_index, description) of a model's answer; those without text or type are left out, none if it can't be read."""
+    found = answer_object(answer, "entities array<struct<text:string,type:string,chunk_index:int,description:string>>")["entities"]
+    whole = F.filter(found, lambda e: e["text"].isNotNull() & e["type"].isNotNull())
+    filled = F.transform(whole, lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type"), F.coalesce(e["chunk_index"], F.lit(0)).alias("chunk_index"), F.coalesce(e["description"], F.lit("")).alias("description")))
+    return F.coalesce(filled, F.array().cast("array<struct<text:string,type:string,chunk_index:int,description:string>>"))
+
+
+# fixed values: how a model's thinking and its answer begin, and what an empty answer becomes
+THINKING, ANSWER = ("思考：", "思考:"), "答案："
+EMPTY_ANSWER = "抱歉，无法生成答案。"
+
+
 def clean_answer(answer: Column) -> Column:
-    """An answer without its thinking block, which runs from a 思考: line to the 答案: line."""
-    return F.trim(F.regexp_replace(F.regexp_replace(answer, r"(?s)(^|\n)思考[:：].*?(?=\n答案[:：]|$)", ""), r"(^|\n)答案[:：]\s*", "$1"))
+    """An answer without its thinking, which runs from a line that begins with its mark to one that begins with the answer's; an empty one is the apology."""
+    thinks = lambda line: line.startswith(THINKING[0]) | line.startswith(THINKING[1])
+    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("kept"))
+
+    def step(a: Column, line: Column) -> Column:
+        answers = a["skip"] & line.startswith(ANSWER)
+        kept = F.when(answers, F.concat(a["kept"], F.array(F.substring(line, len(ANSWER) + 1, 2**31 - 1)))).when(a["skip"], a["kept"]).otherwise(F.concat(a["kept"], F.array(line)))
+        return F.when(thinks(line), F.struct(F.lit(True).alias("skip"), a["kept"].alias("kept"))).otherwise(F.struct((a["skip"] & ~answers).alias("skip"), kept.alias("kept")))
+
+    left = F.aggregate(F.split(strip(answer), "\n", -1), start, step, lambda a: strip(F.array_join(a["kept"], "\n")))
+    return F.when(F.coalesce(answer, F.lit("")) == "", EMPTY_ANSWER).otherwise(left)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .text import strip
+
+# fixed values: the mark of a chapter
+CHAPTER = "^第[一二三四五六七八九十百]+[章节篇]"
 # fixed values: title formats in the order they are tried
 FORMATS = {
     "rule_001": r"^第[一二三四五六七八九十百]+章\b\s*(.+)",
@@ -50,22 +54,60 @@ def breaks_structure(path: Column, patterns: list[str]) -> Column:
 
 
 def line_features(lines: DataFrame) -> DataFrame:
-    """lines (doc_id, line_no, text) plus length, starts_with_number, starts_with_chinese_number, ends_with_stop, has_space, prev_empty, next_empty."""
+    """The non-blank lines (doc_id, line_no, text) with title and what a title is told by.
+
+    Those are index, length, word_count, prev_empty, next_empty, starts_with_digit, starts_with_chinese_num,
+    starts_with_bracket, starts_with_chapter_keyword, has_dot_separated_numbers, has_punctuation_after_num and
+    prefix_pattern (the chapter mark, else empty).
+    """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    t = F.trim("text")
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    return lines.withColumns({
-        "length": F.length(t).cast("long"), "starts_with_number": t.rlike("^[0-9]"), "starts_with_chinese_number": t.rlike("^[一二三四五六七八九十百千零]"), "ends_with_stop": t.rlike("[。.!！?？;；]$"),
-        "has_space": t.contains(" "), "prev_empty": blank(F.lag("text").over(w)), "next_empty": blank(F.lead("text").over(w)),
+    t = F.col("title")
+    blank = lambda c: F.coalesce(c == "", F.lit(True))
+    df = lines.withColumn("title", F.coalesce(strip(F.col("text")), F.lit("")))
+    df = df.withColumns({"index": (F.row_number().over(w) - 1).cast("long"), "prev_empty": blank(F.lag("title").over(w)), "next_empty": blank(F.lead("title").over(w))})
+    chapter = F.regexp_extract(t, CHAPTER, 0)
+    return df.where("title <> ''").withColumns({
+        "length": F.length(t).cast("long"), "word_count": F.size(F.split(t, r"(?U)\s+")).cast("long"), "starts_with_digit": t.rlike(r"(?U)^\d"),
+        "starts_with_chinese_num": t.rlike("^[一二三四五六七八九十百千零]"), "starts_with_bracket": t.rlike(r"^[(\[（]"), "starts_with_chapter_keyword": chapter != "",
+        "has_dot_separated_numbers": t.rlike(r"(?U)^\d+\.\d+"), "has_punctuation_after_num": t.rlike(r"(?U)^\d+[.\s、,]"), "prefix_pattern": chapter,
     })
 
 
-def title_confidence(featured: DataFrame, longest: int = 50) -> DataFrame:
-    """featured plus confidence: the sum of what speaks for a title."""
-    point = lambda c, v: F.when(c, v).otherwise(0.0)
-    numbered = F.col("starts_with_number") | F.col("starts_with_chinese_number")
-    score = point(numbered, 0.4) + point((F.col("length") > 0) & (F.col("length") <= longest), 0.2) + point(~F.col("ends_with_stop"), 0.2) + point(F.col("prev_empty"), 0.1) + point(F.col("next_empty"), 0.1)
-    return featured.withColumn("confidence", F.round(score, 2))
+def title_candidates(featured: DataFrame) -> DataFrame:
+    """doc_id, line_no, title, confidence, pattern of line_features() rows that may be titles: numbered or marked ones, or those that stand alone and are short.
+
+    A line without a known prefix (null pattern) needs a confidence of 5. A document's line counts as apart from others also
+    where its index is that of the last of its non-blank lines.
+    """
+    of_document = F.count("*").over(Window.partitionBy("doc_id"))
+    apart = F.col("prev_empty") | F.col("next_empty") | (F.col("index") == 0) | (F.col("index") == of_document - 1)
+    # the marks of a title with their weights; a Chinese number has no punctuation mark of its own
+    marks = [(F.col("starts_with_chapter_keyword"), 5), (F.col("has_dot_separated_numbers"), 4), (F.col("starts_with_bracket"), 3), (F.col("starts_with_digit") & F.col("has_punctuation_after_num"), 3)]
+    point = lambda c, v: F.when(c, v).otherwise(0)
+    score = point(apart, 2) + point(F.col("length") < 80, 1) + point(F.col("length") < 50, 1)
+    marked = F.lit(False)
+    for c, v in marks:
+        score, marked = score + point(c, v), marked | c
+    df = featured.withColumns({"confidence": score.cast("long"), "marked": marked, "pattern": prefix_pattern(F.col("prefix_pattern"))})
+    return df.where(((F.col("confidence") >= 3) | F.col("marked")) & (F.col("pattern").isNotNull() | (F.col("confidence") >= 5))).select("doc_id", "line_no", "title", "confidence", "pattern")
+
+
+def pattern_groups(candidates: DataFrame, least: int = 2) -> DataFrame:
+    """doc_id, type, regex, level_info, n, first_line, examples: the prefix types of title_candidates() found at least so often, chapters once; the last line's regex counts."""
+    df = candidates.where("pattern is not null").withColumn("type", F.col("pattern.type"))
+    examples = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.substring("title", 1, 30).alias("t")))), lambda x: x["t"])
+    last = F.max_by("pattern", "line_no")
+    n = df.groupBy("doc_id", "type").agg(last["regex"].alias("regex"), last["level"].alias("level_info"), F.count("*").alias("n"), F.min("line_no").alias("first_line"), examples.alias("examples"))
+    return n.where((F.col("n") >= least) | (F.col("type") == "chinese_chapter"))
+
+
+def pattern_hierarchy(groups: DataFrame, lines: DataFrame, longest: int = 50) -> DataFrame:
+    """doc_id, level (level1, level2, ...), type, regex: pattern_groups() in order of the first of lines (doc_id, line_no, text), shorter than longest, that has the pattern."""
+    own = groups.select("doc_id", "type", "regex", "first_line")
+    hit = lines.where(F.length("text") < longest).join(own, "doc_id").where(F.regexp_like("text", F.concat(F.lit("(?U)"), F.col("regex"))))
+    first = hit.groupBy("doc_id", "type").agg(F.min("line_no").alias("first"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("first"), "first_line"))
+    return own.join(first, ["doc_id", "type"], "left").select("doc_id", F.concat(F.lit("level"), place.cast("string")).alias("level"), "type", "regex")
 
 
 def format_counts(titles: DataFrame, least: int = 2) -> DataFrame:

@@ -111,3 +111,20 @@ def kb_by_name(asked: DataFrame, bases: DataFrame) -> DataFrame:
 def api_hits(hits: DataFrame) -> DataFrame:
     """Hits as an interface shows them: chunkId, docId, content, titlePath, score, rerankScore (the reranker's, else the score)."""
     return hits.select(F.col("chunk_id").alias("chunkId"), F.col("doc_id").alias("docId"), F.col("text").alias("content"), F.to_json("path").alias("titlePath"), "score", F.coalesce("rerank_score", "score").alias("rerankScore"))
+
+
+def of_base(files: DataFrame, kb_id) -> DataFrame:
+    """The files of a knowledge base, last uploads first."""
+    return files.where(F.col("kb_id") == kb_id).orderBy(F.desc("upload_time"), "id")
+
+
+def edited(cards: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """cards (with published) after changes; published ones are read-only and stay."""
+    return update(cards, changes.join(cards.where("published").select(key), key, "left_anti"), key, blank_keeps=False)
+
+
+def removable(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (kb_id, id) plus status: deleted, forbidden where the file lies in another knowledge base, missing where there is none."""
+    f = files.select("id", F.col("kb_id").alias("__own"))
+    status = F.when(F.col("__own").isNull(), "missing").when(F.col("__own") == F.col("kb_id"), "deleted").otherwise("forbidden")
+    return asked.join(f, "id", "left").select("kb_id", "id", status.alias("status"))

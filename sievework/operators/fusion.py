@@ -23,6 +23,22 @@ def rrf(hits: dict[str, DataFrame], weights: dict[str, float] = WEIGHTS, k: int
     return reduce(DataFrame.unionByName, parts).groupBy("query_id", "chunk_id").agg(*shares).withColumn("fused_score", reduce(Column.__add__, [F.col(f"{m}_part") for m in weights]))
 
 
+def merged(vector: DataFrame, keyword: DataFrame, graph: DataFrame) -> DataFrame:
+    """query_id, chunk_id, doc_id, text, vector_score, keyword_score, graph_score, related_entities of chunks that any search found.
+
+    vector has query_id, chunk_id, doc_id, text, score, keyword the same without text, graph also related_entities. The text is
+    the vector search's, empty where it didn't find the chunk; a score that is missing is 0. One union and one aggregation.
+    """
+    none = F.lit(None)
+    side = lambda df, place, text, related: df.select("query_id", "chunk_id", "doc_id", F.lit(place).alias("side"), text.cast("string").alias("text"), "score", related.cast("array<string>").alias("related"))
+    rows = side(vector, 0, F.col("text"), none).unionByName(side(keyword, 1, none, none)).unionByName(side(graph, 2, none, F.col("related_entities")))
+    score = lambda i: F.coalesce(F.max(F.when(F.col("side") == i, F.col("score"))), F.lit(0.0))
+    return rows.groupBy("query_id", "chunk_id").agg(
+        F.min_by("doc_id", "side").alias("doc_id"), F.coalesce(F.max("text"), F.lit("")).alias("text"), score(0).alias("vector_score"), score(1).alias("keyword_score"), score(2).alias("graph_score"),
+        F.max("related").alias("related_entities"),
+    )
+
+
 def best(fused: DataFrame, n: int = 20) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("fused_score", 12)), "chunk_id")
     return fused.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)

@@ -13,6 +13,13 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return count(nodes, "nodes", "type").unionByName(count(edges, "edges", "relation_type"))
 
 
+def build_counts(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """metric, kind, inputs, distinct_inputs: how many extracted entities (doc_id, text, type) and relations (doc_id, source, target, relation_type) a build takes in, by kind and (null) in all."""
+    entity = entities.groupBy("doc_id", "text", F.col("type").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("entities").alias("metric"), "kind", "n")
+    relation = relations.groupBy("doc_id", "source", "target", F.col("relation_type").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("relations").alias("metric"), "kind", "n")
+    return entity.unionByName(relation).groupBy("metric", "kind").agg(F.sum("n").alias("inputs"), F.count("*").alias("distinct_inputs")).rollup("metric", "kind").agg(F.sum("inputs").alias("inputs"), F.sum("distinct_inputs").alias("distinct_inputs")).where("metric is not null")
+
+
 def upsert_nodes(nodes: DataFrame, order: str) -> DataFrame:
     """The last row of each entity_id."""
     return nodes.groupBy("entity_id").agg(F.max_by(F.struct(*[c for c in nodes.columns if c != "entity_id"]), order).alias("r")).select("entity_id", "r.*")

@@ -68,12 +68,20 @@ def entity_context(related: DataFrame, longest: int = 200) -> DataFrame:
 
 def topic_windows(text: Column, above: int = 800) -> Column:
     """Windows of 150, 175 or 200 words, half overlapping, of a text of more than ``above`` words; a last one under 0.6 of the size joins the one before. Else null."""
-    t = tokens(text, lower=False)
-    n = F.size(t)
-    size = F.when(n < 1200, 150).when(n < 1600, 175).otherwise(200)
-    step = F.floor(size / 2).cast("int")
-    count = F.ceil((n - size) / step).cast("int") + 1
-    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(t, i * step + 1, size), " "))
-    short = (n - (count - 1) * step) < 0.6 * size
-    joined = F.concat(F.slice(windows, F.lit(1), count - 2), F.array(F.concat_ws("\n", F.get(windows, count - 2), F.get(windows, count - 1))))
-    return F.when(n > above, F.when(short & (count >= 2), joined).otherwise(windows))
+
+    def cut(t: Column) -> Column:
+        n = F.size(t)
+        size = F.when(n < 1200, 150).when(n < 1600, 175).otherwise(200)
+        step = F.floor(size / 2).cast("int")
+        count = F.ceil((n - size) / step).cast("int") + 1
+        windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(t, i * step + 1, size), " "))
+        short = (n - (count - 1) * step) < 0.6 * size
+        return F.when(n > above, once(windows, lambda w: F.when(short & (count >= 2), last_two_joined(w)).otherwise(w)))
+
+    def last_two_joined(w: Column) -> Column:
+        k = F.size(w)
+        return F.concat(F.slice(w, F.lit(1), k - 2), F.array(F.concat_ws("\n", F.get(w, k - 2), F.get(w, k - 1))))
+
+    # words and windows are made once a text, not at each place they are used
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(tokens(text, lower=False), cut)

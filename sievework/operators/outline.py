@@ -40,6 +40,12 @@ def paths(leveled: DataFrame) -> DataFrame:
     return df.withColumn("path", path).drop(*names)
 
 
+def tree_lines(pathed: DataFrame) -> DataFrame:
+    """doc_id, line_no, shown: each of paths()' titles as a line of an indented tree, with its place, level and rule."""
+    shown = F.concat(F.repeat(F.lit("  "), F.size("path") - 1), F.format_string("%s [line=%d, level=%d, rule=%s]", "title", "line_no", "level", "rule"))
+    return pathed.select("doc_id", "line_no", shown.alias("shown"))
+
+
 def toc_start(lines: DataFrame) -> DataFrame:
     """doc_id, toc_start: first of at least two title lines in a row that end in a number and whose title part comes again below."""
     flat = lines.select("doc_id", "line_no", F.trim("text").alias("t"))

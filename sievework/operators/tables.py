@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import layout
+
 
 def _blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
@@ -52,6 +54,26 @@ def header_end(cells: DataFrame) -> DataFrame:
     return n.withColumn("stop", stop).groupBy("table_id").agg(F.coalesce(F.min("stop"), F.max("row")).alias("last"))
 
 
+def parsed(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id, table_id, row, header, value: the body cells of tables (doc_id, table_id, table_no, fresh) under their headers.
+
+    cells (table_id, row from 0, col, value) have no missing place. Header rows are filled to the right, then down, body rows down, then
+    to the right. A table that isn't fresh, other than a document's first, goes on with the last fresh one: its rows all belong
+    to the body, the headers are that one's. Columns of equal header are joined, those without one left out.
+    """
+    w = Window.partitionBy("doc_id").orderBy("table_no")
+    starts = F.coalesce(F.col("fresh"), F.lit(False)) | (F.row_number().over(w) == 1)
+    of = tables.select("doc_id", "table_id", "table_no", starts.alias("starts")).withColumn("head_of", F.last(F.when(F.col("starts"), F.col("table_id")), ignorenulls=True).over(w))
+    ends = header_end(layout.fill_down(cells))
+    df = cells.join(ends, "table_id")
+    head = layout.fill_down(layout.fill_right(df.where(F.col("row") <= F.col("last")).drop("last")))
+    body = layout.fill_right(layout.fill_down(df.where(F.col("row") > F.col("last")).drop("last")))
+    names = layout.flat_headers(head.join(of.where("starts").select("table_id"), "table_id", "left_semi"), 2**31 - 1)
+    names = names.join(of.select(F.col("head_of").alias("table_id"), F.col("table_id").alias("own")), "table_id").select(F.col("own").alias("table_id"), "col", "header")
+    rows = body.unionByName(head.join(of.where("not starts").select("table_id"), "table_id", "left_semi"))
+    return layout.merge_headers(rows, names).join(of.select("doc_id", "table_id"), "table_id").select("doc_id", "table_id", "row", "header", "value")
+
+
 def merge_tables(tables: DataFrame, gap: int = 2) -> DataFrame:
     """doc_id, page, first, members, text, row_count, box: tables (doc_id, page, ord, text, row_count, x0, y0, x1, y1) of a page within gap places of the first of their group.
 

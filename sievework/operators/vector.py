@@ -94,3 +94,8 @@ def top_k_batch(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int
 
 def stats(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.count("*").alias("total_chunks"), F.count_distinct("doc_id").alias("total_documents"))
+
+
+def dimensions(vectors: DataFrame) -> DataFrame:
+    """dim, n: how many vectors have each length; a store should have one."""
+    return vectors.groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n"))

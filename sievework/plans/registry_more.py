@@ -201,14 +201,6 @@ def title_formats(spark, d):
     return _prefixed(spark, d).where("title <> ''").select("id", "title", titles.title_format(F.col("title")).alias("format"))
 
 
-@query(f"""WITH {S['chunks']}, f AS (SELECT doc_id, ord, trim(text) AS t, coalesce(trim(lag(text) OVER w) = '', true) AS pe, coalesce(trim(lead(text) OVER w) = '', true) AS ne FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
-SELECT doc_id, ord AS line_no, length(t) AS length, contains(t, ' ') AS has_space, pe AS prev_empty, ne AS next_empty, round(CASE WHEN regexp_matches(t, '^[0-9一二三四五六七八九十百千零]') THEN 0.4 ELSE 0 END + CASE WHEN length(t) BETWEEN 1 AND 50 THEN 0.2 ELSE 0 END
- + CASE WHEN regexp_matches(t, '[。.!！?？;；]$') THEN 0 ELSE 0.2 END + CASE WHEN pe THEN 0.1 ELSE 0 END + CASE WHEN ne THEN 0.1 ELSE 0 END, 2)::DOUBLE AS confidence FROM f""")
-def title_scores(spark, d):
-    lines = _chunks(spark, d).select("doc_id", F.col("ord").alias("line_no"), "text")
-    return titles.title_confidence(titles.line_features(lines)).select("doc_id", "line_no", "length", "has_space", "prev_empty", "next_empty", "confidence")
-
-
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 5 THEN NULL ELSE (o_custkey % 500)::INT END AS number FROM orders")
 def page_numbers(spark, d):
     k, n = F.col("o_orderkey") % 6, (F.col("o_custkey") % 500).cast("string")

@@ -31,6 +31,31 @@ def clear(like: DataFrame, path: str) -> None:
     like.limit(0).withColumn("bucket", bucket()).write.mode("overwrite").parquet(path)
 
 
+def delete(spark: SparkSession, path: str, doc_id, n: int = BUCKETS) -> None:
+    """Takes a document out of a store: its bucket's folder alone is written anew, or removed where nothing else is in it."""
+    df = spark.read.parquet(path)
+    own = bucket(F.lit(doc_id).cast(dict(df.dtypes)["doc_id"]), n)
+    rest = df.where((F.col("bucket") == own) & ~F.col("doc_id").eqNullSafe(F.lit(doc_id)))
+    if not rest.isEmpty():
+        rest.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        return
+    number = spark.range(1).select(own).first()[0]
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={number}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def reset(stores: dict[str, tuple[DataFrame, str]]) -> dict[str, str]:
+    """Empties several stores (name to rows of its kind and path); a name's error, or an empty text. One that fails doesn't keep the others."""
+    errors = {}
+    for name, (like, path) in stores.items():
+        try:
+            clear(like, path)
+            errors[name] = ""
+        except Exception as e:  # noqa: BLE001  reported by name
+            errors[name] = str(e)
+    return errors
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """path, name, length of the files under a folder, hidden ones left out, SKILL.md last."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")

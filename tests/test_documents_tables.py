@@ -41,8 +41,15 @@ def test_titles(spark):
     df = spark.createDataFrame([(["1 a", "1.1 b", "2 c"], "body"), (["1 a", "2 c"], "has 1 a in it")], "p array<string>, t string")
     assert rows(df.select(titles.without_same_format(F.col("p"), F.col("t")).alias("x"), titles.breaks_structure(F.col("p"), ["^[0-9] "]).alias("b")), "x", "b") == [(["1.1 b", "2 c"], True), (["1 a", "2 c"], True)]
     lines = spark.createDataFrame([(1, 1, ""), (1, 2, "1 One"), (1, 3, ""), (1, 4, "A sentence.")], "doc_id int, line_no int, text string")
-    got = dict(rows(titles.title_confidence(titles.line_features(lines)), "line_no", "confidence"))
-    assert got[2] == 1.0 and got[4] == 0.4
+    assert rows(titles.title_candidates(titles.line_features(lines)), "line_no", "confidence", "pattern") == [(2, 7, None)]
+    marked = spark.createDataFrame([(1, 1, "第二章 Two"), (1, 2, " \u3000 "), (1, 3, None), (1, 4, "（三）x"), (1, 5, "body" * 30), (1, 6, "[k"), (1, 7, "y"), (2, 1, "z")], "doc_id int, line_no int, text string")
+    features = titles.line_features(marked)
+    assert sorted(rows(features, "doc_id", "line_no", "index", "prev_empty", "next_empty")) == [(1, 1, 0, True, True), (1, 4, 3, True, False), (1, 5, 4, False, False), (1, 6, 5, False, False), (1, 7, 6, False, True), (2, 1, 0, True, True)]
+    found = titles.title_candidates(features)
+    assert sorted(rows(found, "doc_id", "line_no", "confidence")) == [(1, 1, 9), (1, 4, 7), (1, 6, 5)]
+    groups = titles.pattern_groups(found)
+    assert rows(groups, "type", "n", "examples") == [("chinese_chapter", 1, ["第二章 Two"])]
+    assert rows(titles.pattern_hierarchy(groups, marked), "doc_id", "level", "type") == [(1, "level1", "chinese_chapter")]
     assert rows(titles.format_counts(lines.where("line_no = 2").withColumn("title", F.col("text")), 1), "format", "level") == [("rule_011", 1)]
 
 
@@ -78,3 +85,16 @@ def test_optimize(spark):
     hits = spark.createDataFrame([(1, "c", 0.5)], "query_id int, chunk_id string, score double")
     none = spark.createDataFrame([], "query_id int, chunk_id string, related_entities array<string>, graph_score double")
     assert rows(optimize.enrich(hits, none), "has_graph", "related_entities", "graph_score") == [(False, [], 0.0)]
+
+
+def test_parsed_tables(spark):
+    t = spark.createDataFrame([("d", 1, 1, False), ("d", 2, 2, False), ("d", 3, 3, True), ("e", 4, 1, None)], "doc_id string, table_id int, table_no int, fresh boolean")
+    grids = {1: [["A", ""], ["A", "b"], ["1", "2"], ["", "3"]], 2: [["4", ""], ["5", "6"]], 3: [["k", "k", "k"], ["7", "8", "9"]], 4: [["only", "head"]]}
+    cells = [(i, r, c, v) for i, g in grids.items() for r, row in enumerate(g) for c, v in enumerate(row)]
+    got = tables.parsed(t, spark.createDataFrame(cells, "table_id int, row int, col int, value string"))
+    # blank header cells take the one on their left, so the first table's second header is A.b; a header ends where its rows stop growing; equal headers are one
+    assert sorted(rows(got, "doc_id", "table_id", "row", "header", "value")) == [
+        ("d", 1, 2, "A", "1"), ("d", 1, 2, "A.b", "2"), ("d", 1, 3, "A", "1"), ("d", 1, 3, "A.b", "3"),
+        ("d", 2, 0, "A", "4"), ("d", 2, 0, "A.b", "4"), ("d", 2, 1, "A", "5"), ("d", 2, 1, "A.b", "6"), ("d", 3, 1, "k", "7 8 9"),
+    ]
+    assert tables.parsed(t.limit(0), spark.createDataFrame([], "table_id int, row int, col int, value string")).count() == 0

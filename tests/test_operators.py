@@ -196,8 +196,16 @@ def test_stores(spark, tmp_path):
     stores.save(df, path)
     one = stores.load(spark, path, 7)
     assert rows(one, "doc_id", "text") == [(7, "t7")] and stores.load(spark, path).count() == 50
-    stores.clear(df, path)
-    assert stores.load(spark, path).count() == 0
+    stores.delete(spark, path, 7)
+    assert stores.load(spark, path, 7).count() == 0 and stores.load(spark, path).count() == 49
+    alone = f"{path}-one"
+    stores.save(df.where("doc_id = 7"), alone)
+    stores.save(df.where("doc_id in (7, 8)"), f"{path}-two", 1)
+    stores.delete(spark, f"{path}-two", 7, 1)
+    assert rows(stores.load(spark, f"{path}-two"), "doc_id") == [(8,)]
+    errors = stores.reset({"a": (df, path), "b": (df, "nowhere://x/y"), "c": (df, alone)})
+    assert (errors["a"], errors["c"]) == ("", "") and errors["b"]
+    assert stores.load(spark, path).count() == 0 and stores.load(spark, alone).count() == 0
 
 
 def test_text(spark):

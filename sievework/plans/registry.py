@@ -216,7 +216,7 @@ def neighbors_2hop(spark, d):
     return graph.neighbors(rel.relations(spark, d), seeds, 2, 20)
 
 
-@query(f"""WITH {_G}, {_N2} SELECT seed, chunk_id, round(0.8 - 0.1 * arg_min(hop, seq), 6) AS score, string_agg(t, ',' ORDER BY seq) AS entities FROM nb JOIN entities e ON e.entity_id = nb.t WHERE seq <= 20 GROUP BY seed, chunk_id""")
+@query(f"""WITH {_G}, {_N2} SELECT seed, chunk_id, round(0.8 - 0.1 * arg_min(hop, seq), 6)::DOUBLE AS score, string_agg(t, ',' ORDER BY seq) AS entities FROM nb JOIN entities e ON e.entity_id = nb.t WHERE seq <= 20 GROUP BY seed, chunk_id""")
 def related_chunks(spark, d):
     nodes = rel.entities(spark, d)
     seeds = nodes.where("type = 'supplier'").select(F.col("entity_id").alias("seed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, embeddings, html, jaccard, licenses, mixing, packing, passages, quality, secret_scan
+from . import bitpack, chat, embeddings, html, jaccard, lexical, licenses, mixing, packing, passages, quality, secret_scan
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_html_extraction": html.op8_html_extraction,
         "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_lexical_search": lexical.op11_lexical_search,
         "op12_secret_scan": secret_scan.op12_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle(), "op2_chat_formatting": chat.oracle(), "op3_mixing": mixing.oracle(), "op12_secret_scan": secret_scan.oracle()}
+    return {"op1_quality_rules": quality.oracle(), "op2_chat_formatting": chat.oracle(), "op3_mixing": mixing.oracle(), "op11_lexical_search": lexical.oracle(), "op12_secret_scan": secret_scan.oracle()}

@@ -58,6 +58,13 @@ def discard_all() -> None:
             pass
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more."""
+    _written[:] = [x for x in _written if x[1] != path]
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends at durable files."""
     path = scratch(df.sparkSession, label)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, embeddings, html, jaccard, lexical, licenses, mixing, packing, passages, quality, secret_scan
+from . import bitpack, chat, clustering, embeddings, html, jaccard, lexical, licenses, mixing, packing, passages, quality, secret_scan
 
 
 def queries() -> dict:
@@ -19,8 +19,16 @@ def queries() -> dict:
         "op10_license_scan": licenses.op10_license_scan,
         "op11_lexical_search": lexical.op11_lexical_search,
         "op12_secret_scan": secret_scan.op12_secret_scan,
+        "op13_centroid_clustering": clustering.op13_centroid_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle(), "op2_chat_formatting": chat.oracle(), "op3_mixing": mixing.oracle(), "op11_lexical_search": lexical.oracle(), "op12_secret_scan": secret_scan.oracle()}
+    return {
+        "op1_quality_rules": quality.oracle(),
+        "op2_chat_formatting": chat.oracle(),
+        "op3_mixing": mixing.oracle(),
+        "op11_lexical_search": lexical.oracle(),
+        "op12_secret_scan": secret_scan.oracle(),
+        "op13_centroid_clustering": clustering.oracle(),
+    }

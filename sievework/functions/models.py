@@ -24,6 +24,12 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
 
 
+def letter_counts(text: Column) -> Column:
+    """How often each of a to z stands in a text: a cheap vector that any engine can count."""
+    t = F.lower(text)
+    return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(t) - F.length(F.replace(t, F.chr(c), F.lit("")))).cast("double"))
+
+
 def capitalised(text: Column) -> Column:
     """Entities (type, text) of a text: its runs of capitalised words, each once, in order."""
     runs = F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0)))

@@ -55,11 +55,20 @@ def short_runs(chunks: DataFrame, below: int = 150) -> DataFrame:
 
 
 def neighbor_similarity(measured: DataFrame, embed, below: int = 150) -> DataFrame:
-    """measured (doc_id, ord, text, tokens) plus neighbor_similarity: the cosine with the next chunk where both have fewer tokens than below, else null."""
+    """measured (doc_id, ord, text, tokens) plus neighbor_similarity: of chunks in a run of two or more neighbours under ``below`` tokens, the greater cosine with the chunk before and the one after.
+
+    The chunks at a run's ends are compared with those beyond it too, however long those are. Null for all other chunks. Only
+    chunks in runs and next to them are embedded. A neighbour has the ord before or after; a zero or null vector's cosine is 0.
+    """
     w = Window.partitionBy("doc_id").orderBy("ord")
-    df = measured.withColumn("__v", F.when(F.col("tokens") < below, embed(F.col("text"))))
-    df = df.withColumn("__n", F.when(F.lead("ord").over(w) == F.col("ord") + 1, F.lead("__v").over(w)))
-    return df.withColumn("neighbor_similarity", F.when(F.col("__v").isNotNull() & F.col("__n").isNotNull(), cosine(F.col("__v"), F.col("__n")))).drop("__v", "__n")
+    beside = lambda c, step: F.when(F.lag("ord", step).over(w) == F.col("ord") - step, F.lag(c, step).over(w))
+    either = lambda c: F.coalesce(beside(c, 1), F.lit(False)) | F.coalesce(beside(c, -1), F.lit(False))
+    df = measured.withColumn("__short", F.col("tokens") < below)
+    df = df.withColumn("__run", F.col("__short") & either("__short"))
+    df = df.withColumn("__wanted", F.col("__run") | either("__run"))
+    df = df.withColumn("__v", F.when(F.col("__wanted"), embed(F.col("text"))))
+    near = lambda step: F.when(beside("__wanted", step), cosine(F.col("__v"), beside("__v", step)))
+    return df.withColumn("neighbor_similarity", F.when(F.col("__run"), F.greatest(near(1), near(-1)))).drop("__short", "__run", "__wanted", "__v")
 
 
 def window_similarity(measured: DataFrame, embed, above: int = 800) -> DataFrame:
@@ -86,7 +95,7 @@ def topic_rules(df: DataFrame) -> DataFrame:
     return df.withColumns({"merge_topic_risk": merge.cast("long"), "split_topic_risk": split.cast("long"), "topic_hard": hard})
 
 
-def validated(df: DataFrame, structure_risk: int = 25) -> DataFrame:
+def validated(df: DataFrame, structure_risk: int = 20) -> DataFrame:
     """rules() rows with breaks_structure and topic_rules() columns: one total_risk, hard flag and mode over all rules."""
     structure = F.when(F.col("breaks_structure"), structure_risk).otherwise(0)
     merge = (F.coalesce(F.col("mode") == "merge", F.lit(False))) | (F.col("merge_topic_risk") > 0)

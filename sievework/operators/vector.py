@@ -30,14 +30,28 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5) -> DataFrame:
 SENT_QUERIES = 4_096
 
 
-def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def fit_vectors(dim: int | None = None, name: str = "embedding") -> Column:
+    """Whether a vector can be compared: not null or empty, of a length if one is given, without null or non-finite components."""
+    v = F.col(name)
+    finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return F.coalesce((F.size(v) == dim if dim is not None else F.size(v) > 0) & finite, F.lit(False))
+
+
+def vector_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors of one length as rows of doubles."""
     flat = pa.compute.list_flatten(column)
-    return flat.to_numpy().astype(np.float64).reshape(len(column), -1)
+    return flat.to_numpy().astype(np.float64).reshape(len(column), len(flat) // max(1, len(column)))
+
+
+#: Queries that a task compares with a batch of chunks at a time.
+COMPARED = 256
 
 
 def _nearest(qi: np.ndarray, a: np.ndarray, vi: np.ndarray, b: np.ndarray, k: int, allowed: np.ndarray | None = None) -> pa.Table:
     """query_id, chunk_id, score of each query's k best among some chunks, ties by chunk_id."""
+    if len(a) > COMPARED:
+        cut = [slice(i, i + COMPARED) for i in range(0, len(a), COMPARED)]
+        return pa.concat_tables([_nearest(qi[s], a[s], vi, b, k, None if allowed is None else allowed[s]) for s in cut])
     out: list[np.ndarray] = []
     if len(a) and len(b):
         a2, b2 = (a * a).sum(1), (b * b).sum(1)
@@ -60,21 +74,23 @@ def _nearest(qi: np.ndarray, a: np.ndarray, vi: np.ndarray, b: np.ndarray, k: in
 def top_k_batch(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 1024, by: str | None = None, sent: int = SENT_QUERIES) -> DataFrame:
     """query_id, chunk_id, score, rank: the k best chunks of every query (query_id, embedding), with by among those of equal key.
 
-    A counted, bounded number of queries is sent to the executors: chunks stay where they are read and each batch keeps k rows a
+    Vectors that are null, empty, of another length than the queries' (the commonest, the least of equals), or hold null or
+    non-finite components, are left out, and such queries find nothing. A counted, bounded number of queries is sent to the executors: chunks stay where they are read and each batch keeps k rows a
     query. More queries and chunks are dealt into blocks, and a task compares block with block by one matrix product.
     """
     key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
-    q = queries.select("query_id", key.alias("key"), "embedding")
-    v = vectors.select("chunk_id", key.alias("key"), "embedding")
-    n = q.count()
+    q = queries.select("query_id", key.alias("key"), "embedding").where(fit_vectors())
+    lengths = q.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    n, dim = (lengths[0]["n"], lengths[0]["dim"]) if lengths else (0, 0)
+    q, v = q.where(F.size("embedding") == dim), vectors.select("chunk_id", key.alias("key"), "embedding").where(fit_vectors(dim))
     if n <= sent:
         asked = q.toArrow()  # at most ``sent`` rows
-        qi, a, qk = asked.column("query_id").to_numpy(), _values(asked.column("embedding").combine_chunks()), np.array(asked.column("key").to_pylist(), dtype=object)
+        qi, a, qk = asked.column("query_id").to_numpy(), vector_rows(asked.column("embedding").combine_chunks()), np.array(asked.column("key").to_pylist(), dtype=object)
 
         def scan(batches):
             for b in batches:
                 allowed = qk[:, None] == np.array(b.column("key").to_pylist(), dtype=object)[None, :] if by else None
-                yield from _nearest(qi, a, b.column("chunk_id").to_numpy(), _values(b.column("embedding")), k, allowed).to_batches()
+                yield from _nearest(qi, a, b.column("chunk_id").to_numpy(), vector_rows(b.column("embedding")), k, allowed).to_batches()
 
         local = v.mapInArrow(scan, "query_id long, chunk_id long, score double")
     else:
@@ -84,7 +100,7 @@ def top_k_batch(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int
         right = v.select("key", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), of("chunk_id", nv).alias("vb"), F.lit(1).alias("side"), F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))
 
         def best(_, rows):
-            side, ids, x = rows.column("side").to_numpy(), rows.column("id").to_numpy(), _values(rows.column("v").combine_chunks())
+            side, ids, x = rows.column("side").to_numpy(), rows.column("id").to_numpy(), vector_rows(rows.column("v").combine_chunks())
             return _nearest(ids[side == 0], x[side == 0], ids[side == 1], x[side == 1], k)
 
         local = left.unionByName(right).groupBy("key", "qb", "vb").applyInArrow(best, "query_id long, chunk_id long, score double")

@@ -313,7 +313,7 @@ def topic_rules(spark, d):
 
 
 @query(f"""WITH {S['chunks']}, {_QM}, v AS (SELECT doc_id, ord, ord % 4 = 0 AS broken, CASE WHEN ord % 5 = 0 THEN 40 WHEN ord % 5 = 1 THEN 60 ELSE 0 END AS mt, ord % 5 = 1 AS th FROM chunks)
-SELECT qa.doc_id, qa.ord, total_risk + CASE WHEN broken THEN 25 ELSE 0 END + mt AS total_risk, hard OR th AS hard, CASE WHEN coalesce(mode = 'merge', false) OR mt > 0 THEN 'merge' WHEN total_risk + CASE WHEN broken THEN 25 ELSE 0 END + mt > 0 THEN 'split' END AS mode FROM qa JOIN v USING (doc_id, ord)""")
+SELECT qa.doc_id, qa.ord, total_risk + CASE WHEN broken THEN 20 ELSE 0 END + mt AS total_risk, hard OR th AS hard, CASE WHEN coalesce(mode = 'merge', false) OR mt > 0 THEN 'merge' WHEN total_risk + CASE WHEN broken THEN 20 ELSE 0 END + mt > 0 THEN 'split' END AS mode FROM qa JOIN v USING (doc_id, ord)""")
 def all_rules(spark, d):
     judged = quality.rules(quality.measured(_chunks(spark, d).select("doc_id", "ord", "text")))
     path = F.when(F.col("ord") % 4 == 0, F.array(F.lit("Intro"), F.lit("1.1 x"))).otherwise(F.array(F.lit("1 a"), F.lit("1.1 x")))

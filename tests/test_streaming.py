@@ -51,7 +51,9 @@ def test_judged_and_encode_once(spark):
     df = spark.createDataFrame(rows, "doc_id long, ord long, text string, path array<string>")
     got = {(r.doc_id, r.ord): r for r in pipelines.judged(df, hooks, [r"^\d"]).collect()}
     assert len(got) == 6 and math.isclose(got[1, 1].neighbor_similarity, 1.0) and got[1, 1].merge_topic_risk == 60 and got[1, 1].hard
-    assert all(got[k].neighbor_similarity is None for k in [(1, 2), (1, 3), (1, 4), (1, 6)])  # a long neighbour, a gap, the last
+    assert math.isclose(got[1, 2].neighbor_similarity, 1.0) and got[1, 2].hard  # the chunk before counts as much as the one after
+    assert all(got[k].neighbor_similarity is None for k in [(1, 3), (1, 4), (1, 6), (2, 1)])  # long ones, runs of one, gaps
+    assert got[1, 3].total_risk - got[1, 3].split_topic_risk - got[1, 3].short_risk - got[1, 3].long_risk - got[1, 3].content_risk - got[1, 3].mixing_risk == 20
     assert got[1, 3].breaks_structure and not got[1, 1].breaks_structure and got[1, 1].split_topic_risk == 0
     words = long_text.split()
     size, step = 150, 75
@@ -72,3 +74,18 @@ def test_recognized(spark):
     images = spark.createDataFrame([("a", bytearray(b"hi")), ("b", None)], "path string, content binary")
     got = models.recognized(images, models.Hooks(recognize=lambda image: image.decode().upper())).collect()
     assert sorted((r.path, r.text) for r in got) == [("a", "HI"), ("b", "")]
+
+
+def test_neighbor_similarity_of_runs(spark):
+    """Each member of a run takes the greater cosine with either side; the chunks beyond its ends count, however long."""
+    import math
+
+    from sievework.operators import quality
+
+    long_text = "sun " * 100 + "moon " * 100
+    rows = [(1, 1, "red green"), (1, 2, "red green"), (1, 3, "sun"), (1, 4, long_text), (1, 5, "alone"), (1, 6, long_text), (1, 7, ""), (1, 8, "x")]
+    df = quality.measured(spark.createDataFrame(rows, "doc_id long, ord long, text string"))
+    got = {r.ord: r.neighbor_similarity for r in quality.neighbor_similarity(df, models.Hooks().embed).collect()}
+    assert math.isclose(got[1], 1.0) and math.isclose(got[2], 1.0) and math.isclose(got[3], math.sqrt(0.5), rel_tol=1e-6)
+    assert got[4] is None and got[5] is None and got[6] is None
+    assert got[7] == 0 and got[8] == 0  # a text without words has the zero vector

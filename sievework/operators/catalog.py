@@ -128,3 +128,25 @@ def removable(files: DataFrame, asked: DataFrame) -> DataFrame:
     f = files.select("id", F.col("kb_id").alias("__own"))
     status = F.when(F.col("__own").isNull(), "missing").when(F.col("__own") == F.col("kb_id"), "deleted").otherwise("forbidden")
     return asked.join(f, "id", "left").select("kb_id", "id", status.alias("status"))
+
+
+def encoded_path(path: Column) -> Column:
+    """A title path as the JSON text that stores keep."""
+    return F.to_json(path)
+
+
+def decoded_path(text: Column) -> Column:
+    """The title path of a JSON text: an array of titles; empty for null, blank or malformed texts."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def document_records(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """records (doc_id, ord, ..., title_path JSON) of the documents asked for (doc_id), in order, with the path decoded."""
+    held = records.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return held.withColumn("title_path", decoded_path(F.col("title_path"))).orderBy("doc_id", "ord")
+
+
+def existing(ids: DataFrame, records: DataFrame) -> DataFrame:
+    """ids (chunk_id) plus found: whether a record of that id is stored."""
+    held = records.select("chunk_id").distinct().withColumn("__f", F.lit(True))
+    return ids.join(held, "chunk_id", "left").withColumn("found", F.coalesce("__f", F.lit(False))).drop("__f")

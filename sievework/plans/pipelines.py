@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import models, titles
 from ..functions.text import token_count
-from ..operators import context, fusion, graph, keyword, outline, quality, vector
+from ..operators import catalog, context, fusion, graph, keyword, outline, quality, vector
 from ..sources.relations import chunks
 
 
@@ -39,6 +39,20 @@ def ingest(documents: DataFrame, hooks: models.Hooks, short: int = 20, by_title:
     return models.encode(out, hooks)
 
 
+def recall_test(queries: DataFrame, stored: DataFrame, files: DataFrame, hooks: models.Hooks, fan_out: int = 20, n: int = 5) -> DataFrame:
+    """query_id, chunk_id, doc_id, file_name, text, score, rerank_score, new_rank: the vector stage reranked, with file names.
+
+    queries (query_id, text, embedding, kb_id) search their knowledge base, those without one all of stored (chunk_id, doc_id,
+    kb_id, text, embedding). A knowledge base without files or hits gives no rows.
+    """
+    rows, asked = stored.select("chunk_id", "kb_id", "embedding"), queries.select("query_id", "kb_id", "embedding")
+    scoped = vector.top_k_batch(asked.where("kb_id is not null"), rows.where("kb_id is not null"), fan_out, by="kb_id")
+    hits = scoped.unionByName(vector.top_k_batch(asked.where("kb_id is null"), rows, fan_out))
+    wide = hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(stored.select("chunk_id", "doc_id", "text"), "chunk_id")
+    ranked = catalog.named_hits(fusion.rerank(wide, hooks.score, n), files)
+    return ranked.select("query_id", "chunk_id", "doc_id", "file_name", "text", "score", "rerank_score", "new_rank")
+
+
 def hybrid(queries: DataFrame, stored: DataFrame, hooks: models.Hooks, graph_hits: DataFrame | None = None, fan_out: int = 20, n: int = 5) -> DataFrame:
     """query_id, chunk_id, fused_score, rerank_score, new_rank for queries (query_id, text, embedding) over stored (chunk_id long, text, embedding)."""
     hits = {"vector": vector.top_k_batch(queries.select("query_id", "embedding"), stored.select("chunk_id", "embedding"), fan_out), "keyword": keyword.search(queries.select("query_id", "text"), stored.select("chunk_id", "text"), fan_out)}

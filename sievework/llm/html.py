@@ -5,7 +5,8 @@ same occurrence vector over the host's pages form an equivalence class; a vector
 which adds up in any order, so no task sees a host's pages together. Tokens on ``MIN_SHARE`` of at least ``MIN_PAGES`` pages are
 the host's candidates. On a page a class of two or more is valid if its tokens keep their order in each repetition and it nests
 with the classes taken before it: it lies between two neighbouring tokens of each, or outside them. Text tokens of valid
-classes are template, inside the article too; what stands between is in slots.
+classes are template; what stands between is in slots. Inside the article they are dropped where they fill a box of their own
+(an author's note, a list of links); headings and paragraphs that articles of a host share stand.
 
 The tags of the classes make up the host's template tree. From its root the deduction goes down to the tag whose slots hold
 ``MAIN_SHARE`` of the words outside links, as long as no heading is left behind: the slots under that tag are the article.
@@ -46,8 +47,10 @@ BROADCAST_HOSTS = 20_000
 
 # fixed values: HTML element names by role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mpadded mphantom semantics".split())
+RAW = frozenset("script style noscript template iframe svg textarea title".split())
+#: Elements inside formulas whose content repeats them in another notation.
+NOTATION = frozenset("annotation annotation-xml".split())
 DROPPED = RAW | frozenset("head select object audio video canvas nav footer aside form button menu dialog".split())
 #: Elements that an opening tag of the same kind ends.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
@@ -55,13 +58,15 @@ SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 IN_HEAD = RAW | frozenset("meta link base".split())
 REGION = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a block of text themselves; others hold several.
+TEXTUAL = HEADING | frozenset("p li dt dd tr td th blockquote pre figcaption caption summary address".split())
 #: Class, id or role names, each a whole name, of what is not the article.
-MARKED = frozenset("ad ads advert adverts advertisement banner sponsored promo menu navbar navigation breadcrumb breadcrumbs sidebar footer cookie-notice cookie-banner cookies consent notice popup modal newsletter subscribe comment comments comment-list disqus_thread share-buttons social-links related related-posts pagination toolbar masthead skip-link contentinfo search".split())
+MARKED = frozenset("ad ads advert adverts advertisement banner sponsored promo menu navbar navigation breadcrumb breadcrumbs sidebar footer cookie-notice cookie-banner cookies consent notice popup modal newsletter subscribe comment comments comment-list disqus_thread share-buttons social-links related related-posts pagination toolbar masthead skip-link contentinfo".split())
 
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))*+"""
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES}(?=>)|[^>]*+)(?:>|\Z)|<[!?][^>]*>""", re.S)
 _MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_END_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_END_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | NOTATION}
 
 
 class Event(NamedTuple):
@@ -114,6 +119,10 @@ def parse(page: str | None) -> list[Event]:
         if not name:
             continue
         name = name.lower()
+        if name in NOTATION:
+            if not m[1] and (end := _END_RAW[name].search(page, at)):
+                at = end.end()
+            continue
         if name in INLINE:
             if name == "img":
                 held.append(" ")
@@ -263,11 +272,34 @@ def template_places(tokens: list[int], classes: list[list[int]]) -> set[int]:
     return found
 
 
+def template_boxes(events: list[Event], scope: list[int], template: set[int], root: str | None) -> set[int]:
+    """Of a page's template blocks those that are no part of an article: outside one, or in a box of it that holds template alone.
+
+    A box is an element below the article that isn't a block of text itself. Headings and paragraphs that pages share stand.
+    """
+    held: dict[str, list[int]] = defaultdict(list)
+    out: set[int] = set()
+    for k in scope:
+        names = events[k].path.split("/")
+        if root is not None:
+            top = root.count("/") + 1
+        else:
+            top = next((i + 1 for i, x in enumerate(names) if x.split(".")[0] in REGION), 0)
+        if not top:
+            out |= {k} & template
+            continue
+        last = len(names) - (names[-1].split(".")[0] in TEXTUAL)
+        for i in range(top + 1, last + 1):
+            held["/".join(names[:i])].append(k)
+    return out.union(*[x for x in held.values() if template.issuperset(x)])
+
+
 def main_text(page: str | None, classes: list[list[int]] = (), article: int | None = None) -> str:
     """The article's blocks, one per line."""
     events = parse(page)
     scope = [k for k, e in enumerate(events) if e.text is not None and not e.left_out]
     template: set[int] = set()
+    root = None
     if classes:
         tokens = [_token(e) for e in events]
         template = template_places(tokens, classes)
@@ -280,7 +312,8 @@ def main_text(page: str | None, classes: list[list[int]] = (), article: int | No
             scope = under or scope
     scope = [k for k in scope if events[k].region] or scope
     scope = [k for k in scope if not events[k].marked] or scope
-    own = [k for k in scope if k not in template]
+    dropped = template_boxes(events, scope, template, root) if template else template
+    own = [k for k in scope if k not in dropped]
     size = lambda some: sum(len(events[k].text) for k in some)
     if 10 * size(own) < size(scope):
         own = scope

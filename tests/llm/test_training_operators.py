@@ -534,6 +534,19 @@ def test_html_template_decides(spark):
     assert all(html.main_text(p) == p.replace(bio, "").replace("<p>", "").replace("</p>", "\n").replace("</h1>", "\n")[len("<body><article><h1>") : -len("\n</article></body>")] for p in [x.replace(bio, "") for x in inside])
 
 
+def test_html_keeps_what_articles_share(spark):
+    """Shared headings, notes and sub-titles of articles stand, whatever the number of pages; a box of template alone goes."""
+    body = lambda i: f"<h1>Head</h1><p>{prose(700 + i, 40)}</p><h2>Details</h2><p>All prices in euro.</p><p>{prose(720 + i, 40)}</p><p>Another shared line of the article.</p>"
+    bio = "<div class=who><p>Ann writes here</p><ul><li>more of Ann</li></ul></div>"
+    rows = [(f"http://n{n}.example/{i}", f"<body><div class=nav2><a href=/>Home</a></div><article>{body(i)}{bio if n > 2 else ''}</article><div class=foot2>Imprint</div></body>") for n in (1, 2, 3, 5) for i in range(n)]
+    rows += [(f"http://math.example/{i}", f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>{i}</mn><annotation>x</annotation></math> be so.</p><div class='search'>{prose(740 + i, 30)}</div></article>") for i in range(4)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = [r.text for r in html.extract(df).orderBy("page_id").collect()]
+    want = ["\n".join(["Head", prose(700 + i, 40), "Details", "All prices in euro.", prose(720 + i, 40), "Another shared line of the article."]) for n in (1, 2, 3, 5) for i in range(n)]
+    assert got[:11] == want
+    assert got[11:] == [f"Let x={i} be so.\n{prose(740 + i, 30)}" for i in range(4)]
+
+
 def test_pages_against_plain_reading(spark, data):
     """The query's rows against the articles read by plain patterns."""
     got = {r.page_id: r for r in html.op8_html_extraction(spark, data).collect()}

@@ -9,7 +9,8 @@ is the same for any partitioning. Tail quantiles of the sketch give the limits o
 where tail and head are the metric's upper and lower tail quantile. Values are compared by their bucket, so a limit holds to
 the sketch's resolution. Symbols have a quartile as their tail, as up to a quarter of a source may be junk; repetition has the
 99th percentile alone, so at most one document in a hundred of a source goes by it; lengths have fences around their tails.
-Groups with under ``min_rows`` rows take the sketch of their language, merged from its sources, or that of all languages.
+A group's quantiles are weighed with its language's, merged from its sources, as n rows against ``PRIOR_ROWS``, and a language's
+with those of all documents in the same way: every source has limits of its own, and they change smoothly with its size.
 
 Null text counts as no words; null lang and null source are groups of their own; empty tables give empty results.
 """
@@ -23,9 +24,11 @@ from .common import bind, bounded_broadcast, materialize, table, words
 #: metric -> (percent of the tail quantile, spread, has a lower limit). Shares are in thousandths, mean word length in thousandths
 #: of a character, length in eighths of an octave of the number of words.
 METRICS = {"symbols": (75, 4, False), "dup_lines": (99, 0, False), "repeats": (99, 0, False), "word_len": (99, 1, True), "length": (99, 2, True)}
-#: Rows that a group needs for limits of its own: no fewer than a 99th percentile asks for.
-MIN_ROWS = 100
+#: Rows that the coarser level counts for when quantiles are weighed: as many as a 99th percentile asks for.
+PRIOR_ROWS = 100
 WINDOW = 5
+#: Quantiles that limits are made of: the tails and the median.
+PLACES = ("high", "mid", "low")
 
 
 def _repeated(hashes: Column, n: int) -> Column:
@@ -89,26 +92,29 @@ def merge(sketch: DataFrame, *by: str) -> DataFrame:
     return sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def limits(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per (lang, source) with lo_/hi_ limits of each metric, from the finest level that has min_rows rows."""
+def limits(sketch: DataFrame, prior: int = PRIOR_ROWS) -> DataFrame:
+    """One row per (lang, source) with lo_/hi_ limits of each metric, from quantiles weighed with those of the coarser levels."""
 
     def quantiles(s: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy(*by, "metric")
-        of = lambda i: F.coalesce(*[F.when(F.col("metric") == m, F.lit(p[i])) for m, p in METRICS.items()])
-        s = s.withColumns({"cum": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w), "tail": of(0), "spread": of(1)})
+        tail = F.coalesce(*[F.when(F.col("metric") == m, F.lit(p[0])) for m, p in METRICS.items()])
+        s = s.withColumns({"cum": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w), "tail": tail})
         at = lambda q: F.min(F.when(100 * F.col("cum") >= q * F.col("total"), F.col("bucket")))
-        s = s.groupBy(*by, "metric", "spread").agg(F.max("total").alias("total"), at(F.col("tail")).alias("high"), at(F.lit(50)).alias("mid"), at(100 - F.col("tail")).alias("low"))
-        ends = {"hi": F.col("high") + F.col("spread") * (F.col("high") - F.col("mid")), "lo": F.col("low") - F.col("spread") * (F.col("mid") - F.col("low"))}
-        return s.groupBy(*by).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, c)).alias(f"{e}_{m}") for m in METRICS for e, c in ends.items()])
+        s = s.groupBy(*by, "metric").agg(F.max("total").alias("total"), at(F.col("tail")).alias("high"), at(F.lit(50)).alias("mid"), at(100 - F.col("tail")).alias("low"))
+        return s.groupBy(*by).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m in METRICS for c in PLACES])
 
-    cols = [f"{e}_{m}" for m in METRICS for e in ("hi", "lo")]
+    cols = [f"{c}_{m}" for m in METRICS for c in PLACES]
     own, lang = quantiles(sketch, "lang", "source"), quantiles(merge(sketch, "lang"), "lang")
-    every = quantiles(merge(sketch)).first()  # one row
+    every = quantiles(merge(sketch)).first()  # one row, of nulls for an empty sketch
     lang = lang.select(F.col("lang").alias("lang_l"), F.struct("total", *cols).alias("l"))
     joined = own.select("lang", "source", F.struct("total", *cols).alias("s")).join(lang, F.col("lang").eqNullSafe(F.col("lang_l")), "left")
-    rest = F.struct(*[F.lit(every[c] if every else None).cast("long").alias(c) for c in ("total", *cols)])
-    best = F.when(F.col("s.total") >= min_rows, F.col("s")).when(F.col("l.total") >= min_rows, F.col("l")).otherwise(rest)
-    return joined.select("lang", "source", best.alias("t")).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(f"t.{c}").alias(f"__{c}") for c in cols])
+    weighed = lambda level, c, rest: F.expr(f"({level}.total * {level}.{c} + {prior} * ({rest})) div ({level}.total + {prior})")
+    of = {c: weighed("s", c, f"(l.total * l.{c} + {prior} * {every[c] or 0}) div (l.total + {prior})") for c in cols}
+    ends = {}
+    for m, (_, spread, _) in METRICS.items():
+        high, mid, low = (F.col(f"{c}_{m}") for c in PLACES)
+        ends |= {f"__hi_{m}": high + spread * (high - mid), f"__lo_{m}": low - spread * (mid - low)}
+    return joined.select("lang", "source", *[c.alias(name) for name, c in of.items()]).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[c.alias(name) for name, c in ends.items()])
 
 
 def judged(measured: DataFrame, found: DataFrame) -> DataFrame:
@@ -178,11 +184,13 @@ q_{level} AS (SELECT {by}metric, max(total) AS total, [min(CASE WHEN 100 * cum >
     bucket = lambda v: f"(({v}) >> greatest(length(ltrim(bin({v}), '0')) - 7, 0)) << greatest(length(ltrim(bin({v}), '0')) - 7, 0)"
     inside = " AND ".join(f"coalesce({bucket(m)} <= l_{m}.hi, true)" + (f" AND coalesce({bucket(m)} >= l_{m}.lo, true)" if two else "") for m, (_, _, two) in METRICS.items())
     joins = "\n".join(f"LEFT JOIN lim l_{m} ON l_{m}.metric = '{m}' AND l_{m}.lang IS NOT DISTINCT FROM mb.lang AND l_{m}.source IS NOT DISTINCT FROM mb.source" for m in METRICS)
+    rest = lambda i: f"(l.total * l.q[{i}] + {PRIOR_ROWS} * a.q[{i}]) // (l.total + {PRIOR_ROWS})"
+    weighed = [f"((s.total * s.q[{i}] + {PRIOR_ROWS} * ({rest(i)})) // (s.total + {PRIOR_ROWS}))::BIGINT" for i in (1, 2, 3)]
     return f"""WITH {_sql_metrics()},
 v AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM mb WHERE NOT base_failed" for m in METRICS)}),
 sk AS (SELECT lang, source, metric, {bucket("v")} AS bucket, count(*) AS n FROM v GROUP BY 1, 2, 3, 4),
 {group("s", "lang, source, ")}, {group("l", "lang, ")}, {group("a", "")},
-best AS (SELECT s.lang, s.source, s.metric, CASE WHEN s.total >= {MIN_ROWS} THEN s.q WHEN l.total >= {MIN_ROWS} THEN l.q ELSE a.q END AS q
+best AS (SELECT s.lang, s.source, s.metric, [{", ".join(weighed)}] AS q
   FROM q_s s LEFT JOIN q_l l ON l.lang IS NOT DISTINCT FROM s.lang AND l.metric = s.metric JOIN q_a a ON a.metric = s.metric),
 lim AS (SELECT lang, source, metric, q[1] + {of(1)} * (q[1] - q[2]) AS hi, q[3] - {of(1)} * (q[2] - q[3]) AS lo FROM best)
 SELECT mb.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept

@@ -61,14 +61,12 @@ def test_sketches_merge(spark, data):
 def test_limits_are_the_groups_own_quantiles(spark, data):
     m = quality.with_metrics(table(spark, data, "documents").select("doc_id", "text", "lang", "source"))
     values = m.where("not __base_failed").select("lang", "source", *[v.alias(k) for k, v in quality._values().items()]).collect()
-    got = {(r["__lang"], r["__source"]): r.asDict() for r in quality.limits(quality.sketches(m), min_rows=5).collect()}
+    got = {(r["__lang"], r["__source"]): r.asDict() for r in quality.limits(quality.sketches(m), prior=0).collect()}
     floor = lambda v: v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0)
     by = defaultdict(list)
     for r in values:
         by[r.lang, r.source].append(r)
     for g, rows in by.items():
-        if len(rows) < 5:
-            continue
         for k, (tail, spread, two_sided) in quality.METRICS.items():
             v = sorted(floor(r[k]) for r in rows)
             at = lambda q: v[max(0, -(-q * len(v) // 100) - 1)]  # noqa: B023, E731
@@ -78,6 +76,13 @@ def test_limits_are_the_groups_own_quantiles(spark, data):
     assert all(len({r[f"__hi_{k}"] for r in got.values()}) > 3 for k in ("repeats", "word_len", "length"))
 
 
+def test_limits_change_smoothly_with_size(spark, data):
+    """Every source's limits lie between its own quantiles and those of coarser levels; no size has a switch."""
+    m = quality.with_metrics(table(spark, data, "documents").select("doc_id", "text", "lang", "source"))
+    s = quality.sketches(m)
+    weighed, own, lang = ({(r["__lang"], r["__source"]): r.asDict() for r in quality.limits(s, prior=n).collect()} for n in (100, 0, 10**9))
+    assert weighed.keys() == own.keys() and len({g for g in weighed if weighed[g] != lang[g]}) > len(weighed) / 2
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|user x|>"), (1, 2, "bob", None), (1, 300, "ann", "late"), (None, 0, None, "lost"), (2, 0, "system", "alone"), (1, 1, "ann", "hi <|user x|>")]
     df = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "conv_id long, turn long, role string, text string, speaker string, no long")

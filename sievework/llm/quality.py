@@ -108,8 +108,8 @@ def limits(sketch: DataFrame, prior: int = PRIOR_ROWS) -> DataFrame:
     every = quantiles(merge(sketch)).first()  # one row, of nulls for an empty sketch
     lang = lang.select(F.col("lang").alias("lang_l"), F.struct("total", *cols).alias("l"))
     joined = own.select("lang", "source", F.struct("total", *cols).alias("s")).join(lang, F.col("lang").eqNullSafe(F.col("lang_l")), "left")
-    weighed = lambda level, c, rest: F.expr(f"({level}.total * {level}.{c} + {prior} * ({rest})) div ({level}.total + {prior})")
-    of = {c: weighed("s", c, f"(l.total * l.{c} + {prior} * {every[c] or 0}) div (l.total + {prior})") for c in cols}
+    weighed = lambda level, c, rest: F.expr(f"({level}.total * {level}.{c} + {prior}L * ({rest})) div ({level}.total + {prior}L)")
+    of = {c: weighed("s", c, f"(l.total * l.{c} + {prior}L * {every[c] or 0}L) div (l.total + {prior}L)") for c in cols}
     ends = {}
     for m, (_, spread, _) in METRICS.items():
         high, mid, low = (F.col(f"{c}_{m}") for c in PLACES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import grams
+from . import dictionary
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -175,18 +175,17 @@ def first_of_text(names: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """part, whole: texts (part) that lie in texts (whole). They meet by the part's first three characters, not all with all."""
-    p = parts.select("part").distinct().where("part <> ''")
-    p = p.withColumn("g", F.substring("part", 1, 3))
-    w = wholes.select("whole").distinct()
-    w = w.select("whole", F.explode(grams(F.col("whole"))).alias("g"))
-    return p.join(w, "g").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
+    """part, whole: texts (part) that lie in texts (whole), found in one pass over the wholes."""
+    return dictionary.find(parts, wholes.select("whole", F.col("whole").alias("__w")).distinct(), "__w", ["whole"]).select("part", "whole")
 
 
 def entities_in_chunks(entities: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
-    """doc_id, text, chunk_id, nth: the first chunks (doc_id, ord, chunk_id, text) of its document that hold an entity's text (doc_id, text)."""
-    e, c = entities.select("doc_id", "text").distinct(), chunks.select("doc_id", "ord", "chunk_id", F.col("text").alias("body"))
-    hit = e.join(c, "doc_id").where(F.col("body").contains(F.col("text")))
+    """doc_id, text, chunk_id, nth: the first chunks (doc_id, ord, chunk_id, text) of its document that hold an entity's text (doc_id, text).
+
+    Chunks are read where they lie; what moves are the places where any entity's text stands, joined with their documents'.
+    """
+    e = entities.select("doc_id", F.col("text").alias("part")).distinct()
+    hit = dictionary.find(e, chunks, "text", ["doc_id", "ord", "chunk_id"]).join(e, ["doc_id", "part"]).withColumnRenamed("part", "text")
     nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("ord"))
     return hit.withColumn("nth", nth.cast("long")).where(F.col("nth") <= most).select("doc_id", "text", "chunk_id", "nth")
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import TITLE_RULES, clean, grams, normalize_title, title_rule
+from ..functions.text import TITLE_RULES, clean, normalize_title, title_rule
+from . import dictionary
 
 
 def titles(lines: DataFrame) -> DataFrame:
@@ -54,11 +55,10 @@ def toc_start(lines: DataFrame) -> DataFrame:
     for p in reversed(TITLE_RULES.values()):
         core = F.when(F.col("t").rlike(p), F.regexp_extract("t", p, 0)).otherwise(core)
     entries = flat.where(F.col("t").rlike("[0-9]+$") & rule.isNotNull()).withColumn("core", F.trim(core))
-    # lines meet by the first three characters of the title part, not all with all
-    every, first = grams(F.col("t")), F.substring("core", 1, 3)
-    later = flat.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("line_no").alias("l2"), F.col("t").alias("t2"), F.explode(every).alias("g"))
-    met = entries.withColumn("g", first).join(later, ["doc_id", "g"])
-    again = met.where((F.col("l2") > F.col("line_no")) & F.col("t2").contains(F.col("core"))).select("doc_id", "line_no").distinct()
+    # one pass over the lines finds all title parts in them; a part found counts in its own document, below its entry
+    later = dictionary.find(entries.select(F.col("core").alias("part")), flat, "t", ["doc_id", "line_no"])
+    met = entries.join(later.select("doc_id", F.col("line_no").alias("l2"), F.col("part").alias("core")), ["doc_id", "core"])
+    again = met.where(F.col("l2") > F.col("line_no")).select("doc_id", "line_no").distinct()
     island = F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
     runs = again.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("line_no").alias("start"), F.count("*").alias("n")).where("n >= 2")
     return runs.groupBy("doc_id").agg(F.min("start").alias("toc_start"))

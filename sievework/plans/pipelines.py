@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import models, titles
 from ..functions.text import token_count
 from ..operators import catalog, context, fusion, graph, keyword, outline, quality, vector
+from ..sources import embedding_cache
 from ..sources.relations import chunks
+from ..sources.versions import ChunkStore
 
 
 def outlined(documents: DataFrame) -> DataFrame:
@@ -39,6 +41,18 @@ def ingest(documents: DataFrame, hooks: models.Hooks, short: int = 20, by_title:
     return models.encode(out, hooks)
 
 
+def reingest(documents: DataFrame, store: ChunkStore, hooks: models.Hooks, cache: str, model: str = "default", short: int = 20, by_title: bool = False) -> int:
+    """Takes documents into a store anew and gives its version: what a full ingest() of them gives, with texts of the cache not embedded again.
+
+    A document's chunks are replaced in one commit, also where none is left. An edit changes the chunks that it touches; only
+    those texts go to the hook, wherever the others stand now.
+    """
+    rows = (outlined(documents) if by_title else chunks(documents)).select("doc_id", "ord", "text")
+    merged = outline.merge_short(rows, token_count(F.col("text")) < short)
+    fresh = merged.select("doc_id", "ord", F.concat_ws("_", "doc_id", "ord").alias("chunk_id"), "text", F.length("text").cast("long").alias("length"))
+    return store.replace_documents(embedding_cache.encode(fresh, hooks, cache, model), ids=documents.select("doc_id"))
+
+
 def recall_test(queries: DataFrame, stored: DataFrame, files: DataFrame, hooks: models.Hooks, fan_out: int = 20, n: int = 5) -> DataFrame:
     """query_id, chunk_id, doc_id, file_name, text, score, rerank_score, new_rank: the vector stage reranked, with file names.
 

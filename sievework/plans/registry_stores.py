@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import keyword_index, vector_index
-from ..sources import scratch
+from ..operators import graph_store, keyword_index, vector_index
+from ..sources import relations as rel, scratch
 from ..sources.versions import ChunkStore
-from .registry import _BM25, S, _chunks, _documents_as_chunks, _questions, _t, query
+from .registry import _BM25, ORACLES, S, _chunks, _documents_as_chunks, _questions, _t, query
 
 _RANKED = "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw WHERE rank <= 20"
 
@@ -90,3 +90,23 @@ def vector_index_after_removal(spark, d):
     vector_index.remove(spark, path, v.where("chunk_id % 3 = 1"))
     q = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
     return vector_index.search(spark, path, q, 20, exact=True).withColumn("score", F.round("score", 6))
+
+
+# ---- stored graph
+@query(ORACLES["neighbors_2hop"])
+def stored_neighbors(spark, d):
+    """Two hops from every supplier over a stored graph of two parts."""
+    path, edges = scratch.folder(spark, "graph"), rel.relations(spark, d)
+    graph_store.append(spark, path, edges.where("relation_type <> 'SUPPLIES'"))
+    graph_store.append(spark, path, edges.where("relation_type = 'SUPPLIES'"))
+    seeds = rel.entities(spark, d).where("type = 'supplier'").select(F.col("entity_id").alias("seed"))
+    return graph_store.neighbors(spark, path, seeds, 2, 20)
+
+
+@query(ORACLES["simple_paths"])
+def stored_paths(spark, d):
+    """Paths between suppliers and two regions, read from both ends of a stored graph."""
+    path, nodes = scratch.folder(spark, "graph"), rel.entities(spark, d)
+    graph_store.append(spark, path, rel.relations(spark, d))
+    pairs = nodes.where("type = 'supplier'").select(F.col("entity_id").alias("source"), F.explode(F.array(F.lit("R0"), F.lit("R1"))).alias("target"))
+    return graph_store.paths(spark, path, pairs, 3)

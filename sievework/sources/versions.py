@@ -155,10 +155,11 @@ class ChunkStore:
         base = self.log.snapshot()
         return self.log.commit({"rows": self._dealt(rows), "gone_chunks": self._marks(rows.select("chunk_id").distinct(), base)}, base).version
 
-    def replace_documents(self, rows: DataFrame, facts: dict | None = None) -> int:
-        """The documents of rows have these rows and no others."""
+    def replace_documents(self, rows: DataFrame, facts: dict | None = None, ids: DataFrame | None = None) -> int:
+        """The documents of rows, or those of ids (doc_id), have these rows and no others."""
         base = self.log.snapshot()
-        return self.log.commit({"rows": self._dealt(rows), "gone_documents": self._marks(rows.select("doc_id").distinct(), base)}, base, facts=facts).version
+        gone = (rows if ids is None else ids).select("doc_id").distinct()
+        return self.log.commit({"rows": self._dealt(rows), "gone_documents": self._marks(gone, base)}, base, facts=facts).version
 
     def add_absent(self, rows: DataFrame) -> int:
         """Rows whose chunk_id is stored already are left out; of rows of equal new chunk_id the first by ord stays."""

@@ -91,3 +91,25 @@ def test_cache_calls_the_model_once_a_text(spark, tmp_path, counted):
     embedding_cache.encode(good, hooks, root, "other model").count()
     assert sent.value == 8
     assert sorted((r.model, r.sent, r.failed) for r in embedding_cache.calls(spark, root).collect()) == [("m", 2, 1), ("m", 3, 1), ("other model", 3, 0)]
+
+
+def test_an_edit_embeds_what_it_changes(spark, tmp_path, counted):
+    from sievework.plans import pipelines
+
+    sent, hooks = counted
+    store, cache = ChunkStore(spark, f"file://{tmp_path}/s"), f"file://{tmp_path}/c"
+    line = lambda i, n=25: " ".join(f"w{i}x{k}" for k in range(n))
+    first = [(1, [line(i) for i in range(12)]), (2, [line(50), "short", line(51)]), (3, [line(60)])]
+    frame = lambda docs: spark.createDataFrame([(i, "\n".join(t), "s") for i, t in docs], "doc_id long, text string, source string")
+    key = lambda rows: sorted((r.doc_id, r.ord, r.chunk_id, r.text, r.embedding) for r in rows.collect())
+    pipelines.reingest(frame(first), store, hooks, cache)
+    whole = pipelines.ingest(frame(first), models.Hooks(embed=hooks.embed))
+    before = sent.value
+    assert key(store.read()) == key(whole)
+    sent_by_whole = sent.value - before
+    edited = [(1, first[0][1][:4] + ["put in here " + line(99)] + first[0][1][4:]), (3, [])]
+    before = sent.value
+    pipelines.reingest(frame(edited), store, hooks, cache)
+    assert sent.value - before == 1 and sent_by_whole >= 15
+    now = frame([edited[0], first[1], edited[1]])
+    assert key(store.read()) == key(pipelines.ingest(now, models.Hooks(embed=hooks.embed)))

@@ -122,9 +122,9 @@ PREFIXES = [
     ("chinese_chapter", r"^第([一二三四五六七八九十百]+)([章节篇])\s*", None, (r"^第[一二三四五六七八九十百]+[章节篇]\s+.+", "high")),
     ("chinese_num_dot", r"^([一二三四五六七八九十百]+)[、\s]+", 9, (r"^[一二三四五六七八九十百]+[、\s].+", "medium")),
     ("bracket_chinese_num", r"^[（(]([一二三四五六七八九十百]+)[）)]\s*", None, (r"^[（(][一二三四五六七八九十百]+[）)]\s*.+", "low")),
-    ("numbered_dotted", r"^(\d+)[\.\s、,](?!\d)", None, (r"^\d+[\.\s、,]\s*.+", "high")),
-    ("numbered_dotted", r"^(\d+\.\d+)[\.\s、,](?!\d)", None, (r"^\d+\.\d+[\.\s、,]?\s*.+", "medium")),
     ("numbered_dotted", r"^(\d+(\.\d+){2,})[\.\s、,]", None, (r"^\d+(\.\d+){2,}[\.\s、,]?\s*.+", "low")),
+    ("numbered_dotted", r"^(\d+\.\d+)[\.\s、,]", None, (r"^\d+\.\d+[\.\s、,]?\s*.+", "medium")),
+    ("numbered_dotted", r"^(\d+)[\.\s、,]", None, (r"^\d+[\.\s、,]\s*.+", "high")),
     ("bracket_number", r"^[（(](\d+)[）)]\s*", None, (r"^[（(]\d+[）)]\s*.+", "low")),
     ("number_space", r"^(\d+)\s+", None, (r"^\d+\s+.+", "medium")),
 ]

@@ -220,3 +220,12 @@ def test_layout(spark):
     assert sorted(rows(layout.flat_headers(cells, 2), "col", "header")) == [(0, "n"), (1, "s.x"), (2, "y")]
 
 
+
+
+def test_prefixes_of_dotted_numbers(spark):
+    """The deepest number that a separator ends counts, also where the last part runs into a word."""
+    from sievework.functions import titles
+
+    want = {"1.": "high", "1.1": "high", "1.1x": "high", "1.23 ": "high", "1.1 x": "medium", "1.1.": "medium", "1.2.3x": "medium", "1.2.3、": "low", "1.2.3.4 x": "low", "12": None, "12 x": "high", "x1.": None}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.p and r.p.level for r in df.select("t", titles.prefix_pattern(F.col("t")).alias("p")).collect()} == want

@@ -15,6 +15,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: A side joined by broadcast has at most this many narrow rows; larger sides take a shuffle join.
 BROADCAST_ROWS = 100_000
 
+#: Partitions of one shuffle at most: the driver keeps a table of them for every task that writes.
+MOST_PARTITIONS = 50_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -78,9 +81,12 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame, total: DataFrame, keys: list[str], rows: int = 20_000) -> DataFrame:
-    """df dealt by keys into partitions of about ``rows`` rows (of the number that total gives in one cell), sorted by keys."""
+    """df dealt by keys into partitions of about ``rows`` rows (of the number that total gives in one cell), sorted by keys.
+
+    Groups stream through a partition, so with over ``MOST_PARTITIONS`` of that size partitions get longer instead.
+    """
     session = df.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-(total.first()[0] or 0) // rows))
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, -(-(total.first()[0] or 0) // rows)))
     return df.repartition(parts, *keys).sortWithinPartitions(*keys)
 
 

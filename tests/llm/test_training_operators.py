@@ -592,3 +592,26 @@ def test_word_hashes():
     assert all(len(got[i]) == len(WORD.findall(t or "")) for i, t in enumerate(texts) if i)
     assert got[4][0] == got[5][1] != got[5][0]
     assert len(Counter(got[6].tolist())) == len(set(texts[6].split()))
+
+
+def test_codes_against_each_pair():
+    """The rows that codes leave are those with a pair near enough that no earlier table holds, in buckets of any size."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 2**63, (6, 4), np.uint64)[rng.integers(0, 6, 400)] ^ (np.uint64(1) << rng.integers(0, 64, (400, 4), np.uint64))
+    at = np.r_[0, np.cumsum([1, 2, 5, 30, 150, 1, 200, 11])]
+    t = np.repeat([0, 3, 1, 7, 2, 0, 30, 5], np.diff(at))
+    crossed, mine = np.repeat([False, False, True, True, False, False, True, False], np.diff(at)), rng.integers(0, 2, 400)
+    got = embeddings.suspects(at, t, crossed, mine, codes, 6, 20)
+    bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little").reshape(400, -1)
+    want = np.zeros(400, bool)
+    for s, e in zip(at[:-1], at[1:], strict=True):
+        for i in range(s, e):
+            for j in range(s, i):
+                before = any((bits[i, 20 * k : 20 * k + 20] == bits[j, 20 * k : 20 * k + 20]).all() for k in range(min(t[i], 12)))
+                if (not crossed[i] or mine[i] != mine[j]) and (bits[i] != bits[j]).sum() <= 6 and not before:
+                    want[i] = want[j] = True
+    assert (got == want).all() and 0 < want.sum() < 400
+    # signs don't depend on the rows beside a vector or on the number of planes
+    units = rng.standard_normal((50, 24))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    assert (embeddings.signs(units, 512)[7:8, :64] == embeddings.signs(units[7:8], 64)).all()

@@ -131,10 +131,27 @@ def merge_short(chunks: DataFrame, short: Column) -> DataFrame:
     return df.groupBy("doc_id", F.col("group").alias("g")).agg(text.alias("text"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).select("doc_id", F.col("g").cast("long").alias("ord"), "text", "first_ord", "last_ord")
 
 
+def _stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(" \t\n\r\f\v"))
+
+
 def merge_title_only(chunks: DataFrame, joined: bool = True) -> DataFrame:
-    """doc_id, ord, text, path: a chunk whose text is its last title joined with the next; paths joined without repeats. chunks has path (array, empty where there is none)."""
-    df = _pairs(chunks, F.col("text") == F.try_element_at("path", F.lit(-1)), fold_last=False)
-    rows = F.array_sort(F.collect_list(F.struct("ord", "text", "path")))
-    out = df.groupBy("doc_id", "group").agg(rows.alias("r"))
-    path = F.array_distinct(F.flatten(F.transform("r", lambda x: x["path"])))
-    return out.select("doc_id", F.col("group").cast("long").alias("ord"), F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("text"), (F.array_join(path, " > ") if joined else path).alias("path"))
+    """doc_id, ord, text, path: a chunk whose text is its last title, outer white space aside, joined with the next.
+
+    Joined paths name a title once. chunks has path (array, empty where there is none). A page column gives the last page known
+    in a group; a type column stays with chunks that stand alone.
+    """
+    df = _pairs(chunks, _stripped(F.col("text")) == _stripped(F.try_element_at("path", F.lit(-1))), fold_last=False)
+    kept = [c for c in ("page", "type") if c in chunks.columns]
+    out = df.groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "path", *kept))).alias("r"))
+    alone = F.size("r") == 1
+    path = F.flatten(F.transform("r", lambda x: x["path"]))
+    titles = F.transform(path, _stripped)
+    path = F.when(alone, path).otherwise(F.filter(path, lambda x, i: F.array_position(titles, _stripped(x)) == i + 1))
+    text = F.array_join(F.transform("r", lambda x, i: F.when(alone | (i > 0), x["text"]).otherwise(_stripped(x["text"]))), "\n")
+    more = []
+    if "page" in kept:
+        more.append(F.try_element_at(F.filter(F.transform("r", lambda x: x["page"]), lambda x: x.isNotNull()), F.lit(-1)).alias("page"))
+    if "type" in kept:
+        more.append(F.when(alone, F.col("r")[0]["type"]).alias("type"))
+    return out.select("doc_id", F.col("group").cast("long").alias("ord"), text.alias("text"), (F.array_join(path, " > ") if joined else path).alias("path"), *more)

@@ -41,6 +41,25 @@ def ingest(documents: DataFrame, hooks: models.Hooks, short: int = 20, by_title:
     return models.encode(out, hooks)
 
 
+def post_processed(rows: DataFrame, k: int = 10) -> DataFrame:
+    """doc_id, ord, chunk_id, text, path, page, type, keywords, length: chunks as they are stored.
+
+    rows (doc_id, ord, text, path array, and page, type if known) are joined where a chunk is only its title, numbered from 1 in
+    each document and given their k keywords, greatest weight first. A missing page is 1, a missing type "text". A chunk
+    without words has no keywords.
+    """
+    for name, kind in (("page", "long"), ("type", "string")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    merged = outline.merge_title_only(rows, joined=False).withColumn("chunk_id", F.concat_ws("_", "doc_id", "ord"))
+    best = keyword.keywords(merged.select("chunk_id", "text"), k).groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
+    out = merged.join(best, "chunk_id", "left")
+    return out.select(
+        "doc_id", "ord", "chunk_id", "text", "path", F.coalesce("page", F.lit(1).cast("long")).alias("page"), F.coalesce("type", F.lit("text")).alias("type"),
+        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("length"),
+    )
+
+
 def reingest(documents: DataFrame, store: ChunkStore, hooks: models.Hooks, cache: str, model: str = "default", short: int = 20, by_title: bool = False) -> int:
     """Takes documents into a store anew and gives its version: what a full ingest() of them gives, with texts of the cache not embedded again.
 

@@ -530,4 +530,4 @@ def words_to_lines(spark, d):
     return layout.words_to_lines(w)
 
 
-from . import registry_answers, registry_more, registry_rest, registry_stores, registry_validation  # noqa: E402, F401  add their queries
+from . import registry_answers, registry_docs, registry_more, registry_rest, registry_stores, registry_validation  # noqa: E402, F401  add their queries

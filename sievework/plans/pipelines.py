@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import models, titles
 from ..functions.text import token_count
 from ..operators import catalog, context, fusion, graph, keyword, outline, quality, vector
-from ..sources import embedding_cache
+from ..sources import embedding_cache, scratch
 from ..sources.relations import chunks
 from ..sources.versions import ChunkStore
 
@@ -52,6 +52,9 @@ def post_processed(rows: DataFrame, k: int = 10) -> DataFrame:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     merged = outline.merge_title_only(rows, joined=False).withColumn("chunk_id", F.concat_ws("_", "doc_id", "ord"))
+    path = scratch.folder(rows.sparkSession, "processed-chunks")  # read three times
+    merged.write.parquet(path)
+    merged = rows.sparkSession.read.schema(merged.schema).parquet(path)
     best = keyword.keywords(merged.select("chunk_id", "text"), k).groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
     out = merged.join(best, "chunk_id", "left")
     return out.select(

@@ -105,6 +105,27 @@ def test_index_equals_search(spark, corpus, tmp_path, monkeypatch, block):
     assert ranked(keyword_index.search(spark, path, asked, 5)) == want
 
 
+def test_search_in_windows_and_blocks(spark, corpus, monkeypatch):
+    rows, asked = corpus
+    want = {by: ranked(keyword.search(asked, rows, 5, by=by)) for by in (None, "kb")}
+    words = {r.chunk_id: (r.text or "").split() for r in rows.collect()}
+    for r in asked.where("query_id < 25").collect():  # every chunk that holds an asked word counts
+        hits = [x for x in want[None] if x[0] == r.query_id]
+        assert len(hits) <= 5 and all(set(words[x[2]]) & set(r.text.split()) for x in hits)
+    monkeypatch.setattr(keyword, "BLOCK_TERMS", 20)
+    monkeypatch.setattr(keyword, "WINDOW", 7)
+    for by in (None, "kb"):
+        assert ranked(keyword.search(asked, rows.repartition(3), 5, by=by)) == want[by]
+
+
+def test_search_moves_no_pairs(spark, corpus):
+    """Only each task's best rows of a query are shuffled, not every pair of a query and a chunk that share a word."""
+    rows, asked = corpus
+    plan = keyword.search(asked, rows, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(query_id" in plan and "Join" not in plan
+    assert not any("chunk_id" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line)
+
+
 def test_keyed_index(spark, corpus, tmp_path):
     rows, asked = corpus
     path = f"file://{tmp_path}/k"

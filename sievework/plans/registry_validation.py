@@ -35,8 +35,11 @@ ls AS (SELECT doc_id, ord, min({COSINE.format("v", "b")}) AS s FROM wn WHERE b I
 _MERGE = "CASE WHEN {0} > 0.93 THEN 60 WHEN {0} > 0.85 THEN 40 WHEN {0} > 0.75 THEN 15 ELSE 0 END"
 _SPLIT = "CASE WHEN {0} < 0.5 THEN 60 WHEN {0} < 0.65 THEN 35 WHEN {0} < 0.75 THEN 20 ELSE 0 END"
 
+#: Six places of a double, half-way ones up: of its shortest decimal form, as round() of a double first multiplies and may miss them.
+SIX = "round({0}::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE"
 
-@query(f"WITH {S['chunks']}, {_RUNS} SELECT doc_id, ord, round(s, 6) AS neighbor_similarity, {_MERGE.format('s')}::BIGINT AS merge_topic_risk, s > 0.93 AS topic_hard FROM ns")
+
+@query(f"WITH {S['chunks']}, {_RUNS} SELECT doc_id, ord, {SIX.format('s')} AS neighbor_similarity, {_MERGE.format('s')}::BIGINT AS merge_topic_risk, s > 0.93 AS topic_hard FROM ns")
 def short_run_topics(spark, d):
     """Chunks of short runs with the greater cosine with either neighbour, and its risk."""
     df = quality.neighbor_similarity(quality.measured(_chunks(spark, d).select("doc_id", "ord", "text")), models.letter_counts)

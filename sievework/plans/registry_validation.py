@@ -61,7 +61,7 @@ PATTERNS = ["^(en|de|fr)$", "^[A-Z]"]
 
 @query(f"""WITH {S['chunks']}, {_QM}, {_RUNS}, {_WINDOWS},
 st AS (SELECT chunks.doc_id, ord, NOT (regexp_matches(coalesce(lang, ''), '{PATTERNS[0]}') AND regexp_matches(substring(chunks.text, 1, 8), '{PATTERNS[1]}')) AS broken FROM chunks JOIN documents USING (doc_id)),
-al AS (SELECT qa.doc_id, qa.ord, round(ns.s, 6) AS neighbor_similarity, round(ls.s, 6) AS least_similarity, broken AS breaks_structure, hard OR coalesce(ns.s > 0.93, false) OR coalesce(ls.s < 0.5, false) AS hard,
+al AS (SELECT qa.doc_id, qa.ord, {SIX.format('ns.s')} AS neighbor_similarity, {SIX.format('ls.s')} AS least_similarity, broken AS breaks_structure, hard OR coalesce(ns.s > 0.93, false) OR coalesce(ls.s < 0.5, false) AS hard,
   coalesce(mode = 'merge', false) OR coalesce({_MERGE.format('ns.s')}, 0) > 0 AS merges, (total_risk + CASE WHEN broken THEN 20 ELSE 0 END + coalesce({_MERGE.format('ns.s')}, 0) + coalesce({_SPLIT.format('ls.s')}, 0))::BIGINT AS total_risk
   FROM qa JOIN st USING (doc_id, ord) LEFT JOIN ns USING (doc_id, ord) LEFT JOIN ls USING (doc_id, ord))
 SELECT doc_id, ord, neighbor_similarity, least_similarity, breaks_structure, hard, CASE WHEN merges THEN 'merge' WHEN total_risk > 0 THEN 'split' END AS mode, total_risk FROM al""")

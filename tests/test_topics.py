@@ -21,7 +21,7 @@ def folder(spark, tmp_path, *pairs):
 PAIRS = [(text(a=1, b=1, c=1), text(a=3, b=3, c=3, d=4, e=2, f=1)), ("a", text(a=41, b=638, c=29, d=5, e=3)), ("a", text(a=323, b=551, c=39, d=10, e=7))]
 
 
-@pytest.mark.parametrize("name", ["short_run_topics"])
+@pytest.mark.parametrize("name", ["short_run_topics", "validated_chunks"])
 def test_exact_cosines(spark, tmp_path, name):
     d = folder(spark, tmp_path, *PAIRS)
     got = registry.QUERIES[name](spark, d)

@@ -131,6 +131,17 @@ def merge_short(chunks: DataFrame, short: Column) -> DataFrame:
     return df.groupBy("doc_id", F.col("group").alias("g")).agg(text.alias("text"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).select("doc_id", F.col("g").cast("long").alias("ord"), "text", "first_ord", "last_ord")
 
 
+#: Characters of text in a partition of documents that are taken together.
+PART_CHARS = 8 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) dealt by doc_id once, in so many partitions that those of each can be sorted in memory."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(min(10_000, max(least, -(-chars // PART_CHARS))), "doc_id")
+
+
 def _stripped(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r\f\v"))
 
@@ -141,7 +152,7 @@ def merge_title_only(chunks: DataFrame, joined: bool = True) -> DataFrame:
     Joined paths name a title once. chunks has path (array, empty where there is none). A page column gives the last page known
     in a group; a type column stays with chunks that stand alone.
     """
-    df = _pairs(chunks, _stripped(F.col("text")) == _stripped(F.try_element_at("path", F.lit(-1))), fold_last=False)
+    df = _pairs(dealt(chunks), _stripped(F.col("text")) == _stripped(F.try_element_at("path", F.lit(-1))), fold_last=False)
     kept = [c for c in ("page", "type") if c in chunks.columns]
     out = df.groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "path", *kept))).alias("r"))
     alone = F.size("r") == 1

@@ -1,6 +1,6 @@
 """A stored graph: each edge lies at both its ends, in folders by hash of the node, so that a hop reads its frontier's folders alone.
 
-Traversals read the edges they can need, hop by hop, and then run ``graph.neighbors`` or ``graph.paths`` on those. An edge of a
+``neighbors`` reads a hop's edges and cuts them as ``graph.neighbors`` does. ``paths`` reads the edges it can need, hop by hop, and then runs ``graph.paths`` on those. An edge of a
 path of up to n edges lies within n/2 hops of one of its ends, so paths are read from both ends to the middle. The edges read
 are written to the shared folder once a hop. Versions are those of ``sources.versions``.
 """
@@ -29,8 +29,8 @@ def append(spark: SparkSession, path: str, edges: DataFrame) -> int:
     log = Versions(spark, path)
     base = log.snapshot()
     folders = base.facts.get("folders") or min(MOST_FOLDERS, max(8, 2 * edges.count() // FOLDER_ENDS))
-    side = lambda end, d: edges.select(F.col(end).alias("node"), F.lit(d).alias("side"), *EDGE)
-    both = side("source_id", OUT).unionByName(side("target_id", IN)).withColumn("folder", _folder("node", folders))
+    side = lambda end, d: F.struct(F.col(end).alias("node"), F.lit(d).alias("side"))
+    both = edges.select(F.explode(F.array(side("source_id", OUT), side("target_id", IN))).alias("e"), *EDGE).select("e.*", *EDGE).withColumn("folder", _folder("node", folders))
     # a hub's edges are split over files of the advisory size
     dealt = both.hint("rebalance", "folder").sortWithinPartitions("folder", "node", "side", "relation_id")
     return log.commit({"edges": dealt}, base, facts={"folders": folders}, partition_by={"edges": "folder"}).version
@@ -72,8 +72,16 @@ def reach(spark: SparkSession, path: str, seeds: DataFrame, hops: int, side: int
 
 
 def neighbors(spark: SparkSession, path: str, seeds: DataFrame, hops: int = 2, limit: int = 20, version: int | None = None) -> DataFrame:
-    """``graph.neighbors`` of the seeds (seed) over a stored graph."""
-    return graph.neighbors(reach(spark, path, seeds.select(F.col("seed").alias("node")), hops, None, version), seeds, hops, limit)
+    """``graph.neighbors`` of the seeds (seed) over a stored graph; of a hop's nodes the edges that a list can need go on."""
+    log = Versions(spark, path)
+    at = log.snapshot(version)
+    other = F.when(F.col("side") == OUT, F.col("target_id")).otherwise(F.col("source_id"))
+
+    def sides(nodes: DataFrame) -> DataFrame:
+        rows = edges_at(log, at, nodes).select(F.col("node").alias("at"), other.alias("to"), F.col("side").alias("d"), "relation_id", "relation_type")
+        return graph.cut_sides(rows.repartition("at", "d", "to").distinct().drop("relation_type"), limit)  # an edge may be stored twice
+
+    return graph.traversed(sides, seeds.where("seed is not null"), hops, limit)
 
 
 def paths(spark: SparkSession, path: str, pairs: DataFrame, longest: int = 3, version: int | None = None) -> DataFrame:

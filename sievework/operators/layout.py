@@ -34,9 +34,9 @@ def frame_lines(lines: DataFrame, edge: int = 3, share: float = 0.8, zone: float
     """
     w = Window.partitionBy("doc_id", "page")
     df = lines.withColumns({"__a": F.row_number().over(w.orderBy("line_no")), "__b": F.row_number().over(w.orderBy(F.desc("line_no")))})
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("__pages"))
-    seen = df.groupBy("doc_id", "text").agg(F.count_if(F.col("__a") <= edge).alias("__up"), F.count_if(F.col("__b") <= edge).alias("__down")).join(pages, "doc_id")
-    df = df.join(seen, ["doc_id", "text"])
+    # windows alone, so that lines dealt by doc_id stay where they are; each page has one first line
+    seen = lambda c: F.count_if(F.col(c) <= edge).over(Window.partitionBy("doc_id", "text"))
+    df = df.withColumns({"__up": seen("__a"), "__down": seen("__b"), "__pages": F.count_if(F.col("__a") == 1).over(Window.partitionBy("doc_id"))})
     head = (F.col("top") <= zone * F.col("height")) & (F.col("__up") >= share * F.col("__pages"))
     foot = (F.col("top") > zone * F.col("height")) & (F.col("top") >= (1 - zone) * F.col("height")) & (F.col("__down") >= share * F.col("__pages"))
     return df.where(~(head | foot)).select(*lines.columns)

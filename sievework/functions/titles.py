@@ -25,22 +25,31 @@ FORMATS = {
     "rule_013": r"^\d+(?:\.\d+)+[　\s]+(.+)",
     "rule_014": r"^\d+(?:\.\d+)+[、,]\s*(.+)",
 }
+# how the patterns of formats begin
+FIRST = ["^第", "^[一二三四五六七八九十百]", r"^\d"]
 
 
 def title_format(title: Column) -> Column:
     """The first format that a title has, else null; word ends and white space are those of Unicode."""
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(FORMATS.items()):
-        out = F.when(title.rlike(f"(?U){pattern}"), F.lit(name)).otherwise(out)
+    none = F.lit(None).cast("string")
+    out = none
+    for first in FIRST:  # a title's first character leaves a few formats to try
+        own = none
+        for name, pattern in reversed(FORMATS.items()):
+            if pattern.startswith(first):
+                own = F.when(title.rlike(f"(?U){pattern}"), F.lit(name)).otherwise(own)
+        out = F.when(title.rlike(f"(?U){first}"), own).otherwise(out)
     return out
 
 
 def without_same_format(path: Column, text: Column) -> Column:
     """A title path without titles of a format that a later one has too, unless the text has more than them and names them."""
     formats = F.transform(path, title_format)
-    later = lambda i: F.array_contains(F.slice(formats, i + 2, F.size(formats)), F.get(formats, i))
+    later = lambda f, i: F.array_contains(F.slice(f, i + 2, F.size(f)), F.get(f, i))
     named = lambda t: F.coalesce(text, F.lit("")).contains(F.trim(t)) & (F.trim(text) != F.trim(t))
-    return F.filter(path, lambda t, i: F.get(formats, i).isNull() | ~F.coalesce(later(i), F.lit(False)) | F.coalesce(named(t), F.lit(False)))
+    # an array of the formats alone, so that they are told once a path and not at each use
+    kept = lambda f: F.filter(path, lambda t, i: F.get(f, i).isNull() | ~F.coalesce(later(f, i), F.lit(False)) | F.coalesce(named(t), F.lit(False)))
+    return F.transform(F.array(formats), kept)[0]
 
 
 def breaks_structure(path: Column, patterns: list[str]) -> Column:

@@ -2,33 +2,37 @@
 
 Both public tokenizers used here split a text into stretches whose ids don't depend on what stands around them: the
 lower-casing one at white space, the byte-level one before a single space that leads a word. The ids of each stretch are
-kept per Python worker, so a frequent word is tokenised once and a text is a join of cached bytes. Texts with characters
-that Python and the tokenizer class differently, or with a special token's string, go to the tokenizer whole.
+kept per Python worker, so a frequent word is tokenised once and a text is a join of cached bytes. A new word of plain letters
+goes to the tokenizer's model alone, which is what normalising and splitting would leave of it; any other new stretch to the
+tokenizer. Texts with characters that Python and the tokenizer class differently, or with a special token's string, go to
+the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
-from itertools import chain
+import struct
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 
 #: Entries of each of a cache's two generations.
 GENERATION = 250_000
-#: Characters of text that are tokenised together.
-GROUP_CHARS = 400_000
 #: Longer stretches are tokenised without being kept.
 CACHE_CHARS = 48
 
 #: Characters that Python and the tokenizers class differently, and the start of special tokens.
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 _LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-/:-@\[-^`{-~]+"
-#: A word of plain letters and the signs after it are tokenised apart, also where the signs end it; other words stay whole.
-_WORDS = re.compile(rf"{_LETTERS}(?=(?:{_SIGNS})?(?:[ \n]|$))|{_SIGNS}(?=[ \n]|$)|[^ \n]+")
+#: A word of plain letters and the signs after it are tokenised apart; other words stay whole.
+_PLAIN = re.compile(rf"({_LETTERS})?({_SIGNS})?")
 #: The byte-level split with any run of non-space in the place of its finer classes, which only split such runs further.
 _BYTE_LEVEL = re.compile(rf" ?{_LETTERS}(?=(?:{_SIGNS})?(?:\s|$))|{_SIGNS}(?=\s|$)| ?\S+|\s+(?!\S)|\s+")
+#: The character that stands for each byte in byte-level vocabularies: itself if it shows, else one from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = "".join(chr(b) if b in _SHOWN else chr(256 + sum(c not in _SHOWN for c in range(b))) for b in range(256))
 _open: dict[str, "Encoder"] = {}
 
 
@@ -48,90 +52,90 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
+class _Known(dict):
+    """Ids by stretch, made where they are not known yet; those of the generation before come back as they are asked for.
+
+    make gives the ids and whether they are worth an entry.
+    """
+
+    def __init__(self, make: Callable[[str], tuple[bytes, bool]]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part)
+        if found is None:
+            found, keep = self.make(part)
+            if not keep or len(part) > CACHE_CHARS:
+                return found
+        self[part] = found
+        return found
+
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        ids = self.tokenizer.encode("a  b", add_special_tokens=False).ids
-        self.drops_space = self.tokenizer.encode("a b", add_special_tokens=False).ids == ids
+        self.drops_space = self._direct("a b") == self._direct("a  b")
+        self.lowers = self._direct("AÉ") == self._direct("aé")
+        # words that stand bare, words led by a space, and stretches with whatever leads them
+        self.bare, self.led, self.parts = _Known(partial(self._stretch, False)), _Known(partial(self._stretch, True)), _Known(self._part)
+        self.plain = all(self._word(w, led) == self._direct(f" {w}" if led else w) for w in ("a", "Hello", "ÀÉîõüÿ", "straßentheorie") for led in (False, not self.drops_space))
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        """Tokenises new stretches, many in one go, told apart by their places in the joined text."""
-        if self.drops_space:
-            groups = [(parts, " ")]
-        else:  # those led by a space stand side by side as in a text; a line end keeps others apart
-            led = [p for p in parts if p[0] == " " and len(p) > 1]
-            bare = [p for p in parts if not p[0].isspace()]
-            groups = [(led, ""), (bare, "\n")]
-            for p in parts:
-                if p[0].isspace() and (p[0] != " " or len(p) == 1 or p.isspace()):
-                    self.cache[p] = self._direct(p)
-            led[:] = [p for p in led if not p.isspace()]
-        for group, between in groups:
-            if not group:
-                continue
-            found = self.tokenizer.encode(between.join(group), add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            at = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            sizes = np.array([len(p) for p in group])
-            ends = np.cumsum(sizes + len(between)) - len(between)
-            if between == "\n":  # the separators' own ids
-                own = ~np.isin(at, ends)
-                ids, at = ids[own], at[own]
-            cuts = 4 * np.append(0, np.searchsorted(at, ends, side="left"))
-            data = ids.tobytes()
-            for p, a, b in zip(group, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.cache[p] = data[a:b]
-
-    def _know(self, parts: set[str]) -> list[str]:
-        """Makes the cache hold all parts; those too long to stay."""
-        if len(self.cache) >= GENERATION:  # what was not asked for since the last time goes
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        missing = parts.difference(cache)
-        if older:
-            back = [p for p in missing if p in older]
-            cache.update(zip(back, map(older.__getitem__, back), strict=True))
-            missing.difference_update(back)
-        long = [p for p in missing if len(p) > CACHE_CHARS]
-        for p in long:
-            cache[p] = self._direct(p)
-        missing.difference_update(long)
-        missing.discard("")
-        cache[""] = b""
-        new = list(missing)
-        for i in range(0, len(new), 256):
-            self._learn(new[i : i + 256])
-        return long
+    def _word(self, word: str, led: bool = False) -> bytes:
+        """The ids of a word of plain letters, led by a space or not, by the model alone."""
+        shown = word.lower() if self.lowers else word
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.model.tokenize(_BYTES[32] + shown if led else shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _stretch(self, led: bool, word: str) -> tuple[bytes, bool]:
+        found = _PLAIN.fullmatch(word) if self.plain else None
+        letters, signs = found.groups() if found else (None, None)
+        cache = self.led if led else self.bare
+        if letters and signs:  # a word that is new itself has no second entry with its signs
+            keep = letters in cache
+            return cache[letters] + self.bare[signs], keep
+        if letters:
+            return self._word(word, led), True
+        if word[:1] == "\n":  # a line end takes the place of the space
+            keep = word[1:] in self.bare
+            return self.parts["\n"] + self.bare[word[1:]], keep
+        return self._direct(f" {word}" if led else word), True
+
+    def _part(self, part: str) -> tuple[bytes, bool]:
+        if part.isspace():
+            return self._direct(part), True
+        return self.led[part[1:]] if part[0] == " " else self.bare[part], False
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is the empty text."""
-        at = 0
-        while at < len(texts):  # a few hundred thousand characters at a time, so frequent words are looked up once for many texts
-            cut, size, split = at, 0, []
-            while cut < len(texts) and (size == 0 or size < GROUP_CHARS):
-                text = texts[cut] or ""
-                size += len(text) + 1
-                if any(odd in text for odd in _ODD):
-                    split.append(text)
-                else:
-                    split.append(_WORDS.findall(_lower(text)) if self.drops_space else _BYTE_LEVEL.findall(text))
-                cut += 1
-            long = self._know(set(chain.from_iterable(x for x in split if isinstance(x, list))))
-            get = self.cache.__getitem__
-            for x in split:
-                yield b"".join(map(get, x)) if isinstance(x, list) else self._direct(x)
-            for p in long:
-                self.cache.pop(p, None)
-            at = cut
+        caches = (self.bare, self.led, self.parts)
+        for text in texts:
+            if sum(map(len, caches)) >= GENERATION:  # what was not asked for since the last time goes
+                for c in caches:
+                    c.turn()
+            text = text or ""
+            if any(odd in text for odd in _ODD):
+                yield self._direct(text)
+            elif self.drops_space:
+                yield b"".join(map(self.bare.__getitem__, _lower(text).replace("\n", " ").split(" ")))
+            elif text and " ".join(text.split()) == text.replace("\n", " "):  # words with one space or line end between them
+                words = text.replace("\n", " \n").split(" ")
+                yield self.bare[words[0]] + b"".join(map(self.led.__getitem__, words[1:]))
+            else:
+                yield b"".join(map(self.parts.__getitem__, _BYTE_LEVEL.findall(text)))
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_many([text]))

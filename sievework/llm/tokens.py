@@ -2,10 +2,10 @@
 
 Both public tokenizers used here split a text into stretches whose ids don't depend on what stands around them: the
 lower-casing one at white space, the byte-level one before a single space that leads a word. The ids of each stretch are
-kept per Python worker, so a frequent word is tokenised once and a text is a join of cached bytes. A new word of plain letters
-goes to the tokenizer's model alone, which is what normalising and splitting would leave of it; any other new stretch to the
-tokenizer. Texts with characters that Python and the tokenizer class differently, or with a special token's string, go to
-the tokenizer whole.
+kept per Python worker, so a frequent word is tokenised once. Texts go in groups: each distinct stretch of a group is looked up
+once and its ids are dealt to its places by array. New words of plain letters go to the tokenizer's model alone, many at a time,
+which is what normalising and splitting would leave of them; any other new stretch goes to the tokenizer. Texts with characters that Python and
+the tokenizer class differently, or with a special token's string, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -13,21 +13,31 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of each of a cache's two generations.
 GENERATION = 250_000
 #: Longer stretches are tokenised without being kept.
 CACHE_CHARS = 48
+#: Characters of texts whose stretches are looked up together; a group ends with the text that reaches them.
+GROUP_CHARS = 8 << 20
+#: New words that go to the model together.
+BATCH_WORDS = 4_096
 
 #: Characters that Python and the tokenizers class differently, and the start of special tokens.
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 _LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-/:-@\[-^`{-~]+"
-#: A word of plain letters and the signs after it are tokenised apart; other words stay whole.
-_PLAIN = re.compile(rf"({_LETTERS})?({_SIGNS})?")
+_WORD = re.compile(_LETTERS)
+#: What a text of words with one space or line end between them doesn't hold; white space of _ODD is not listed.
+_GAPS = ("  ", " \n", "\n ", "\n\n", *"\t\v\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: Signs that end a stretch after a letter are tokenised apart; other stretches stay whole.
+_END_SIGNS = f"({_LETTERS[:-1]})({_SIGNS})( |$)"
 #: The byte-level split with any run of non-space in the place of its finer classes, which only split such runs further.
 _BYTE_LEVEL = re.compile(rf" ?{_LETTERS}(?=(?:{_SIGNS})?(?:\s|$))|{_SIGNS}(?=\s|$)| ?\S+|\s+(?!\S)|\s+")
 #: The character that stands for each byte in byte-level vocabularies: itself if it shows, else one from 256 on.
@@ -78,16 +88,29 @@ class _Known(dict):
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.alone = Tokenizer(self.model)
+        self.alone.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.drops_space = self._direct("a b") == self._direct("a  b")
         self.lowers = self._direct("AÉ") == self._direct("aé")
         # words that stand bare, words led by a space, and stretches with whatever leads them
         self.bare, self.led, self.parts = _Known(partial(self._stretch, False)), _Known(partial(self._stretch, True)), _Known(self._part)
-        self.plain = all(self._word(w, led) == self._direct(f" {w}" if led else w) for w in ("a", "Hello", "ÀÉîõüÿ", "straßentheorie") for led in (False, not self.drops_space))
+        # the ids that end a word, or those that begin one led by a space
+        self.edge = np.zeros(self.vocabulary, bool)
+        self.edge[[i for t, i in self.tokenizer.get_vocab().items() if (t.endswith("</w>") if self.drops_space else t.startswith(_BYTES[32]))]] = True
+        tried = ["a", "Hello", "ÀÉîõüÿ", "straßentheorie"]
+        self.plain = all(self._word(w, led) == self._direct(f" {w}" if led else w) for w in tried for led in (False, not self.drops_space))
+        size, ids = self._words(tried)
+        alone = [self._word(w, not self.drops_space) for w in tried]
+        self.many = self.plain and size.tolist() == [len(x) // 4 for x in alone] and ids.tobytes() == b"".join(alone)
+        # of stretches between spaces: their number by stretch, and by number where their ids begin and how many they are
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -100,18 +123,19 @@ class Encoder:
         ids = [t.id for t in self.model.tokenize(_BYTES[32] + shown if led else shown)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of some words of plain letters between spaces, and all their ids, by the model alone."""
+        between, ids = "\n" if self.drops_space else "\n ", []
+        for i in range(0, len(words), BATCH_WORDS):
+            text = between[1:] + between.join(words[i : i + BATCH_WORDS])
+            ids += self.alone.encode_batch_fast([text.lower() if self.lowers else text], add_special_tokens=False)[0].ids
+        ids = np.array(ids, "<u4")
+        at = np.flatnonzero(self.edge[ids])
+        return np.diff(at, prepend=-1) if self.drops_space else np.diff(at, append=len(ids)), ids
+
     def _stretch(self, led: bool, word: str) -> tuple[bytes, bool]:
-        found = _PLAIN.fullmatch(word) if self.plain else None
-        letters, signs = found.groups() if found else (None, None)
-        cache = self.led if led else self.bare
-        if letters and signs:  # a word that is new itself has no second entry with its signs
-            keep = letters in cache
-            return cache[letters] + self.bare[signs], keep
-        if letters:
+        if self.plain and _WORD.fullmatch(word):
             return self._word(word, led), True
-        if word[:1] == "\n":  # a line end takes the place of the space
-            keep = word[1:] in self.bare
-            return self.parts["\n"] + self.bare[word[1:]], keep
         return self._direct(f" {word}" if led else word), True
 
     def _part(self, part: str) -> tuple[bytes, bool]:
@@ -121,21 +145,83 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is the empty text."""
-        caches = (self.bare, self.led, self.parts)
+        group: list[bytes | str] = []  # ids already, or a text to split at spaces
+        held = 0
         for text in texts:
-            if sum(map(len, caches)) >= GENERATION:  # what was not asked for since the last time goes
-                for c in caches:
-                    c.turn()
             text = text or ""
             if any(odd in text for odd in _ODD):
-                yield self._direct(text)
+                group.append(self._direct(text))
             elif self.drops_space:
-                yield b"".join(map(self.bare.__getitem__, _lower(text).replace("\n", " ").split(" ")))
-            elif text and " ".join(text.split()) == text.replace("\n", " "):  # words with one space or line end between them
-                words = text.replace("\n", " \n").split(" ")
-                yield self.bare[words[0]] + b"".join(map(self.led.__getitem__, words[1:]))
+                group.append(_lower(text).replace("\n", " "))
+            elif text.strip(" \n") == text != "" and not any(gap in text for gap in _GAPS):  # words with one space or line end between them
+                group.append("\r" + text.replace("\n", " \n \r"))
             else:
-                yield b"".join(map(self.parts.__getitem__, _BYTE_LEVEL.findall(text)))
+                group.append(b"".join(map(self.parts.__getitem__, _BYTE_LEVEL.findall(text))))
+            held += len(text)
+            if held >= GROUP_CHARS:
+                yield from self._grouped(group)
+                group, held = [], 0
+        yield from self._grouped(group)
+
+    def _grouped(self, group: list[bytes | str]) -> Iterator[bytes]:
+        """The ids of each text of a group; those that are ids already stay."""
+        caches = (self.bare, self.led, self.parts)
+        if sum(map(len, caches)) >= GENERATION:  # what was not asked for since the last time goes
+            for c in caches:
+                c.turn()
+        texts = [x for x in group if isinstance(x, str)]
+        spans = self._spans(texts) if texts else iter(())
+        for x in group:
+            yield next(spans) if isinstance(x, str) else x
+
+    def _spans(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts whose stretches lie between spaces; where spaces count, \\r leads those that have none before them and \\t signs set apart."""
+        apart = pc.replace_substring_regex(pa.array(texts, pa.large_string()), _END_SIGNS, r"\1 \2\3" if self.drops_space else "\\1 \t\\2\\3")
+        split = pc.split_pattern(apart, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        numbers = self._numbers(words)
+        which = numbers[coded.indices.to_numpy()]
+        size = self.size[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self._dealt(which, size).tobytes()
+        if len(self.known) >= 2 * GENERATION or len(self.ids) >= 16 * GENERATION:  # what this group did not ask for goes
+            short = np.fromiter(map(len, words), np.int64, len(words)) <= CACHE_CHARS
+            at = numbers[short]
+            self.ids, self.size = self._dealt(at, self.size[at]), self.size[at]
+            self.first = np.cumsum(self.size) - self.size
+            self.known.clear()
+            self.known.update(zip(words[short], range(len(at)), strict=True))
+        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield ids[a:b]
+
+    def _dealt(self, which: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of stretches by number, one after another."""
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.first[which] - ends + size, size) + np.arange(size.sum())]
+
+    def _numbers(self, words: np.ndarray) -> np.ndarray:
+        """The numbers of distinct stretches; new ones get the next."""
+        start = len(self.known)
+        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        new = words[numbers >= start]
+        plain = np.fromiter((self.many and _WORD.fullmatch(w) is not None for w in new), bool, len(new))
+        made = [self._one(w) for w in new[~plain]]
+        sizes, ids = self._words(new[plain].tolist())
+        size = np.zeros(len(new), np.int64)
+        size[plain], size[~plain] = sizes, [len(x) // 4 for x in made]
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        first = np.zeros(len(new), np.int64)
+        first[order] = len(self.ids) + np.cumsum(size[order]) - size[order]
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids, np.frombuffer(b"".join(made), "<u4")])
+        return numbers
+
+    def _one(self, word: str) -> bytes:
+        if self.drops_space:
+            return self.bare[word]
+        return self.parts[word] if word == "\n" else self.bare[word[1:]] if word[0] in "\r\t" else self.led[word]
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_many([text]))

@@ -26,9 +26,9 @@ GENERATION = 250_000
 #: Longer stretches are tokenised without being kept.
 CACHE_CHARS = 48
 #: Characters of texts whose stretches are looked up together; a group ends with the text that reaches them.
-GROUP_CHARS = 8 << 20
-#: New words that go to the model together.
-BATCH_WORDS = 4_096
+GROUP_CHARS = 4 << 20
+#: Texts whose ids are dealt together, and new words that go to the model together.
+DEALT_TEXTS, BATCH_WORDS = 64, 4_096
 
 #: Characters that Python and the tokenizers class differently, and the start of special tokens.
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
@@ -125,11 +125,11 @@ class Encoder:
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each of some words of plain letters between spaces, and all their ids, by the model alone."""
-        between, ids = "\n" if self.drops_space else "\n ", []
+        between, made = "\n" if self.drops_space else "\n ", [np.zeros(0, "<u4")]
         for i in range(0, len(words), BATCH_WORDS):
             text = between[1:] + between.join(words[i : i + BATCH_WORDS])
-            ids += self.alone.encode_batch_fast([text.lower() if self.lowers else text], add_special_tokens=False)[0].ids
-        ids = np.array(ids, "<u4")
+            made.append(np.array(self.alone.encode_batch_fast([text.lower() if self.lowers else text], add_special_tokens=False)[0].ids, "<u4"))
+        ids = np.concatenate(made)
         at = np.flatnonzero(self.edge[ids])
         return np.diff(at, prepend=-1) if self.drops_space else np.diff(at, append=len(ids)), ids
 
@@ -178,23 +178,17 @@ class Encoder:
         """The ids of texts whose stretches lie between spaces; where spaces count, \\r leads those that have none before them and \\t signs set apart."""
         apart = pc.replace_substring_regex(pa.array(texts, pa.large_string()), _END_SIGNS, r"\1 \2\3" if self.drops_space else "\\1 \t\\2\\3")
         split = pc.split_pattern(apart, " ")
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False)
-        numbers = self._numbers(words)
-        which = numbers[coded.indices.to_numpy()]
-        size = self.size[which]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self._dealt(which, size).tobytes()
-        if len(self.known) >= 2 * GENERATION or len(self.ids) >= 16 * GENERATION:  # what this group did not ask for goes
-            short = np.fromiter(map(len, words), np.int64, len(words)) <= CACHE_CHARS
-            at = numbers[short]
-            self.ids, self.size = self._dealt(at, self.size[at]), self.size[at]
-            self.first = np.cumsum(self.size) - self.size
-            self.known.clear()
-            self.known.update(zip(words[short], range(len(at)), strict=True))
-        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield ids[a:b]
+        coded, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        del apart, split
+        numbers, which = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False)), coded.indices.to_numpy()
+        for i in range(0, len(texts), DEALT_TEXTS):
+            own = offsets[i : i + DEALT_TEXTS + 1]
+            at = numbers[which[own[0] : own[-1]]]
+            size = self.size[at]
+            ids, ends = self._dealt(at, size).tobytes(), np.concatenate([[0], np.cumsum(size)])
+            cuts = (4 * ends[own - own[0]]).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield ids[a:b]
 
     def _dealt(self, which: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The ids of stretches by number, one after another."""
@@ -203,6 +197,13 @@ class Encoder:
 
     def _numbers(self, words: np.ndarray) -> np.ndarray:
         """The numbers of distinct stretches; new ones get the next."""
+        if len(self.known) >= GENERATION or len(self.ids) >= 16 * GENERATION:  # what is not asked for now goes
+            held = [w for w in words if w in self.known]
+            at = np.array([self.known[w] for w in held], np.int64)
+            self.ids, self.size = self._dealt(at, self.size[at]), self.size[at]
+            self.first = np.cumsum(self.size) - self.size
+            self.known.clear()
+            self.known.update(zip(held, range(len(held)), strict=True))
         start = len(self.known)
         numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         new = words[numbers >= start]

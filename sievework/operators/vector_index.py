@@ -7,7 +7,8 @@ what the code leaves out. Each commit adds a part; a cell's radius and size are
 A search ranks the cells for each query, reads codes of the nearest ones, bounds each distance from both sides by what the code
 leaves out, and scores exactly only those that may be among the k best. In exact mode the cells whose nearest possible vector,
 by their radius, still beats the k-th score are read next, which proves the result; else it ends with the cells probed. Scores
-and ties are those of ``vector.top_k_batch``. Queries are sent to executors in blocks of bounded size.
+and ties are those of ``vector.top_k_batch``. Queries are sent to executors in blocks of bounded size; what the blocks find is
+ranked together, in one sort a task however many blocks there are.
 
 Vectors that are null, empty, of another length than the index, or hold null or non-finite components are not indexed, and such
 queries find nothing.
@@ -106,7 +107,7 @@ def _near(rows: DataFrame, ids: np.ndarray, q: np.ndarray, centres: np.ndarray,
     """query_id, chunk_id, score: exact scores of the vectors in rows that may be among a query's k best, by their codes.
 
     wanted says which cells each query reads; limit is a squared distance beyond which a vector is of no use. The bounds of a
-    batch's codes drop what has k better vectors in the batch or lies beyond the limit.
+    batch's codes drop what has k better vectors in the batch or lies beyond the limit; a query has at most k rows a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,13 +135,17 @@ def _near(rows: DataFrame, ids: np.ndarray, q: np.ndarray, centres: np.ndarray,
             columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "chunk_id", "score"])
 
-    local = rows.select("chunk_id", "embedding", "code", "scale", "rest", "cell").mapInArrow(run, "query_id long, chunk_id long, score double")
+    return rows.select("chunk_id", "embedding", "code", "scale", "rest", "cell").mapInArrow(run, "query_id long, chunk_id long, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    return local.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def _block(log: Versions, at: Snapshot, asked: pa.Table, k: int, probes: int, exact: bool) -> DataFrame:
-    centres, spark = np.array(at.facts["centres"], float), log.spark
+    """query_id, chunk_id, score of what may be among the k best of a block of queries, not ranked."""
+    centres = np.array(at.facts["centres"], float)
     ids, q = asked.column("query_id").to_numpy(), vector_rows(asked.column("embedding").combine_chunks())
     held = log.read("cells", at).groupBy("cell").agg(F.max("radius").alias("radius")).collect()  # a row a cell, at most MOST_CELLS
     radius = np.full(len(centres), -np.inf)
@@ -156,17 +161,14 @@ def _block(log: Versions, at: Snapshot, asked: pa.Table, k: int, probes: int, ex
     first = _near(cell_rows(log, at, np.flatnonzero(wanted.any(0)).tolist()), ids, q, centres, wanted, none, k)
     if not exact:
         return first
-    found = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("last")).collect()  # a row a query of the block
+    found = _ranked(first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("last")).collect()  # a row a query of the block
     limit = dict.fromkeys(ids.tolist(), np.inf) | {r.query_id: 1 - r.last + 1e-8 for r in found if r.n == k}
     limits = np.array([limit[i] for i in ids.tolist()])
     least = np.maximum(away - radius[None] - 1e-9 * (1 + away), 0) ** 2
     more = ~wanted & np.isfinite(away) & (least <= limits[:, None])
     if not more.any():
         return first
-    second = _near(cell_rows(log, at, np.flatnonzero(more.any(0)).tolist()), ids, q, centres, more, limits, k)
-    both = first.drop("rank").unionByName(second.drop("rank"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    return both.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return first.unionByName(_near(cell_rows(log, at, np.flatnonzero(more.any(0)).tolist()), ids, q, centres, more, limits, k))
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, probes: int = 8, exact: bool = False, version: int | None = None) -> DataFrame:
@@ -178,10 +180,10 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, prob
         return empty
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(fit_vectors(at.facts["dim"]))
     blocks = max(1, -(-q.count() // SENT_QUERIES))
-    out = empty
+    out = None
     for number in range(blocks):
         asked = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()  # about SENT_QUERIES rows
         if asked.num_rows:
             found = _block(log, at, asked, k, probes, exact)
-            out = found if out is empty else out.unionByName(found)
-    return out.select("query_id", "chunk_id", "score", "rank")
+            out = found if out is None else out.unionByName(found)
+    return empty if out is None else _ranked(out, k).select("query_id", "chunk_id", "score", "rank")

@@ -1,5 +1,7 @@
 """The stored vector index against exact search; recall of probing; vectors that can't be compared."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -42,6 +44,14 @@ def test_exact_mode_equals_exact_search(spark, points, index, monkeypatch):
     assert ranked(vector_index.search(spark, index, queries, 10, probes=3, exact=True)) == want
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_blocks_are_ranked_together(spark, points, index, monkeypatch, exact):
+    monkeypatch.setattr(vector_index, "SENT_QUERIES", 10)
+    queries = frame(spark, points[::30]).withColumnRenamed("chunk_id", "query_id")
+    plan = vector_index.search(spark, index, queries, 10, exact=exact)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") > 3 and len(re.findall(r"\bWindow \[", plan)) == 1
+
+
 def test_recall_of_probing(spark, points, index):
     queries = frame(spark, points[::10]).withColumnRenamed("chunk_id", "query_id")
     want = {(q, c) for q, _, c, _ in ranked(vector.top_k_batch(queries, frame(spark, points), 10))}

@@ -77,6 +77,17 @@ def test_removal_and_versions(spark, points, index):
     assert ranked(vector_index.search(spark, index, queries, 5, exact=True, version=before)) == old
 
 
+def test_blocks_after_removal_are_ranked_together(spark, points, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "SENT_QUERIES", 2)
+    path = f"file://{tmp_path}/r"
+    vector_index.append(spark, path, frame(spark, points[:120]), cells=4)
+    vector_index.remove(spark, path, spark.range(1, 120, 3).withColumnRenamed("id", "chunk_id"))
+    queries = frame(spark, points[:120:20]).withColumnRenamed("chunk_id", "query_id")
+    found = vector_index.search(spark, path, queries, 5, exact=True)
+    assert len(re.findall(r"\bWindow \[", found._jdf.queryExecution().executedPlan().toString())) == 1
+    assert ranked(found) == ranked(vector.top_k_batch(queries, frame(spark, points[:120]).where("chunk_id % 3 <> 1"), 5))
+
+
 BAD = [(50, None), (51, []), (52, [1.0, 2.0]), (53, [1.0, None, 0.0]), (54, [float("nan"), 0.0, 0.0]), (55, [float("inf"), 0.0, 0.0])]
 
 
